@@ -153,19 +153,18 @@ def neighbor_join(spark, d):
     return C.neighbors(table, [(1, 0, 0), (0, 1, 0), (0, 0, 1)], "qty")
 
 
-QUADS_SQL = """, ring(axis, slot, dx, dy, dz) AS (VALUES
-    ('x', 0, 0, 0, 0), ('x', 1, 0, 0, 1), ('x', 2, 0, 1, 1), ('x', 3, 0, 1, 0),
-    ('y', 0, 0, 0, 0), ('y', 1, 1, 0, 0), ('y', 2, 1, 0, 1), ('y', 3, 0, 0, 1),
-    ('z', 0, 0, 0, 0), ('z', 1, 0, 1, 0), ('z', 2, 1, 1, 0), ('z', 3, 1, 0, 0)),
-  owners AS (SELECT batch, x, y, z, axis FROM cells, (VALUES ('x'), ('y'), ('z')) a(axis)
-             WHERE (axis = 'x' AND fa = 1) OR (axis = 'y' AND fb = 1) OR (axis = 'z' AND fc = 1)),
-  quads AS (
-    SELECT o.batch, o.axis, o.x, o.y, o.z, max(c.qty) FILTER (WHERE slot = 0) AS q0, max(c.qty) FILTER (WHERE slot = 1) AS q1,
-           max(c.qty) FILTER (WHERE slot = 2) AS q2, max(c.qty) FILTER (WHERE slot = 3) AS q3
-    FROM owners o JOIN ring r ON o.axis = r.axis
-    JOIN cells c ON c.batch = o.batch AND c.x = o.x + r.dx AND c.y = o.y + r.dy AND c.z = o.z + r.dz
-    GROUP BY o.batch, o.axis, o.x, o.y, o.z HAVING count(*) = 4)
-"""
+def _ring_sql(axis: str, flag: str, payload: str, out: str) -> str:
+    joins = ""
+    for k, offset in enumerate(C.EDGE_RING[axis][1:], 1):
+        on = " AND ".join(f"c{k}.{a} = c0.{a} + {o}" for a, o in zip("xyz", offset))
+        joins += f" JOIN cells c{k} ON c{k}.batch = c0.batch AND {on}"
+    cols = ", ".join(f"c{k}.{payload} AS {out}{k}" for k in range(4))
+    return f"SELECT c0.batch, '{axis}' AS axis, c0.x, c0.y, c0.z, {cols} FROM cells c0{joins} WHERE c0.{flag} = 1"
+
+
+QUADS_SQL = ", quads AS (" + " UNION ALL ".join(
+    _ring_sql(axis, flag, "qty", "q") for axis, flag in (("x", "fa"), ("y", "fb"), ("z", "fc"))
+) + ") "
 
 
 @query("edge_quads", "J7 G5", with_cells(QUADS_SQL + "SELECT * FROM quads"))
@@ -179,8 +178,8 @@ def edge_quads(spark, d):
     "trilinear_sample",
     "J8 M10",
     with_cells(
-        """, pts AS (SELECT o_orderkey AS pid, CAST(o_orderkey // 2000 AS INTEGER) AS batch, (o_custkey % 640) / 10.0::DOUBLE AS px,
-            (o_orderkey % 320) / 5.0::DOUBLE AS py, 0.5::DOUBLE + (o_orderkey % 60) / 8.0::DOUBLE AS pz FROM orders),
+        """, pts AS (SELECT o_orderkey AS pid, CAST(o_orderkey // 2000 AS INTEGER) AS batch, (o_custkey % 443) / 7.3::DOUBLE AS px,
+            (o_orderkey % 443) / 7.3::DOUBLE AS py, 0.5::DOUBLE + (o_orderkey % 52) / 7.3::DOUBLE AS pz FROM orders),
         b AS (SELECT *, CAST(floor(px - 0.5) AS INTEGER) AS bx, CAST(floor(py - 0.5) AS INTEGER) AS by_, CAST(floor(pz - 0.5) AS INTEGER) AS bz FROM pts),
         k AS (SELECT pid, batch, bx + i AS x, by_ + j AS y, bz + l AS z,
             (CASE WHEN i = 1 THEN px - 0.5 - bx ELSE 1 - (px - 0.5 - bx) END) * (CASE WHEN j = 1 THEN py - 0.5 - by_ ELSE 1 - (py - 0.5 - by_) END)
@@ -195,9 +194,9 @@ def trilinear_sample(spark, d):
     points = load(spark, d, "orders").select(
         F.col("o_orderkey").alias("pid"),
         F.expr("cast(o_orderkey div 2000 as int)").alias("batch"),
-        F.expr("(o_custkey % 640) / 10D").alias("px"),
-        F.expr("(o_orderkey % 320) / 5D").alias("py"),
-        F.expr("0.5D + (o_orderkey % 60) / 8D").alias("pz"),
+        F.expr("(o_custkey % 443) / 7.3D").alias("px"),
+        F.expr("(o_orderkey % 443) / 7.3D").alias("py"),
+        F.expr("0.5D + (o_orderkey % 52) / 7.3D").alias("pz"),
     )
     sampled = C.trilinear(points, cells(spark, d), ["qty", "price"], ["pid"])
     return sampled.withColumn("qty", F.round("qty", 6)).withColumn("price", F.round("price", 4))
