@@ -19,8 +19,8 @@ FILTERS = ("none", "parent", "neighbor")
 INTERLEAVES = ("none", "as_is", "all")
 
 
-def _lzma_filters(level: int) -> list[dict]:
-    return [{"id": lzma.FILTER_LZMA2, "preset": level}]
+def _lzma_filters(level: int, **extra) -> list[dict]:
+    return [{"id": lzma.FILTER_LZMA2, "preset": level, **extra}]
 
 
 def _zstandard():
@@ -36,7 +36,9 @@ def squeeze(data: bytes, codec: str, level: int) -> bytes:
         packer = zlib.compressobj(level, wbits=-15)
         return packer.compress(data) + packer.flush()
     if codec == "lzma":
-        return lzma.compress(data, format=lzma.FORMAT_RAW, filters=_lzma_filters(level))
+        # a dictionary no longer than the data: same streams for readers, without the preset's 64 MiB per stream
+        window = max(4096, min(1 << max(len(data) - 1, 1).bit_length(), 64 << 20))
+        return lzma.compress(data, format=lzma.FORMAT_RAW, filters=_lzma_filters(level, dict_size=window))
     if codec == "zstd":
         return _zstandard().ZstdCompressor(level=level, write_content_size=True).compress(data)
     if codec == "none":

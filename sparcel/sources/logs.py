@@ -21,15 +21,23 @@ def write_views(views: DataFrame, asset: str, path: str) -> None:
     docs = views.groupBy(asset).agg(F.sort_array(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"))
     unit = F.array(*[F.array(*[F.lit(v)] * 3) for v in (-0.5, 0.5)])
     doc = docs.select(
-        F.col(asset).alias("asset"), unit.alias("aabb"), F.lit(1.0).alias("scale"), F.array(*[F.lit(0.0)] * 3).alias("offset"),
-        F.transform("f", lambda f: f["frame"]).alias("frames"),
+        F.col(asset).cast("string").alias("asset"), unit.alias("aabb"), F.lit(1.0).alias("scale"),
+        F.array(*[F.lit(0.0)] * 3).alias("offset"), F.transform("f", lambda f: f["frame"]).alias("frames"),
     )
-    doc.write.partitionBy("asset").json(path)
+    doc.write.json(path)
 
 
-def read_views(spark: SparkSession, path: str) -> DataFrame:
-    """One row per camera frame of every document below ``path``."""
-    docs = spark.read.schema(VIEWS_SCHEMA + ", asset string").option("multiLine", False).json(path)
+def read_views(spark: SparkSession, path: str, single_files: bool = False) -> DataFrame:
+    """One row per camera frame.
+
+    Documents are lines with their asset name, or with ``single_files`` one
+    ``<asset>/transforms.json`` per folder, the asset being the folder's name.
+    """
+    if single_files:
+        docs = spark.read.schema(VIEWS_SCHEMA).option("multiLine", True).json(f"{path}/*/transforms.json")
+        docs = docs.withColumn("asset", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    else:
+        docs = spark.read.schema("asset string, " + VIEWS_SCHEMA).json(path)
     return docs.select("asset", F.posexplode("frames").alias("idx", "frame")).select("asset", "idx", "frame.*")
 
 
