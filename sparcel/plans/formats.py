@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparcel.operators.ordered import group_position
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import with_cells
 from sparcel.session import staged_path
@@ -130,12 +131,13 @@ def camera_documents(spark, d):
     items = load(spark, d, "lineitem").filter("l_returnflag = 'R'").join(urgent, "l_orderkey", "left_semi")
     zero, one = F.lit(0.0), F.lit(1.0)
     views = items.select(
-        F.col("l_orderkey").alias("asset"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("idx"),
+        F.col("l_orderkey").alias("asset"), "l_linenumber", "l_partkey", "l_extendedprice",
         F.format_string("%03d.png", "l_linenumber").alias("file_path"), (F.col("l_discount") * 3).alias("camera_angle_x"),
         F.array(F.array(one, zero, zero, F.col("l_extendedprice")), F.array(zero, one, zero, zero), F.array(zero, zero, one, zero), F.array(zero, zero, zero, one)).alias("transform_matrix"),
     )
+    numbered = group_position(views, ["asset"], ["l_linenumber", "l_partkey", "l_extendedprice"], "idx")
     path = staged_path(spark, "views")
-    logs.write_views(views, "asset", path)
+    logs.write_views(numbered, "asset", path, per_document=4)
     return logs.read_views(spark, path).select(
         "asset", "idx", "file_path", F.round("camera_angle_x", 6).alias("camera_angle_x"), F.expr("transform_matrix[0][3]").alias("tx")
     )

@@ -117,13 +117,14 @@ def dataset_instances(spark, d):
 
 
 def nested_dumps(spark, d):
-    """One mesh dump per customer, its orders being the objects."""
+    """Mesh dumps of at most 64 objects each: a customer's orders within one range of order keys."""
     points = "transform(if(o_orderkey % 11 > 0, sequence(1, o_orderkey % 11), array()), i -> named_struct('x', cast(i as double), 'y', 0D, 'z', 0D))"
     faces = "transform(if(o_orderkey % 5 > 0, sequence(1, o_orderkey % 5), array()), i -> named_struct('v0', 0, 'v1', 1, 'v2', cast(i as int)))"
-    objects = load(spark, d, "orders").select("o_custkey", F.expr(f"named_struct('id', o_orderkey, 'vertices', {points}, 'faces', {faces})").alias("o"))
-    dumped = objects.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    asset = F.concat_ws("-", "o_custkey", F.expr("o_orderkey div 64")).alias("asset")
+    objects = load(spark, d, "orders").select(asset, F.expr(f"named_struct('id', o_orderkey, 'vertices', {points}, 'faces', {faces})").alias("o"))
+    dumped = objects.groupBy("asset").agg(F.sort_array(F.collect_list("o")).alias("o"))
     return dumped.select(
-        F.col("o_custkey").cast("string").alias("asset"),
+        "asset",
         F.transform("o", lambda o: F.struct(o["vertices"].alias("vertices"), o["faces"].alias("faces"))).alias("objects"),
     )
 
@@ -132,9 +133,9 @@ def nested_dumps(spark, d):
     "dump_stats",
     "S18 M11 A4 P13",
     """
-    SELECT CAST(o_custkey AS VARCHAR) AS asset, CAST(coalesce(sum(o_orderkey % 11) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_vertices,
+    SELECT o_custkey || '-' || (o_orderkey // 64) AS asset, CAST(coalesce(sum(o_orderkey % 11) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_vertices,
            CAST(coalesce(sum(o_orderkey % 5) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_faces, CAST(NULL AS INTEGER) AS num_alpha_tex
-    FROM orders GROUP BY o_custkey
+    FROM orders GROUP BY 1
     """,
 )
 def dump_stats(spark, d):
@@ -147,9 +148,9 @@ def dump_stats(spark, d):
     "dump_objects",
     "S18 M11 G3",
     """
-    WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderkey % 11 AS BIGINT) AS nv, CAST(o_orderkey % 5 AS BIGINT) AS nf FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0),
-    p AS (SELECT *, CAST(sum(nv) OVER w AS BIGINT) - nv AS voff, CAST(sum(nf) OVER w AS BIGINT) - nf AS foff FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
-    SELECT CAST(o_custkey AS VARCHAR) AS asset, CAST(foff + i AS BIGINT) AS fid, voff AS v0, voff + 1 AS v1, CAST(voff + i + 1 AS BIGINT) AS v2 FROM p, range(0, 5) r(i) WHERE i < nf
+    WITH o AS (SELECT o_custkey || '-' || (o_orderkey // 64) AS asset, o_orderkey, CAST(o_orderkey % 11 AS BIGINT) AS nv, CAST(o_orderkey % 5 AS BIGINT) AS nf FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0),
+    p AS (SELECT *, CAST(sum(nv) OVER w AS BIGINT) - nv AS voff, CAST(sum(nf) OVER w AS BIGINT) - nf AS foff FROM o WINDOW w AS (PARTITION BY asset ORDER BY o_orderkey))
+    SELECT asset, CAST(foff + i AS BIGINT) AS fid, voff AS v0, voff + 1 AS v1, CAST(voff + i + 1 AS BIGINT) AS v2 FROM p, range(0, 5) r(i) WHERE i < nf
     """,
 )
 def dump_objects(spark, d):

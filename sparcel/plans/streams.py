@@ -55,5 +55,6 @@ def streamed_trailing_means(spark, d):
     folder, schema = event_parts(spark, d)
     target = staged_path(spark, "trailing")
     stream = S.file_stream(spark, folder, schema).filter("value is not null")
-    S.run_once(S.trailing_means(stream, "user_id", "ts", "event_id", "value", 20), target, f"{target}-checkpoint", mode="update")
-    return S.latest(spark, target, ["key"]).select(F.col("key").alias("user_id"), "n", F.round("mean", 6).alias("mean"))
+    S.run_once(S.trailing_rings(stream, "user_id", "ts", "event_id", "value", 20), target, f"{target}-checkpoint", mode="update")
+    means = S.trailing_means(S.latest(spark, target, ["key", "salt"]), 20)
+    return means.select(F.col("key").alias("user_id"), "n", F.round("mean", 6).alias("mean"))

@@ -49,8 +49,21 @@ def staging_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete the tables this session staged, once no DataFrame reads them any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

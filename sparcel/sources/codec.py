@@ -166,6 +166,14 @@ def unfilter_attrs(how: str, tree: Octree, codes: np.ndarray, stored: np.ndarray
     return stored
 
 
+def as_bytes(attrs: dict[str, np.ndarray]) -> np.ndarray:
+    """Attribute columns side by side as bytes; values outside 0..255 are refused."""
+    for name, v in attrs.items():
+        if v.size and (v.min() < 0 or v.max() > 255):
+            raise ValueError(f"attribute {name} does not fit a byte")
+    return np.concatenate([v.astype(np.uint8) for v in attrs.values()], axis=1)
+
+
 def encode_chunk(idx: list[int], local: np.ndarray, attrs: np.ndarray, meta: dict) -> tuple[dict, bytes]:
     """One chunk's header entry and its bytes; every stream is compressed on its own."""
     depth = int(meta["chunk_size"]).bit_length() - 1

@@ -9,11 +9,13 @@ renaming a finished file into place, so a retried task just replaces it.
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +132,9 @@ class CellWriter(DataSourceArrowWriter):
 
     def flush(self, name: str, held: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(held)
+        if "entry" in self.schema.names:
+            self.save(name, self.source.join_chunks(table))
+            return
         coord = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1).astype(np.int64)
         attrs = {}
         for field in self.schema.fields:
@@ -140,7 +145,9 @@ class CellWriter(DataSourceArrowWriter):
                 attrs[field.name] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(coord), -1)
             else:
                 attrs[field.name] = column.to_numpy(zero_copy_only=False)[:, None]
-        data = self.source.encode(coord, attrs)
+        self.save(name, self.source.encode(coord, attrs))
+
+    def save(self, name: str, data: bytes) -> None:
         fs, root = filesystem(self.source.path)
         fs.create_dir(root, recursive=True)
         draft = f"{root}/.{name}-{uuid.uuid4().hex}.tmp"
@@ -231,21 +238,22 @@ class VxzFiles(CellFiles):
                     at += w
                 yield to_batch(schema, name, coord, named)
 
-    def encode(self, coord: np.ndarray, attrs: dict[str, np.ndarray]) -> bytes:
+    def meta(self, attrs: list[tuple[str, int]]) -> dict:
+        """Header fields from the options, checked."""
         size = int(self.options.get("chunkSize", 256))
         how, method = self.options.get("filter", "none"), self.options.get("compression", "lzma")
         interleave = self.options.get("interleave", "as_is")
         if size & (size - 1) or how not in codec.FILTERS or method not in codec.LEVELS or interleave not in codec.INTERLEAVES:
             raise ValueError(f"bad options: chunkSize={size} filter={how} compression={method} interleave={interleave}")
-        for name, v in attrs.items():
-            if v.min() < 0 or v.max() > 255:
-                raise ValueError(f"attribute {name} does not fit a byte")
-        meta = {
+        return {
             "chunk_size": size, "filter": how, "compression": method,
             "compression_level": int(self.options.get("level", codec.LEVELS[method])),
-            "attr_interleave": interleave, "attr": [[n, v.shape[1]] for n, v in attrs.items()],
+            "attr_interleave": interleave, "attr": [list(a) for a in attrs],
         }
-        values = np.concatenate([v.astype(np.uint8) for v in attrs.values()], axis=1)
+
+    def encode(self, coord: np.ndarray, attrs: dict[str, np.ndarray]) -> bytes:
+        meta = self.meta([(n, v.shape[1]) for n, v in attrs.items()])
+        values, size = codec.as_bytes(attrs), meta["chunk_size"]
         boxes, inverse = np.unique(coord // size, axis=0, return_inverse=True)
         order = np.argsort(inverse.reshape(-1), kind="stable")
         cuts = np.searchsorted(inverse.reshape(-1)[order], np.arange(len(boxes) + 1))
@@ -255,6 +263,12 @@ class VxzFiles(CellFiles):
             chunks.append(codec.encode_chunk(box.tolist(), coord[rows] % size, values[rows], meta))
         return codec.assemble(meta, chunks, len(coord))
 
+    def join_chunks(self, table: pa.Table) -> bytes:
+        """A file from chunks that other tasks have encoded."""
+        rows = table.select(["entry", "data", "voxels", "widths"]).to_pylist()
+        meta = self.meta(json.loads(rows[0]["widths"]))
+        return codec.assemble(meta, [(json.loads(r["entry"]), r["data"]) for r in rows], sum(r["voxels"] for r in rows))
+
 
 class NpzFiles(CellFiles):
     """Numpy archives with ``coord`` (16 bit) and one array per attribute."""
@@ -426,20 +440,48 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return read_cells(spark, path, "vxz", mode="header")
 
 
+def encoded_chunks(rows: DataFrame, attrs: list[str], options: dict[str, str]) -> DataFrame:
+    """Chunks of voxel files, each encoded by itself: (file, entry, data, voxels, widths) rows.
+
+    A chunk is the unit of work, so a large asset is encoded by many tasks; what
+    reaches the task that joins a file together is compressed already.
+    """
+    source = VxzFiles({**options, "path": ""})
+    size = source.meta([])["chunk_size"]
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        coord = pdf[["x", "y", "z"]].to_numpy(np.int64)
+        columns = {a: np.array(pdf[a].tolist()).reshape(len(pdf), -1) for a in attrs}
+        meta = source.meta([(n, v.shape[1]) for n, v in columns.items()])
+        entry, data = codec.encode_chunk((coord[0] // size).tolist(), coord % size, codec.as_bytes(columns), meta)
+        row = {"file": pdf["file"].iloc[0], "entry": json.dumps(entry), "data": data, "voxels": len(pdf), "widths": json.dumps(meta["attr"])}
+        return pd.DataFrame([{**row, **dict(zip(("cx", "cy", "cz"), (coord[0] // size).tolist()))}])
+
+    chunk = [F.floor(F.col(a) / size).alias(f"_c{a}") for a in "xyz"]
+    schema = "file string, entry string, data binary, voxels bigint, widths string, cx int, cy int, cz int"
+    return rows.groupBy("file", *chunk).applyInPandas(encode, schema)
+
+
 def write_cells(df: DataFrame, path: str, kind: str, asset: str, attrs: list[str], block: int = 1024, **options) -> None:
     """Write one file per asset and block of ``block`` cells per axis.
 
-    The block bounds what one task and one file hold: an asset of any extent is split
-    into files named ``asset@bx_by_bz``, while one inside the first block keeps its name.
+    The block bounds what one file holds: an asset of any extent is split into files
+    named ``asset@bx_by_bz``, while one inside the first block keeps its name. Cells
+    must be unique within an asset.
     """
     register(df.sparkSession)
+    options = {k: str(v) for k, v in options.items()}
     box = [F.floor(F.col(a) / block).cast("string") for a in "xyz"]
     inside = (F.greatest(*[F.col(a) for a in "xyz"]) < block) & (F.least(*[F.col(a) for a in "xyz"]) >= 0)
     name = F.col(asset).cast("string")
     file = F.when(inside, name).otherwise(F.concat(name, F.lit("@"), F.concat_ws("_", *box)))
     rows = df.select(file.alias("file"), *[F.col(a).cast("int").alias(a) for a in "xyz"], *attrs)
-    clustered = rows.repartition("file").sortWithinPartitions("file", "x", "y", "z")
-    clustered.write.format(kind).options(**options).mode("append").save(path)
+    if kind == "vxz":
+        rows = encoded_chunks(rows, attrs, options).repartition("file").sortWithinPartitions("file", "cx", "cy", "cz")
+        rows = rows.drop("cx", "cy", "cz")
+    else:
+        rows = rows.repartition("file").sortWithinPartitions("file", "x", "y", "z")
+    rows.write.format(kind).options(**options).mode("append").save(path)
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh", text: bool = False, channels: dict[str, list[str]] | None = None) -> None:
@@ -471,8 +513,6 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "me
         return "\n".join(head).encode() + table.tobytes() + packed
 
     def save(batches):
-        import pandas as pd
-
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
         held: list = []

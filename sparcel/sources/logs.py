@@ -11,17 +11,20 @@ VIEWS_SCHEMA = (
 )
 
 
-def write_views(views: DataFrame, asset: str, path: str) -> None:
-    """One camera document per asset from rows (asset, idx, file_path, camera_angle_x, transform_matrix).
+def write_views(views: DataFrame, asset: str, path: str, per_document: int = 256) -> None:
+    """Camera documents from rows (asset, idx, file_path, camera_angle_x, transform_matrix).
 
-    The frame list of an asset is one JSON value; its length is the number of views
-    rendered per asset, a small fixed setting.
+    An asset's frames are cut into documents of at most ``per_document`` consecutive
+    ones (``first`` is the first index), so that no row grows with an asset.
     """
     frame = F.struct("file_path", "camera_angle_x", "transform_matrix")
-    docs = views.groupBy(asset).agg(F.sort_array(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"))
+    block = F.floor(F.col("idx") / per_document).cast("int").alias("_block")
+    docs = views.groupBy(asset, block).agg(
+        F.sort_array(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"), F.min("idx").cast("int").alias("first")
+    )
     unit = F.array(*[F.array(*[F.lit(v)] * 3) for v in (-0.5, 0.5)])
     doc = docs.select(
-        F.col(asset).cast("string").alias("asset"), unit.alias("aabb"), F.lit(1.0).alias("scale"),
+        F.col(asset).cast("string").alias("asset"), "first", unit.alias("aabb"), F.lit(1.0).alias("scale"),
         F.array(*[F.lit(0.0)] * 3).alias("offset"), F.transform("f", lambda f: f["frame"]).alias("frames"),
     )
     doc.write.json(path)
@@ -36,9 +39,12 @@ def read_views(spark: SparkSession, path: str, single_files: bool = False) -> Da
     if single_files:
         docs = spark.read.schema(VIEWS_SCHEMA).option("multiLine", True).json(f"{path}/*/transforms.json")
         docs = docs.withColumn("asset", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+        docs = docs.withColumn("first", F.lit(0))
     else:
-        docs = spark.read.schema("asset string, " + VIEWS_SCHEMA).json(path)
-    return docs.select("asset", F.posexplode("frames").alias("idx", "frame")).select("asset", "idx", "frame.*")
+        docs = spark.read.schema("asset string, first int, " + VIEWS_SCHEMA).json(path)
+    return docs.select("asset", "first", F.posexplode("frames").alias("pos", "frame")).select(
+        "asset", (F.col("first") + F.col("pos")).alias("idx"), "frame.*"
+    )
 
 
 def write_step_log(steps: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -73,11 +73,11 @@ def windowed_counts(events: DataFrame, time: str, width: str, lateness: str, key
     )
 
 
-def trailing_means(events: DataFrame, key: str, time: str, id_: str, value: str, size: int) -> DataFrame:
-    """Mean of the newest ``size`` values per key, whatever order they arrive in.
+def trailing_rings(events: DataFrame, key: str, time: str, id_: str, value: str, size: int, salts: int = 16) -> DataFrame:
+    """The newest ``size`` values of every (key, salt), whatever order they arrive in.
 
-    The state is a ring of at most ``size`` values; a hot key streams through in Arrow
-    batches and never needs more memory than that.
+    A key's rows are spread over ``salts`` states by their id, so that a hot key keeps
+    many tasks busy; every state is a ring of at most ``size`` values.
     """
 
     def update(group: tuple, batches, state: GroupState):
@@ -88,12 +88,25 @@ def trailing_means(events: DataFrame, key: str, time: str, id_: str, value: str,
             values = np.r_[values, pdf["v"].to_numpy(float)]
             newest = np.lexsort((ids, times))[-size:]
             times, ids, values = times[newest], ids[newest], values[newest]
-        state.update((times.tolist(), ids.tolist(), values.tolist()))
-        yield pd.DataFrame({"key": [group[0]], "n": [len(values)], "mean": [values.mean()]})
+        ring = times.astype(np.int64).tolist(), ids.astype(np.int64).tolist(), values.tolist()
+        state.update(ring)
+        yield pd.DataFrame({"key": [group[0]], "salt": [group[1]], "t": [ring[0]], "id": [ring[1]], "v": [ring[2]]})
 
     narrow = events.select(
-        F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(id_).alias("id"), F.col(value).alias("v")
+        F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(id_).alias("id"), F.col(value).alias("v"),
+        F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int").alias("salt"),
     )
-    return narrow.groupBy("key").applyInPandasWithState(
-        update, "key bigint, n bigint, mean double", "t array<bigint>, id array<bigint>, v array<double>", "update", GroupStateTimeout.NoTimeout
+    ring = "t array<bigint>, id array<bigint>, v array<double>"
+    return narrow.groupBy("key", "salt").applyInPandasWithState(
+        update, f"key bigint, salt int, {ring}", ring, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def trailing_means(rings: DataFrame, size: int) -> DataFrame:
+    """Count and mean of the newest ``size`` values per key, from its salted rings (at most salts * size rows)."""
+    rows = rings.select("key", F.explode(F.arrays_zip("t", "id", "v")).alias("e"))
+    newest = Window.partitionBy("key").orderBy(F.desc("e.t"), F.desc("e.id"))
+    return (
+        rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= size)
+        .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("e.v").alias("mean"))
     )
