@@ -160,10 +160,13 @@ def segment_cells(segments: DataFrame, keep: Sequence[str], n: int) -> DataFrame
         border = (F.col(f"b{a}") + F.when(F.col(f"d{a}") > 0, 1).otherwise(0)) / float(n)
         s = s.withColumn(f"t{a}", F.try_divide(border - F.col(f"s{a}"), F.col(f"d{a}")))
         s = s.withColumn(f"p{a}", F.try_divide(F.lit(1.0 / n), F.abs(f"d{a}")))
-    # number of crossings of axis a at lengths up to t (or below t)
+
     def passed(a: str, t: str, inclusive: bool) -> str:
-        count = f"floor(({t} - t{a}) / p{a}) + 1" if inclusive else f"ceil(({t} - t{a}) / p{a})"
-        return f"cast(if(t{a} is null or {t} < t{a}, 0, greatest({count}, 0)) as int)"
+        """Crossings of axis ``a`` no later than ``t`` (or before it), judged on the same lengths the events carry."""
+        late = ">" if inclusive else ">="
+        guess = f"cast(floor(({t} - t{a}) / p{a}) as int)"
+        near = f"filter(array({guess} - 1, {guess}, {guess} + 1), m -> m >= 0 and not (t{a} + m * p{a} {late} {t}))"
+        return f"if(t{a} is null or t{a} {late} {t}, 0, coalesce(array_max({near}), -1) + 1)"
 
     events = ["named_struct('axis', -1, 'm', 0, 't', 0D)"]
     lists = [f"array({events[0]})"]
