@@ -131,7 +131,6 @@ def edge_quads(cells: DataFrame, flags: Mapping[str, str], payload: Sequence[str
     by edge puts the ring together: a single shuffle where a lookup per corner would
     need four joins.
     """
-    item = F.struct(*payload)
     sends = F.array(
         *[
             F.struct(
@@ -144,16 +143,16 @@ def edge_quads(cells: DataFrame, flags: Mapping[str, str], payload: Sequence[str
             for slot, offset in enumerate(ring)
         ]
     )
-    sent = cells.select("batch", item.alias("item"), F.explode(sends).alias("s"))
+    sent = cells.select("batch", *[F.col(p).alias(f"_p_{p}") for p in payload], F.explode(sends).alias("s"))
     edge = [F.col("batch"), F.col("s.axis").alias("axis"), *[F.col(f"s.e{a}").alias(a) for a in AXES]]
-    ring = sent.select(*edge, F.col("s.slot").alias("slot"), F.col("s.owner").alias("owner"), "item")
-    corners = [F.max(F.when(F.col("slot") == k, F.col("item"))).alias(f"c{k}") for k in range(4)]
-    return (
-        ring.groupBy("batch", "axis", *AXES)
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("owner").alias("_owner"), *corners)
-        .filter("_owner and _n = 4")
-        .drop("_n", "_owner")
+    ring = sent.select(*edge, F.col("s.slot").alias("slot"), F.col("s.owner").alias("owner"), *[f"_p_{p}" for p in payload])
+    # one aggregate per field, not per struct: primitive buffers keep the hash aggregate
+    fields = [F.max(F.when(F.col("slot") == k, F.col(f"_p_{p}"))).alias(f"_{k}_{p}") for k in range(4) for p in payload]
+    whole = (
+        ring.groupBy("batch", "axis", *AXES).agg(F.count(F.lit(1)).alias("_n"), F.max("owner").alias("_owner"), *fields).filter("_owner and _n = 4")
     )
+    corners = [F.struct(*[F.col(f"_{k}_{p}").alias(p) for p in payload]).alias(f"c{k}") for k in range(4)]
+    return whole.select("batch", "axis", *AXES, *corners)
 
 
 def trilinear(points: DataFrame, cells: DataFrame, values: Sequence[str], point_id: Sequence[str]) -> DataFrame:

@@ -115,21 +115,24 @@ def neighbor_deltas(cells: DataFrame, values: list[str], chunk: int) -> DataFram
     sends = F.array(
         *[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip(axes, o)], F.lit(rank).alias("rank")) for o, rank in offers]
     )
-    payload = F.struct(*values).alias("_v")
-    sent = cells.select("batch", *axes, payload, F.explode(sends).alias("o"))
+    sent = cells.select("batch", *axes, *[F.col(v).alias(f"_v_{v}") for v in values], F.explode(sends).alias("o"))
     inside = None
     for a in axes:
         fits = (F.col(f"o.d{a}") == 0) | (F.pmod(a, F.lit(chunk)) < chunk - 1)
         inside = fits if inside is None else inside & fits
     offered = sent.filter(inside).select(
-        "batch", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in axes], F.col("o.rank").alias("rank"), "_v"
+        "batch", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in axes], F.col("o.rank").alias("rank"), *[f"_v_{v}" for v in values]
     )
-    own = F.max(F.when(F.col("rank") == 0, F.col("_v"))).alias("own")
-    reference = F.max_by("_v", F.when(F.col("rank") > 0, F.col("rank"))).alias("ref")
-    met = offered.groupBy("batch", *axes).agg(own, reference, F.max("rank").alias("reference")).filter("own is not null")
-    return met.select(
+    # per value and not per struct: primitive buffers keep the hash aggregate
+    met = offered.groupBy("batch", *axes).agg(
+        F.min("rank").alias("_own"),
+        F.max("rank").alias("reference"),
+        *[F.max(F.when(F.col("rank") == 0, F.col(f"_v_{v}"))).alias(f"_own_{v}") for v in values],
+        *[F.max_by(f"_v_{v}", F.when(F.col("rank") > 0, F.col("rank"))).alias(f"_ref_{v}") for v in values],
+    )
+    return met.filter("_own = 0").select(
         "batch", *axes, "reference",
-        *[byte_diff(F.col(f"own.{v}"), F.coalesce(F.col(f"ref.{v}"), F.lit(0))).cast("int").alias(v) for v in values],
+        *[byte_diff(F.col(f"_own_{v}"), F.coalesce(F.col(f"_ref_{v}"), F.lit(0))).cast("int").alias(v) for v in values],
     )
 
 

@@ -112,19 +112,32 @@ def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], na
     return running(df, group, order, {name: F.lit(1).cast("bigint")}, exclusive=True)
 
 
-def trailing(df: DataFrame, order: Sequence[str], width: int, aggs: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over the last ``width`` rows of the whole order (row itself included).
+_COMBINE = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
-    Rows are cut into blocks of a fixed number of positions; each block also receives
-    the ``width - 1`` rows before it, so every window is answered inside one block.
+
+def trailing(df: DataFrame, order: Sequence[str], width: int, aggs: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Aggregates over the last ``width`` rows of the whole order, the row itself included.
+
+    ``aggs`` maps names to (sum | count | min | max, column). Positions are cut into
+    blocks of ``width`` rows and each block also gets the rows of the block before.
+    A window is then the tail of one block and the head of the next, both of which are
+    running aggregates: the work per row does not depend on ``width``.
     """
-    block = max(width, 4096)
-    placed = global_position(df, order, "_pos")
-    home = F.floor(F.col("_pos") / block).cast("bigint")
-    spills = F.pmod(F.col("_pos"), F.lit(block)) > F.lit(block - width)
-    copies = placed.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.when(spills, F.array(home, home + 1)).otherwise(F.array(home)))
+    placed = global_position(df.withColumns({f"_in_{n}": c for n, (_, c) in aggs.items()}), order, "_pos")
+    home = F.floor(F.col("_pos") / width).cast("bigint")
+    copies = placed.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "_block", F.when(F.col("_home"), home).otherwise(home + 1)
     )
-    frame = Window.partitionBy("_block").orderBy("_pos").rowsBetween(-(width - 1), Window.currentRow)
-    framed = copies.withColumns({n: a.over(frame) for n, a in aggs.items()})
-    return framed.filter("_block = _home").select(*df.columns, *aggs.keys())
+    head = Window.partitionBy("_block", "_home").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = Window.partitionBy("_block", "_home").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = {n: getattr(F, how)(f"_in_{n}") for n, (how, _) in aggs.items()}
+    part = copies.withColumns({f"_head_{n}": a.over(head) for n, a in made.items()})
+    part = part.withColumns({f"_tail_{n}": a.over(tail) for n, a in made.items()})
+    both = Window.partitionBy("_block").orderBy("_pos")
+    inner = F.pmod("_pos", F.lit(width)) < width - 1
+    out = {}
+    for n, (how, _) in aggs.items():
+        before = F.when(inner, F.lag(f"_tail_{n}", width - 1).over(both)) if width > 1 else F.lit(None)
+        own = F.col(f"_head_{n}")
+        out[n] = F.coalesce(_COMBINE[how](own, before), own, before) if width > 1 else own
+    return part.withColumns(out).filter("_home").select(*df.columns, *aggs.keys())

@@ -41,5 +41,5 @@ def first_hits(cells: DataFrame, view: str, values: Sequence[str], n: int, width
     step = width // n
     rows = cells.withColumn("py", F.explode(F.sequence(F.col("y") * step, F.col("y") * step + step - 1)))
     pixels = rows.withColumn("px", F.explode(F.sequence(F.col("x") * step, F.col("x") * step + step - 1)))
-    near = F.struct("z", *values)
-    return pixels.groupBy(view, "py", "px").agg(F.min_by(near, "z").alias("_h")).select(view, "py", "px", "_h.*")
+    nearest = [F.min("z").alias("z"), *[F.min_by(v, "z").alias(v) for v in values]]
+    return pixels.groupBy(view, "py", "px").agg(*nearest)

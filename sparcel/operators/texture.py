@@ -108,13 +108,14 @@ def mip_level(length: Column, size: Column, offset: float = 0.0) -> Column:
     return F.log2(length * size) + offset
 
 
-def sample(points: DataFrame, texels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sample(points: DataFrame, texels: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Sampled channels in 0..1 for points (tex, u, v, filter, wrap, size, mip).
 
     ``mip`` NULL, non-finite or not above zero reads the image itself; in between two
     levels are blended; nearest sampling never leaves the image. Coarse levels have
     few texels for many points, so their texels are replicated and the points spread
     over the copies, four times more per level: no texel becomes a hot join key.
+    Columns named in ``carry`` depend on the keys and come along through the grouping.
     """
     top = F.log2(F.col("size").cast("double")).cast("int")
     flat = (
@@ -136,16 +137,17 @@ def sample(points: DataFrame, texels: DataFrame, keys: Sequence[str]) -> DataFra
     )
     copies = F.expr("shiftleft(1, 2 * least(level, 3))")
     taps = levelled.withColumn("_t", F.explode(_taps("u", "v"))).select(
-        *keys, "tex", "level", "_t.tx", "_t.ty", (F.col("_t.w") * F.col("_share")).alias("_w"),
+        *keys, *carry, "tex", "level", "_t.tx", "_t.ty", (F.col("_t.w") * F.col("_share")).alias("_w"),
         F.pmod(F.xxhash64(*keys), copies).cast("int").alias("_copy"),
     )
     spread = texels.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     met = taps.join(spread, ["tex", "level", "tx", "ty", "_copy"])
-    return met.groupBy(*keys).agg(*[(F.sum(F.col("_w") * F.col(c)) / 255).alias(c) for c in CHANNELS])
+    read = [(F.sum(F.col("_w") * F.col(c)) / 255).alias(c) for c in CHANNELS]
+    return met.groupBy(*keys).agg(*read, *[F.first(c).alias(c) for c in carry])
 
 
 def tangent_frame(triangles: DataFrame) -> DataFrame:
-    """Tangent t*, bitangent s* and texture scale of triangles with corner texture coordinates.
+    """Tangent tan*, bitangent bit* and texture scale of triangles with corner texture coordinates.
 
     Texture coordinates without area give fixed axes and a scale so large that the
     full image is read. Expects the unit normal nx, ny, nz.
@@ -159,7 +161,7 @@ def tangent_frame(triangles: DataFrame) -> DataFrame:
     flat = F.abs(det) < 1e-6
     norm_t, norm_s = F.sqrt(dot(raw_t, raw_t)), F.sqrt(dot(raw_s, raw_s))
     out = triangles
-    for name, raw, norm, fixed in (("t", raw_t, norm_t, (1.0, 0.0, 0.0)), ("s", raw_s, norm_s, (0.0, 1.0, 0.0))):
+    for name, raw, norm, fixed in (("tan", raw_t, norm_t, (1.0, 0.0, 0.0)), ("bit", raw_s, norm_s, (0.0, 1.0, 0.0))):
         out = out.withColumns({f"{name}{ax}": F.when(flat, fx).otherwise(F.try_divide(r, norm)) for ax, r, fx in zip(AXES, raw, fixed)})
     scale = F.when(flat, 1e6).otherwise(F.sqrt(norm_t * norm_s / (det * det)))
     return out.withColumn("uv_scale", scale)
@@ -191,7 +193,7 @@ def surface_points(triangles: DataFrame, keys: Sequence[str], n: int) -> DataFra
                 framed = framed.withColumn(f"{k}n{ax}", F.col(f"n{ax}"))
     carried = [
         *[f"{k}{ax}" for k in "abc" for ax in (*AXES, "u", "v", "nx", "ny", "nz")], "nx", "ny", "nz",
-        *[f"{f}{ax}" for f in "ts" for ax in AXES], "uv_scale", "material",
+        *[f"{f}{ax}" for f in ("tan", "bit") for ax in AXES], "uv_scale", "material",
     ]
     touched = hit_cells(scan_hits(framed, [*keys, *carried], n), [*keys, *carried])
     center = [(F.col(ax) + 0.5) / n for ax in AXES]
@@ -204,7 +206,7 @@ def surface_points(triangles: DataFrame, keys: Sequence[str], n: int) -> DataFra
     }
     narrow = placed.select(
         *keys, "material", *AXES, (1 - F.col("dist")).alias("weight"), (F.lit(1.0 / n) / F.col("uv_scale")).alias("mip_length"),
-        *[c.alias(k) for k, c in values.items()], *[f"{f}{ax}" for f in "ts" for ax in AXES],
+        *[c.alias(k) for k, c in values.items()], *[f"{f}{ax}" for f in ("tan", "bit") for ax in AXES],
     )
     return narrow.dropDuplicates([*keys, *AXES])
 
@@ -218,20 +220,22 @@ def cell_attributes(
     fr, fg, fb, mode, cutoff). An attribute without texture is its factor; masked
     alpha is cut per sample; a normal texture is turned into the surface frame.
     """
-    id_ = [*keys, *AXES, "attr"]
+    id_ = [*keys, *AXES, "attr", "mode"]
+    carry = ["weight", "cutoff", *[f"f{c}" for c in CHANNELS], *[f"{k}{ax}" for k in ("tan", "bit", "in") for ax in AXES]]
     asked = points.join(looks, "material").withColumn("mip", mip_level(F.col("mip_length"), F.col("size"), mip_offset))
     plain = F.col("tex").isNull() | ((F.col("attr") == "alpha") & (F.col("mode") == "OPAQUE"))
-    textured = asked.filter(~plain)
-    sampled = sample(textured.select(*id_, "tex", "u", "v", "filter", "wrap", "size", "mip"), texels, id_)
-    read = asked.join(sampled, id_, "left")
-    raw = {c: F.coalesce(F.col(c), F.lit(1.0)) * F.col(f"f{c}") for c in CHANNELS}
+    spot = ["tex", "u", "v", "filter", "wrap", "size", "mip"]
+    sampled = sample(asked.filter(~plain).select(*id_, *spot, *carry), texels, id_, carry).withColumn("textured", F.lit(True))
+    flat = asked.filter(plain).select(*id_, *carry, *[F.lit(1.0).alias(c) for c in CHANNELS], F.lit(False).alias("textured"))
+    read = sampled.unionByName(flat)
+    raw = {c: F.col(c) * F.col(f"f{c}") for c in CHANNELS}
     alpha = effective_alpha(F.col("mode"), raw["r"], F.col("cutoff"))
     m = [F.col(c) * 2 - 1 for c in CHANNELS]
-    turned = [m[0] * F.col(f"t{ax}") + m[1] * F.col(f"s{ax}") + m[2] * F.col(f"in{ax}") for ax in AXES]
+    turned = [m[0] * F.col(f"tan{ax}") + m[1] * F.col(f"bit{ax}") + m[2] * F.col(f"in{ax}") for ax in AXES]
     length = F.sqrt(dot(turned, turned))
     value = {}
     for i, (c, ax) in enumerate(zip(CHANNELS, AXES)):
-        normal = F.when(F.col("tex").isNull(), F.col(f"in{ax}")).otherwise(F.try_divide(turned[i], length))
+        normal = F.when(F.col("textured"), F.try_divide(turned[i], length)).otherwise(F.col(f"in{ax}"))
         value[c] = F.when(F.col("attr") == "normal", normal).when(F.col("attr") == "alpha", alpha).otherwise(raw[c])
     weighed = read.select(batch, *AXES, "attr", "weight", *[v.alias(c) for c, v in value.items()])
     total = F.sum("weight")

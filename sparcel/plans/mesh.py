@@ -208,24 +208,21 @@ VERTEX = "((CAST(batch AS BIGINT) * 64 + x) * 512 + y * 8 + z)"
 
 
 def dual_vertices(spark, d):
-    """Cells with a dual vertex in each, spread by price and discount."""
-    t = cells(spark, d)
-    return t.select(
+    """Cells with a dual vertex in each, spread by quantity, and a split weight."""
+    return cells(spark, d).select(
         "batch", "x", "y", "z", F.expr(VERTEX).alias("id"),
         *[(F.col(f) == 1).alias(f) for f in ("fa", "fb", "fc")],
-        F.struct(
-            F.expr(VERTEX).alias("id"),
-            F.expr("x + pmod(qty * 0.37D, 1D)").alias("x"),
-            F.expr("y + pmod(qty * 0.73D, 1D)").alias("y"),
-            F.expr("z + pmod(qty * 0.91D, 1D)").alias("z"),
-            F.expr("1 + disc * 7.3D + qty / 100").alias("w"),
-        ).alias("p"),
+        F.expr("x + pmod(qty * 0.37D, 1D)").alias("vx"),
+        F.expr("y + pmod(qty * 0.73D, 1D)").alias("vy"),
+        F.expr("z + pmod(qty * 0.91D, 1D)").alias("vz"),
+        F.expr("1 + disc * 7.3D + qty / 100").alias("w"),
     )
 
 
 def quads(spark, d):
-    q = C.edge_quads(dual_vertices(spark, d), {"x": "fa", "y": "fb", "z": "fc"}, ["p"])
-    return q.select("batch", "axis", "x", "y", "z", *[F.col(f"c{k}.p").alias(f"c{k}") for k in range(4)])
+    q = C.edge_quads(dual_vertices(spark, d), {"x": "fa", "y": "fb", "z": "fc"}, ["id", "vx", "vy", "vz", "w"])
+    named = "named_struct('id', c{0}.id, 'x', c{0}.vx, 'y', c{0}.vy, 'z', c{0}.vz, 'w', c{0}.w)"
+    return q.select("batch", "axis", "x", "y", "z", *[F.expr(named.format(k)).alias(f"c{k}") for k in range(4)])
 
 
 DUAL_SQL = f"""c2 AS (SELECT batch, x, y, z, fa, fb, fc, struct_pack(id := {VERTEX}, x := x + (qty * 0.37::DOUBLE) % 1, y := y + (qty * 0.73::DOUBLE) % 1,

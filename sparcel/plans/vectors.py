@@ -495,9 +495,10 @@ def camera_projection(spark, d):
 def trailing_stats(spark, d):
     events = load(spark, d, "events").select("event_id", "ts", "value")
     framed = trailing(
-        events, ["ts", "event_id"], 1000, {"mean": F.avg("value"), "peak": F.max("value"), "n": F.count(F.lit(1))}
+        events, ["ts", "event_id"], 1000,
+        {"total": ("sum", F.col("value")), "peak": ("max", F.col("value")), "n": ("count", F.col("value"))},
     )
-    return framed.select("event_id", F.round("mean", 6).alias("mean"), "peak", "n")
+    return framed.select("event_id", F.round(F.col("total") / F.col("n"), 6).alias("mean"), "peak", "n")
 
 
 @query(

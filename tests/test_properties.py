@@ -50,7 +50,10 @@ def test_positions(hot):
 def test_trailing(spark, width):
     values = [random.Random(1).randrange(50) for _ in range(9000)]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(4)
-    got = {r["i"]: r["s"] for r in trailing(df, ["i"], width, {"s": F.sum("v")}).collect()}
+    out = trailing(df, ["i"], width, {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "n": ("count", F.col("v"))}).collect()
+    got = {r["i"]: r["s"] for r in out}
+    assert all(r["m"] == max(values[max(0, r["i"] + 1 - width) : r["i"] + 1]) for r in out if r["i"] % 97 == 0)
+    assert all(r["n"] == min(r["i"] + 1, width) for r in out)
     prefix = np.r_[0, np.cumsum(values)]
     assert got == {i: prefix[i + 1] - prefix[max(0, i + 1 - width)] for i in range(9000)}
 
