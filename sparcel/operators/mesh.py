@@ -55,12 +55,16 @@ def normalize(vertices: DataFrame, mesh: str = "mesh") -> DataFrame:
 
 
 def gather(faces: DataFrame, vertices: DataFrame, values: Sequence[str] = AXES, mesh: str = "mesh") -> DataFrame:
-    """Corner values of every face, as columns a*, b*, c*: one equi join per corner."""
-    out = faces
-    for corner, name in zip(("v0", "v1", "v2"), "abc"):
-        side = vertices.select(F.col(mesh), F.col("vid").alias(corner), *[F.col(v).alias(f"{name}{v}") for v in values])
-        out = out.join(side, [mesh, corner])
-    return out
+    """Corner values of every face, as columns a*, b*, c*.
+
+    The three corners of a face are looked up in one join and put back side by side
+    by one grouping; a join per corner would shuffle faces and vertices three times.
+    """
+    corner = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(v).alias("vid")) for k, v in enumerate(("v0", "v1", "v2"))])
+    sent = faces.withColumn("_c", F.explode(corner)).select(*faces.columns, "_c.slot", F.col("_c.vid").alias("vid"))
+    met = sent.join(vertices.select(mesh, "vid", *values), [mesh, "vid"])
+    sides = [F.max(F.when(F.col("slot") == k, F.col(v))).alias(f"{name}{v}") for k, name in enumerate("abc") for v in values]
+    return met.groupBy(*faces.columns).agg(*sides)
 
 
 def minus(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:

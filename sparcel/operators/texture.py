@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.operators.mesh import AXES, cross, dot, minus, with_normal
+from sparcel.operators.mesh import AXES, dot, minus, with_normal
 from sparcel.operators.voxelize import hit_cells, scan_hits
+from sparcel.session import stage
 
 CHANNELS = ("r", "g", "b")
 
@@ -152,32 +153,41 @@ def tangent_frame(triangles: DataFrame) -> DataFrame:
     Texture coordinates without area give fixed axes and a scale so large that the
     full image is read. Expects the unit normal nx, ny, nz.
     """
-    a, b, c = [[F.col(f"{k}{ax}") for ax in AXES] for k in "abc"]
-    e1, e2 = minus(b, a), minus(c, a)
-    du1, dv1, du2, dv2 = F.col("bu") - F.col("au"), F.col("bv") - F.col("av"), F.col("cu") - F.col("au"), F.col("cv") - F.col("av")
-    det = du1 * dv2 - dv1 * du2
-    raw_t = [dv2 * x - dv1 * y for x, y in zip(e1, e2)]
-    raw_s = [du1 * y - du2 * x for x, y in zip(e1, e2)]
-    flat = F.abs(det) < 1e-6
-    norm_t, norm_s = F.sqrt(dot(raw_t, raw_t)), F.sqrt(dot(raw_s, raw_s))
-    out = triangles
-    for name, raw, norm, fixed in (("tan", raw_t, norm_t, (1.0, 0.0, 0.0)), ("bit", raw_s, norm_s, (0.0, 1.0, 0.0))):
-        out = out.withColumns({f"{name}{ax}": F.when(flat, fx).otherwise(F.try_divide(r, norm)) for ax, r, fx in zip(AXES, raw, fixed)})
-    scale = F.when(flat, 1e6).otherwise(F.sqrt(norm_t * norm_s / (det * det)))
-    return out.withColumn("uv_scale", scale)
-
-
-def barycentric(point: Sequence[Column]) -> list[Column]:
-    """Barycentric coordinates of a point dropped onto the triangle's plane, and its signed distance."""
+    edges = {f"_e{k}{ax}": F.col(f"{c}{ax}") - F.col(f"a{ax}") for k, c in ((1, "b"), (2, "c")) for ax in AXES}
+    shifts = {f"_d{t}{k}": F.col(f"{c}{t}") - F.col(f"a{t}") for k, c in ((1, "b"), (2, "c")) for t in "uv"}
+    out = triangles.withColumns({**edges, **shifts})
+    du1, dv1, du2, dv2 = (F.col(f"_d{n}") for n in ("u1", "v1", "u2", "v2"))
+    raw = {f"_t{ax}": dv2 * F.col(f"_e1{ax}") - dv1 * F.col(f"_e2{ax}") for ax in AXES}
+    raw |= {f"_s{ax}": du1 * F.col(f"_e2{ax}") - du2 * F.col(f"_e1{ax}") for ax in AXES}
+    out = out.withColumns({**raw, "_det": du1 * dv2 - dv1 * du2})
+    out = out.withColumns({f"_l{k}": F.sqrt(dot(*[[F.col(f"_{k}{ax}") for ax in AXES]] * 2)) for k in "ts"})
+    flat = F.abs("_det") < 1e-6
+    frame = {}
+    for name, k, fixed in (("tan", "t", (1.0, 0.0, 0.0)), ("bit", "s", (0.0, 1.0, 0.0))):
+        frame |= {f"{name}{ax}": F.when(flat, fx).otherwise(F.try_divide(F.col(f"_{k}{ax}"), F.col(f"_l{k}"))) for ax, fx in zip(AXES, fixed)}
+    frame["uv_scale"] = F.when(flat, 1e6).otherwise(F.sqrt(F.col("_lt") * F.col("_ls")) / F.abs("_det"))
+    return out.withColumns(frame).drop(*edges, *shifts, *raw, "_det", "_lt", "_ls")
+
+
+def with_barycentric(df: DataFrame, point: Sequence[Column]) -> DataFrame:
+    """Barycentric coordinates wa, wb, wc of a point dropped onto the triangle's plane, and its signed distance.
+
+    Built up column by column, which keeps the generated code short.
+    """
     a, b, c = [[F.col(f"{k}{ax}") for ax in AXES] for k in "abc"]
     n = [F.col(f"n{ax}") for ax in AXES]
-    d = dot(minus(point, a), n)
-    ab, ac = minus(b, a), minus(c, a)
-    ap = [p - d * m - x for p, m, x in zip(point, n, a)]
-    d00, d01, d11, d20, d21 = dot(ab, ab), dot(ab, ac), dot(ac, ac), dot(ap, ab), dot(ap, ac)
-    area = d00 * d11 - d01 * d01
-    v, w = F.try_divide(d11 * d20 - d01 * d21, area), F.try_divide(d00 * d21 - d01 * d20, area)
-    return [1 - v - w, v, w, d]
+    df = df.withColumns({f"_p{ax}": p for ax, p in zip(AXES, point)})
+    df = df.withColumn("dist", dot(minus([F.col(f"_p{ax}") for ax in AXES], a), n))
+    legs = {f"_b{ax}": y - x for ax, x, y in zip(AXES, a, b)} | {f"_c{ax}": y - x for ax, x, y in zip(AXES, a, c)}
+    legs |= {f"_q{ax}": F.col(f"_p{ax}") - F.col("dist") * m - x for ax, m, x in zip(AXES, n, a)}
+    df = df.withColumns(legs)
+    leg = {k: [F.col(f"_{k}{ax}") for ax in AXES] for k in "bcq"}
+    products = {f"_{i}{j}": dot(leg[i], leg[j]) for i, j in ("bb", "bc", "cc", "qb", "qc")}
+    df = df.withColumns(products)
+    bb, bc, cc, qb, qc = (F.col(k) for k in products)
+    df = df.withColumn("_area", bb * cc - bc * bc)
+    df = df.withColumns({"wb": F.try_divide(cc * qb - bc * qc, F.col("_area")), "wc": F.try_divide(bb * qc - bc * qb, F.col("_area"))})
+    return df.withColumn("wa", 1 - F.col("wb") - F.col("wc")).drop(*legs, *products, "_area", *[f"_p{ax}" for ax in AXES])
 
 
 def surface_points(triangles: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -187,28 +197,21 @@ def surface_points(triangles: DataFrame, keys: Sequence[str], n: int) -> DataFra
     and texture coordinates; corner normals (anx..cnz) fall back to the face normal.
     """
     framed = tangent_frame(with_normal(triangles)).filter("area2 > 0")
-    for k in "abc":
-        for ax in AXES:
-            if f"{k}n{ax}" not in framed.columns:
-                framed = framed.withColumn(f"{k}n{ax}", F.col(f"n{ax}"))
-    carried = [
-        *[f"{k}{ax}" for k in "abc" for ax in (*AXES, "u", "v", "nx", "ny", "nz")], "nx", "ny", "nz",
-        *[f"{f}{ax}" for f in ("tan", "bit") for ax in AXES], "uv_scale", "material",
-    ]
-    touched = hit_cells(scan_hits(framed, [*keys, *carried], n), [*keys, *carried])
-    center = [(F.col(ax) + 0.5) / n for ax in AXES]
-    bary = barycentric(center)
-    placed = touched.withColumns({name: c for name, c in zip(("_u", "_v", "_w", "dist"), bary)})
+    given = [f"{k}n{ax}" for k in "abc" for ax in AXES]
+    framed = stage(framed.withColumns({c: F.col(c[1:]) for c in given if c not in framed.columns}), "triangles")
+    # distinct (triangle, cell) pairs first, on narrow rows; the corners are joined to them afterwards
+    touched = hit_cells(scan_hits(framed, list(keys), n), list(keys)).select(*keys, *AXES).distinct()
+    touched = touched.join(framed, list(keys))
+    placed = with_barycentric(touched, [(F.col(ax) + 0.5) / n for ax in AXES])
     mixed = {"u": "u", "v": "v", "inx": "nx", "iny": "ny", "inz": "nz"}
     values = {
-        out: F.col("_u") * F.col(f"a{src}") + F.col("_v") * F.col(f"b{src}") + F.col("_w") * F.col(f"c{src}")
+        out: F.col("wa") * F.col(f"a{src}") + F.col("wb") * F.col(f"b{src}") + F.col("wc") * F.col(f"c{src}")
         for out, src in mixed.items()
     }
-    narrow = placed.select(
+    return placed.select(
         *keys, "material", *AXES, (1 - F.col("dist")).alias("weight"), (F.lit(1.0 / n) / F.col("uv_scale")).alias("mip_length"),
         *[c.alias(k) for k, c in values.items()], *[f"{f}{ax}" for f in ("tan", "bit") for ax in AXES],
     )
-    return narrow.dropDuplicates([*keys, *AXES])
 
 
 def cell_attributes(

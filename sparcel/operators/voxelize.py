@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.operators.mesh import with_normal
+from sparcel.session import spread, stage
 
 AXES = ("x", "y", "z")
 QUADRIC = [f"q{i}{j}" for i in range(4) for j in range(i, 4)]
@@ -47,7 +48,7 @@ def scan_hits(triangles: DataFrame, keep: Sequence[str], n: int) -> DataFrame:
         u, v, w = AXES[(axis + 1) % 3], AXES[(axis + 2) % 3], AXES[axis]
         points = ", ".join(f"named_struct('y', {c}{v}, 'x', {c}{u}, 'z', {c}{w})" for c in "abc")
         views.append(f"named_struct('axis', {axis}, 't', array_sort(array({points})))")
-    t = triangles.select(*keep, F.expr(f"explode(array({', '.join(views)})) as view"))
+    t = spread(triangles).select(*keep, F.expr(f"explode(array({', '.join(views)})) as view"))
     t = t.selectExpr(*keep, "view.axis as axis", "view.t[0] as t0", "view.t[1] as t1", "view.t[2] as t2")
     t = t.withColumns({f"r{i}": F.expr(_clamped(f"t{i}.y", n)) for i in range(3)})
     rows = t.filter("r0 < r2").withColumn("row", F.expr("explode(sequence(r0, r2 - 1))"))
@@ -139,7 +140,7 @@ def overlap_cells(triangles: DataFrame, keep: Sequence[str], n: int) -> DataFram
     base = sum((m * (F.col(a) * size - F.col(f"a{a}")) for m, a in list(zip(normal, AXES))[1:]), normal[0] * (F.col("x") * size - F.col("ax")))
     far = sum((F.greatest(m, F.lit(0.0)) for m in normal[1:]), F.greatest(normal[0], F.lit(0.0))) * size
     near = sum((F.least(m, F.lit(0.0)) for m in normal[1:]), F.least(normal[0], F.lit(0.0))) * size
-    flat = column(column(triangles.select(*keep_tri), "x"), "y").filter(projected("x", "y", "z"))
+    flat = column(column(spread(triangles.select(*keep_tri)), "x"), "y").filter(projected("x", "y", "z"))
     deep = column(flat, "z").filter((base + far) * (base + near) <= 0)
     return deep.filter(projected("y", "z", "x") & projected("z", "x", "y")).select(*keep, *AXES)
 
@@ -152,7 +153,7 @@ def segment_cells(segments: DataFrame, keep: Sequence[str], n: int) -> DataFrame
     the same length are taken z first, then y, then x.
     """
     length = F.sqrt(sum(((F.col(f"e{a}") - F.col(f"s{a}")) ** 2 for a in AXES[1:]), (F.col("ex") - F.col("sx")) ** 2))
-    s = segments.withColumn("len", length).filter("len >= 1e-6")
+    s = spread(segments).withColumn("len", length).filter("len >= 1e-6")
     for a in AXES:
         s = s.withColumn(f"d{a}", (F.col(f"e{a}") - F.col(f"s{a}")) / F.col("len"))
         s = s.withColumn(f"b{a}", F.floor(F.col(f"s{a}") * n).cast("int"))
@@ -193,7 +194,7 @@ def dual_grid_cells(
     Hits, overlaps and boundary crossings are stacked and grouped once by cell; cells
     that no grid line hit are dropped, which is the join to the active cells.
     """
-    t = with_normal(triangles)
+    t = stage(with_normal(triangles), "triangles")  # scanned twice: for hits and for overlaps
     plane = ["nx", "ny", "nz", "nd"]
     hits = hit_cells(scan_hits(t, [batch, *plane], n), [batch, *plane])
     zero, no = F.lit(0.0), F.lit(False)
@@ -295,7 +296,7 @@ def mesh_to_dual_grid(vertices: DataFrame, faces: DataFrame, n: int, mesh: str =
     """Normalised mesh to dual grid: cell, dual vertex in cell units, edge flags."""
     from sparcel.operators.mesh import gather, normalize
 
-    unit = normalize(vertices, mesh).withColumns({a: F.col(a) + 0.5 for a in AXES})
+    unit = stage(normalize(vertices, mesh).withColumns({a: F.col(a) + 0.5 for a in AXES}), "unit")
     triangles = gather(faces, unit, mesh=mesh)
     grid = dual_grid_cells(triangles, boundary_segments(faces, unit, mesh), mesh, n)
     return solve_cells(grid, mesh, n)

@@ -9,6 +9,7 @@ from sparcel.operators import mesh as M
 from sparcel.operators import raster, texture, voxelize
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import _ring_sql, with_cells
+from sparcel.session import stage
 from sparcel.tables import cells, load
 
 GRID = 16
@@ -397,7 +398,7 @@ def mesh_attributes(spark, d):
         F.lit("REPEAT").alias("wrap"), *[F.lit(0.9).alias(f"f{c}") for c in "rgb"],
         F.when(F.col("material") % 2 == 0, "MASK").otherwise("BLEND").alias("mode"), F.lit(0.45).alias("cutoff"),
     )
-    pyramid = texture.pyramid(texels(spark, d), 8)
+    pyramid = stage(texture.pyramid(texels(spark, d), 8), "pyramid")
     attrs = texture.cell_attributes(surface_points(spark, d), looks, pyramid, ["mesh", "fid"], "mesh")
     return attrs.select("mesh", "x", "y", "z", "attr", *[texture.attribute_bytes(F.col(c), F.col("attr")).alias(c) for c in "rgb"])
 

@@ -49,6 +49,15 @@ def staging_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small table over all shuffle partitions before its rows multiply.
+
+    The explicit number keeps adaptive coalescing, which goes by the bytes it sees
+    now, from putting the whole expansion into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _STAGED: list[str] = []
 
 
