@@ -118,6 +118,58 @@ def face_normals(spark, d):
     return t.select("mesh", "fid", *[F.round(f"n{a}", 6).alias(f"n{a}") for a in "xyz"], F.round(F.col("area2") / 2, 9).alias("area"))
 
 
+TRI_SQL = f"""tri AS (SELECT f.mesh, f.fid, {', '.join(f'{k}.{ax} + 0.5 AS {k}_{ax}' for k in 'abc' for ax in 'xyz')}
+  FROM face f JOIN unit a ON a.vid = v0 JOIN unit b ON b.vid = v1 JOIN unit c ON c.vid = v2)"""
+
+NORMAL_SQL = """nn AS (SELECT *, (b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y) AS mx, (b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z) AS my,
+  (b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x) AS mz FROM tri),
+un AS (SELECT *, mx / sqrt(mx * mx + my * my + mz * mz) AS n_x, my / sqrt(mx * mx + my * my + mz * mz) AS n_y, mz / sqrt(mx * mx + my * my + mz * mz) AS n_z FROM nn)"""
+
+
+def overlap_sql(n: int) -> str:
+    """Overlapping (triangle, cell) pairs by testing every cell of each triangle's box, as CTE ``ovl``."""
+
+    def projected(u: str, v: str, w: str) -> str:
+        turn, tests = f"(CASE WHEN n_{w} < 0 THEN -1 ELSE 1 END)", []
+        for s, e in (("a", "b"), ("b", "c"), ("c", "a")):
+            mu, mv = f"(-{turn} * ({e}_{v} - {s}_{v}))", f"({turn} * ({e}_{u} - {s}_{u}))"
+            tests.append(f"{mu} * ({u} / {n} - {s}_{u}) + {mv} * ({v} / {n} - {s}_{v}) + (greatest({mu}, 0) + greatest({mv}, 0)) / {n} >= 0")
+        return " AND ".join(tests)
+
+    box = " AND ".join(
+        f"{a}.i >= trunc(least(a_{a}, b_{a}, c_{a}) * {n}) AND {a}.i < trunc(greatest(a_{a}, b_{a}, c_{a}) * {n} + 1)" for a in "xyz"
+    )
+    base = " + ".join(f"n_{a} * ({a} / {n} - a_{a})" for a in "xyz")
+    far, near = (" + ".join(f"{f}(n_{a}, 0)" for a in "xyz") for f in ("greatest", "least"))
+    return f"""cand AS (SELECT un.*, CAST(x.i AS INTEGER) AS x, CAST(y.i AS INTEGER) AS y, CAST(z.i AS INTEGER) AS z
+      FROM un, range(0, {n}) x(i), range(0, {n}) y(i), range(0, {n}) z(i) WHERE {box}),
+    ovl AS (SELECT mesh, fid, x, y, z FROM cand WHERE ({base} + ({far}) / {n}) * ({base} + ({near}) / {n}) <= 0
+      AND {projected('x', 'y', 'z')} AND {projected('y', 'z', 'x')} AND {projected('z', 'x', 'y')})"""
+
+
+def segment_sql(n: int) -> str:
+    """Cells met by walking every boundary segment plane by plane, as CTE ``seg``; needs WITH RECURSIVE."""
+    axes = "xyz"
+    start = ", ".join(f"(e_{a} - s_{a}) / len AS d_{a}, CAST(floor(s_{a} * {n}) AS INTEGER) AS b_{a}" for a in axes)
+    plan = ", ".join(
+        f"CASE WHEN d_{a} > 0 THEN 1 ELSE -1 END AS g_{a}, CASE WHEN d_{a} = 0 THEN 'inf'::DOUBLE ELSE ((b_{a} + CASE WHEN d_{a} > 0 THEN 1 ELSE 0 END) / {float(n)}::DOUBLE - s_{a}) / d_{a} END AS t_{a}, "
+        f"CASE WHEN d_{a} = 0 THEN 'inf'::DOUBLE ELSE {1 / n}::DOUBLE / abs(d_{a}) END AS p_{a}"
+        for a in axes
+    )
+    keep = "mesh, a, b, len, " + ", ".join(f"s_{a}, d_{a}, g_{a}, p_{a}" for a in axes)
+    axis = "CASE WHEN t_x < t_y THEN (CASE WHEN t_x < t_z THEN 0 ELSE 2 END) ELSE (CASE WHEN t_y < t_z THEN 1 ELSE 2 END) END"
+    moved = ", ".join(f"CASE WHEN ax = {i} THEN c_{a} + g_{a} ELSE c_{a} END AS c_{a}, CASE WHEN ax = {i} THEN t_{a} + p_{a} ELSE t_{a} END AS t_{a}" for i, a in enumerate(axes))
+    inside = " AND ".join(f"c_{a} BETWEEN 0 AND {n - 1}" for a in axes)
+    return f"""ed_ AS (SELECT mesh, v0 AS p, v1 AS q FROM face UNION ALL SELECT mesh, v1, v2 FROM face UNION ALL SELECT mesh, v2, v0 FROM face),
+    bo AS (SELECT mesh, least(p, q) AS a, greatest(p, q) AS b FROM ed_ GROUP BY 1, 2, 3 HAVING count(*) = 1),
+    en_ AS (SELECT bo.mesh, a, b, {', '.join(f's.{a} + 0.5 AS s_{a}, e.{a} + 0.5 AS e_{a}' for a in axes)} FROM bo JOIN unit s ON s.vid = a JOIN unit e ON e.vid = b),
+    le AS (SELECT *, sqrt({' + '.join(f'(e_{a} - s_{a}) * (e_{a} - s_{a})' for a in axes)}) AS len FROM en_),
+    di_ AS (SELECT *, {start} FROM le WHERE len >= 1e-6), pl AS (SELECT *, {plan} FROM di_),
+    wk AS (SELECT {keep}, {', '.join(f'b_{a} AS c_{a}, t_{a}' for a in axes)} FROM pl
+      UNION ALL SELECT {keep}, {moved} FROM (SELECT *, {axis} AS ax FROM wk) WHERE least(t_x, t_y, t_z) <= len),
+    seg AS (SELECT * FROM wk WHERE {inside})"""
+
+
 def scan_sql(n: int) -> str:
     """Scan-line hits of unit-box triangles ``tri`` as CTEs ending in ``hit``."""
     views = " UNION ALL ".join(
@@ -136,9 +188,7 @@ def scan_sql(n: int) -> str:
     def real(u, v, w, a):
         return f"CASE axis WHEN {a} THEN {w} WHEN {(a + 1) % 3} THEN {v} ELSE {u} END"
 
-    return f"""
-    tri AS (SELECT f.mesh, f.fid, {', '.join(f'{k}.{ax} + 0.5 AS {k}_{ax}' for k in 'abc' for ax in 'xyz')}
-      FROM face f JOIN unit a ON a.vid = v0 JOIN unit b ON b.vid = v1 JOIN unit c ON c.vid = v2),
+    return f"""{TRI_SQL},
     tv AS ({views}),
     tr AS (SELECT mesh, fid, axis, t[1] AS t0, t[2] AS t1, t[3] AS t2, {', '.join(f'{clamp(f"t[{i + 1}].y")} AS r{i}' for i in range(3))} FROM tv),
     rw AS (SELECT *, CAST(unnest(range(r0, r2)) AS INTEGER) AS row FROM tr WHERE r0 < r2),
@@ -192,19 +242,51 @@ def mesh_to_dual_grid(spark, d):
     )
 
 
-@query("triangle_cell_overlap", "J13")
+@query(
+    "triangle_cell_overlap", "J13",
+    f"WITH {MESH_SQL}, {BOX_SQL}, {TRI_SQL}, {NORMAL_SQL}, {overlap_sql(GRID)} SELECT * FROM ovl",
+)
 def triangle_cell_overlap(spark, d):
     t = M.with_normal(unit_triangles(spark, d))
     return voxelize.overlap_cells(t, ["mesh", "fid"], GRID)
 
 
-@query("segment_cell_walk", "J14")
+@query(
+    "segment_cell_walk", "J14",
+    f"WITH RECURSIVE {MESH_SQL}, {BOX_SQL}, {segment_sql(GRID)} SELECT mesh, a, b, c_x AS x, c_y AS y, c_z AS z FROM seg",
+)
 def segment_cell_walk(spark, d):
     unit = M.normalize(vertices(spark, d)).withColumns({a: F.col(a) + 0.5 for a in "xyz"})
     segments = voxelize.boundary_segments(faces(spark, d), unit)
     return voxelize.segment_cells(segments, ["mesh", "a", "b"], GRID).select("mesh", "a", "b", "x", "y", "z")
 
 
+def quadric_sql() -> str:
+    plane = {"q03": "n_x * nd", "q13": "n_y * nd", "q23": "n_z * nd", "q33": "nd * nd"}
+    plane |= {f"q{i}{j}": f"n_{'xyz'[i]} * n_{'xyz'[j]}" for i in range(3) for j in range(i, 3)}
+    along = "(s_x * d_x + s_y * d_y + s_z * d_z)"
+    line = {f"q{i}{j}": f"0.2::DOUBLE * ({int(i == j)} - d_{'xyz'[i]} * d_{'xyz'[j]})" for i in range(3) for j in range(i, 3)}
+    line |= {f"q{i}3": f"0.2::DOUBLE * (d_{a} * {along} - s_{a})" for i, a in enumerate("xyz")}
+    line["q33"] = f"0.2::DOUBLE * (s_x * s_x + s_y * s_y + s_z * s_z - {along} * {along})"
+    names = sorted(plane)
+    return f"""WITH RECURSIVE {MESH_SQL}, {BOX_SQL}, {scan_sql(GRID)}, {NORMAL_SQL}, {overlap_sql(GRID)}, {segment_sql(GRID)},
+    pn AS (SELECT *, -(n_x * a_x + n_y * a_y + n_z * a_z) AS nd FROM un),
+    hc AS (SELECT mesh, fid, i + CASE axis WHEN 2 THEN u WHEN 1 THEN v ELSE 0 END AS x, j + CASE axis WHEN 0 THEN u WHEN 2 THEN v ELSE 0 END AS y,
+      k + CASE axis WHEN 1 THEN u WHEN 0 THEN v ELSE 0 END AS z FROM hit, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(u, v)),
+    al AS (SELECT hc.mesh, x, y, z, 1 AS cnt, {', '.join(f'{plane[q]} AS {q}' for q in names)} FROM hc JOIN pn ON pn.mesh = hc.mesh AND pn.fid = hc.fid
+      UNION ALL SELECT ovl.mesh, x, y, z, 0, {', '.join(plane[q] for q in names)} FROM ovl JOIN pn ON pn.mesh = ovl.mesh AND pn.fid = ovl.fid
+      UNION ALL SELECT mesh, c_x, c_y, c_z, 0, {', '.join(line[q] for q in names)} FROM seg)
+    SELECT mesh, x, y, z, CAST(sum(cnt) AS BIGINT) AS cnt, {', '.join(f'round(sum({q}), 6) AS {q}' for q in names)} FROM al GROUP BY mesh, x, y, z HAVING sum(cnt) > 0"""
+
+
+@query("dual_grid_quadrics", "A14 G4 J13 J14", quadric_sql())
+def dual_grid_quadrics(spark, d):
+    """Error quadrics of the active cells, before they are solved."""
+    unit = M.normalize(vertices(spark, d)).withColumns({a: F.col(a) + 0.5 for a in "xyz"})
+    grid = voxelize.dual_grid_cells(M.gather(faces(spark, d), unit), voxelize.boundary_segments(faces(spark, d), unit), "mesh", GRID)
+    return grid.select("mesh", "x", "y", "z", "cnt", *[F.round(q, 6).alias(q) for q in voxelize.QUADRIC])
+
+
 VERTEX = "((CAST(batch AS BIGINT) * 64 + x) * 512 + y * 8 + z)"
 
 
@@ -361,32 +443,62 @@ def surface_points(spark, d):
     return texture.surface_points(t, ["mesh", "fid"], GRID)
 
 
-@query(
-    "surface_points",
-    "F19 G6",
-    f"""WITH {MESH_SQL}, {BOX_SQL}, {scan_sql(GRID)},
+SURFACE_SQL = f"""{MESH_SQL}, {BOX_SQL}, {scan_sql(GRID)}, {NORMAL_SQL},
     tc AS (SELECT DISTINCT mesh, fid, i + CASE axis WHEN 2 THEN p WHEN 1 THEN q ELSE 0 END AS x, j + CASE axis WHEN 0 THEN p WHEN 2 THEN q ELSE 0 END AS y,
       k + CASE axis WHEN 1 THEN p WHEN 0 THEN q ELSE 0 END AS z FROM hit, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(p, q)),
-    nn AS (SELECT *, (b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y) AS mx, (b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z) AS my, (b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x) AS mz
-      FROM tri),
-    un AS (SELECT *, mx / sqrt(mx * mx + my * my + mz * mz) AS nx, my / sqrt(mx * mx + my * my + mz * mz) AS ny, mz / sqrt(mx * mx + my * my + mz * mz) AS nz FROM nn),
     ce AS (SELECT tc.*, un.* EXCLUDE (mesh, fid), (tc.x + 0.5) / {GRID} AS qx, (tc.y + 0.5) / {GRID} AS qy, (tc.z + 0.5) / {GRID} AS qz FROM tc JOIN un ON un.mesh = tc.mesh AND un.fid = tc.fid),
-    di AS (SELECT *, (qx - a_x) * nx + (qy - a_y) * ny + (qz - a_z) * nz AS dist FROM ce),
+    di AS (SELECT *, (qx - a_x) * n_x + (qy - a_y) * n_y + (qz - a_z) * n_z AS dist FROM ce),
     ba AS (SELECT *, (b_x - a_x) * (b_x - a_x) + (b_y - a_y) * (b_y - a_y) + (b_z - a_z) * (b_z - a_z) AS d00, (b_x - a_x) * (c_x - a_x) + (b_y - a_y) * (c_y - a_y) + (b_z - a_z) * (c_z - a_z) AS d01,
       (c_x - a_x) * (c_x - a_x) + (c_y - a_y) * (c_y - a_y) + (c_z - a_z) * (c_z - a_z) AS d11,
-      (qx - dist * nx - a_x) * (b_x - a_x) + (qy - dist * ny - a_y) * (b_y - a_y) + (qz - dist * nz - a_z) * (b_z - a_z) AS d20,
-      (qx - dist * nx - a_x) * (c_x - a_x) + (qy - dist * ny - a_y) * (c_y - a_y) + (qz - dist * nz - a_z) * (c_z - a_z) AS d21 FROM di),
-    vw AS (SELECT *, (d11 * d20 - d01 * d21) / (d00 * d11 - d01 * d01) AS v, (d00 * d21 - d01 * d20) / (d00 * d11 - d01 * d01) AS w FROM ba)
-    SELECT s.mesh, s.fid, s.x, s.y, s.z, round(1 - dist, 6) AS weight, round((1 - v - w) * e0.embedding[4]::DOUBLE + v * e1.embedding[4]::DOUBLE + w * e2.embedding[4]::DOUBLE, 5) AS u
-    FROM vw s JOIN embeddings e0 ON e0.vec_id = s.fid JOIN embeddings e1 ON e1.vec_id = s.fid + 1 JOIN embeddings e2 ON e2.vec_id = s.fid + 2""",
+      (qx - dist * n_x - a_x) * (b_x - a_x) + (qy - dist * n_y - a_y) * (b_y - a_y) + (qz - dist * n_z - a_z) * (b_z - a_z) AS d20,
+      (qx - dist * n_x - a_x) * (c_x - a_x) + (qy - dist * n_y - a_y) * (c_y - a_y) + (qz - dist * n_z - a_z) * (c_z - a_z) AS d21 FROM di),
+    vw AS (SELECT *, (d11 * d20 - d01 * d21) / (d00 * d11 - d01 * d01) AS v, (d00 * d21 - d01 * d20) / (d00 * d11 - d01 * d01) AS w FROM ba),
+    uv AS (SELECT s.*, e0.embedding[4]::DOUBLE AS u0, e1.embedding[4]::DOUBLE AS u1, e2.embedding[4]::DOUBLE AS u2, e0.embedding[5]::DOUBLE AS v0, e1.embedding[5]::DOUBLE AS v1, e2.embedding[5]::DOUBLE AS v2
+      FROM vw s JOIN embeddings e0 ON e0.vec_id = s.fid JOIN embeddings e1 ON e1.vec_id = s.fid + 1 JOIN embeddings e2 ON e2.vec_id = s.fid + 2),
+    sp AS (SELECT mesh, fid, x, y, z, 1 - dist AS weight, n_x, n_y, n_z, (1 - v - w) * u0 + v * u1 + w * u2 AS tu, (1 - v - w) * v0 + v * v1 + w * v2 AS tv,
+      (u1 - u0) * (v2 - v0) - (v1 - v0) * (u2 - u0) AS det,
+      sqrt({' + '.join(f'pow((v2 - v0) * (b_{a} - a_{a}) - (v1 - v0) * (c_{a} - a_{a}), 2)' for a in 'xyz')}) AS lt,
+      sqrt({' + '.join(f'pow((u1 - u0) * (c_{a} - a_{a}) - (u2 - u0) * (b_{a} - a_{a}), 2)' for a in 'xyz')}) AS ls FROM uv)"""
+
+
+@query(
+    "surface_points",
+    "F19 G6",
+    f"WITH {SURFACE_SQL} SELECT mesh, fid, x, y, z, round(weight, 6) AS weight, round(tu, 5) AS u FROM sp",
 )
 def surface_point_rows(spark, d):
     return surface_points(spark, d).select("mesh", "fid", "x", "y", "z", F.round("weight", 6).alias("weight"), F.round("u", 5).alias("u"))
 
 
-@query("mesh_attributes", "G6 F19 F20 F21 F22 F24 A13 F8")
-def mesh_attributes(spark, d):
-    """Textured strips to cell attributes as bytes, one row per (cell, attribute)."""
+def attribute_sql() -> str:
+    key = "mesh, fid, x, y, z"
+    taps = ", ".join(
+        f"(((CAST(floor({c} - 0.5) AS INTEGER) + d{c}) % size) + size) % size AS t{c}" for c in ("px", "py")
+    )
+    weight = " * ".join(f"(CASE WHEN d{c} = 1 THEN {c} - floor({c} - 0.5) - 0.5 ELSE 1 - ({c} - floor({c} - 0.5) - 0.5) END)" for c in ("px", "py"))
+    values = {
+        "base_color": ("0.9::DOUBLE * r", "0.9::DOUBLE * g"),
+        "roughness": ("0.9::DOUBLE * r", "0.9::DOUBLE * g"),
+        "metallic": ("0.9::DOUBLE", "0.9::DOUBLE"),
+        "alpha": ("al", "al"),
+        "normal": ("n_x", "n_y"),
+    }
+    union = " UNION ALL ".join(f"SELECT mesh, x, y, z, weight, '{n}' AS attr, {r} AS r, {g} AS g FROM cu" for n, (r, g) in values.items())
+    return f"""WITH {SURFACE_SQL}, {PYRAMID_SQL},
+    mp AS (SELECT *, CASE WHEN abs(det) < 1e-6 THEN log2({1 / GRID}::DOUBLE / 1e6 * 8) ELSE log2({1 / GRID}::DOUBLE / (sqrt(lt * ls) / abs(det)) * 8) END AS mip FROM sp),
+    lv AS (SELECT {key}, tu, tv, CASE WHEN mip <= 0 THEN 0 WHEN mip >= 3 THEN 3 ELSE CAST(floor(mip) AS INTEGER) + up END AS level,
+      CASE WHEN mip <= 0 OR mip >= 3 THEN 1 - up WHEN up = 1 THEN mip - floor(mip) ELSE 1 - (mip - floor(mip)) END AS share FROM mp, (VALUES (0), (1)) k(up)),
+    sz AS (SELECT *, 8 >> level AS size, tu * (8 >> level) AS px, (1 - tv) * (8 >> level) AS py FROM lv WHERE share > 0),
+    tp AS (SELECT {key}, level, share * {weight} AS q, {taps} FROM sz, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dpx, dpy)),
+    sm AS (SELECT tp.mesh, tp.fid, tp.x, tp.y, tp.z, sum(q * r) / 255 AS r, sum(q * g) / 255 AS g FROM tp JOIN texel t ON t.tex = tp.fid AND t.level = tp.level AND t.tx = tpx AND t.ty = tpy GROUP BY 1, 2, 3, 4, 5),
+    cu AS (SELECT sp.mesh, sp.x, sp.y, sp.z, weight, n_x, n_y, r, g, CASE WHEN sp.fid % 2 = 1 THEN 0.9::DOUBLE * r WHEN 0.9::DOUBLE * r < 0.45 THEN 0 ELSE 1 END AS al
+      FROM sp JOIN sm ON sm.mesh = sp.mesh AND sm.fid = sp.fid AND sm.x = sp.x AND sm.y = sp.y AND sm.z = sp.z),
+    av AS ({union})
+    SELECT mesh, x, y, z, attr, round(sum(r * weight) / sum(weight), 5) AS r, round(sum(g * weight) / sum(weight), 5) AS g FROM av GROUP BY mesh, x, y, z, attr"""
+
+
+def textured_cells(spark, d):
+    """Cell attributes of the textured strips: every face has its own material and image."""
     ids = load(spark, d, "embeddings").select("vec_id")
     textured = ids.select(
         F.col("vec_id").alias("material"),
@@ -399,7 +511,18 @@ def mesh_attributes(spark, d):
         F.when(F.col("material") % 2 == 0, "MASK").otherwise("BLEND").alias("mode"), F.lit(0.45).alias("cutoff"),
     )
     pyramid = stage(texture.pyramid(texels(spark, d), 8), "pyramid")
-    attrs = texture.cell_attributes(surface_points(spark, d), looks, pyramid, ["mesh", "fid"], "mesh")
+    return texture.cell_attributes(surface_points(spark, d), looks, pyramid, ["mesh", "fid"], "mesh")
+
+
+@query("mesh_attributes", "G6 F19 F20 F21 F22 F24 A13", attribute_sql())
+def mesh_attributes(spark, d):
+    return textured_cells(spark, d).select("mesh", "x", "y", "z", "attr", F.round("r", 5).alias("r"), F.round("g", 5).alias("g"))
+
+
+@query("mesh_attribute_bytes", "G6 F8")
+def mesh_attribute_bytes(spark, d):
+    """The same attributes as bytes, one row per (cell, attribute)."""
+    attrs = textured_cells(spark, d)
     return attrs.select("mesh", "x", "y", "z", "attr", *[texture.attribute_bytes(F.col(c), F.col("attr")).alias(c) for c in "rgb"])
 
 

@@ -34,7 +34,7 @@ def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(value + 0.0)
+        return repr(value)
     if isinstance(value, decimal.Decimal):
         return f"decimal:{value}"
     if isinstance(value, (list, tuple)):
