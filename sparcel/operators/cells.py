@@ -201,6 +201,12 @@ def batch_layout(df: DataFrame, batch: str = "batch") -> DataFrame:
     return laid.withColumn("stop", F.col("start") + F.col("len"))
 
 
+def batch_lengths(df: DataFrame, ids: DataFrame, batch: str = "batch") -> DataFrame:
+    """Rows per batch for every listed batch id, 0 for an empty one."""
+    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("len"))
+    return ids.select(batch).join(sizes, batch, "left").fillna(0, subset=["len"])
+
+
 def to_padded(df: DataFrame, batch: str, order: Sequence[str], value: str, length: int | None = None) -> DataFrame:
     """Ragged to padded: every batch gets positions 0..length-1, absent ones masked.
 

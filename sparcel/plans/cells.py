@@ -441,3 +441,14 @@ def cell_centers(spark, d):
         F.get(look, F.lit(0)).alias("a0"),
         F.get(look, F.lit(1)).alias("a1"),
     )
+
+
+@query(
+    "batch_lengths",
+    "A12",
+    """SELECT c_custkey, count(o_orderkey) AS len FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey""",
+)
+def batch_lengths(spark, d):
+    """Lengths by batch, empty batches included."""
+    orders = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return C.batch_lengths(orders, load(spark, d, "customer"), "c_custkey")

@@ -9,6 +9,7 @@ from sparcel.operators import octree
 from sparcel.operators.ordered import global_position
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import with_cells
+from sparcel.session import stage
 from sparcel.tables import CELL_KEYS, cells, load
 
 POINTS_SQL = """points AS (SELECT CAST(l_partkey % 1024 AS INTEGER) AS x, CAST((l_suppkey * 7) % 1024 AS INTEGER) AS y,
@@ -145,8 +146,6 @@ def parent_deltas(spark, d):
 
 @query("parent_delta_round_trip", "F7", with_cells(f", {CODED} SELECT batch, code, value FROM coded"))
 def parent_delta_round_trip(spark, d):
-    from sparcel.session import stage
-
     coded = coded_cells(spark, d)
     deltas = stage(octree.parent_deltas(coded, 6, "value"), "deltas")
     nodes = stage(octree.octree_nodes(coded, 6), "nodes")
@@ -245,3 +244,17 @@ def coordinate_rescale(spark, d):
 def curve_positions(spark, d):
     code = curves.z_order(F.col("x"), F.col("y"), F.col("z")).alias("code")
     return global_position(points(spark, d).select(code).distinct(), ["code"])
+
+
+@query(
+    "clustered_box_scan",
+    "F1 S12",
+    f"""WITH {POINTS_SQL}, c AS (SELECT x, y, z, {interleave_sql('x', 'y', 'z', 10)} AS code FROM points)
+    SELECT * FROM c WHERE code >= 134217728 AND code < 268435456 AND x < 512 AND y < 512 AND z >= 512""",
+)
+def clustered_box_scan(spark, d):
+    """Points laid out along the curve; a box becomes a key range that files and row groups are skipped by."""
+    coded = points(spark, d).withColumn("code", curves.z_order(F.col("x"), F.col("y"), F.col("z")))
+    laid = stage(curves.cluster_by(coded, "code"), "clustered")
+    low, high = 1 << 27, 1 << 28
+    return laid.filter((F.col("code") >= low) & (F.col("code") < high) & (F.col("x") < 512) & (F.col("y") < 512) & (F.col("z") >= 512))

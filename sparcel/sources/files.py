@@ -462,20 +462,24 @@ def encoded_chunks(rows: DataFrame, attrs: list[str], options: dict[str, str]) -
     return rows.groupBy("file", *chunk).applyInPandas(encode, schema)
 
 
-def write_cells(df: DataFrame, path: str, kind: str, asset: str, attrs: list[str], block: int = 1024, **options) -> None:
-    """Write one file per asset and block of ``block`` cells per axis.
-
-    The block bounds what one file holds: an asset of any extent is split into files
-    named ``asset@bx_by_bz``, while one inside the first block keeps its name. Cells
-    must be unique within an asset.
+def write_cells(
+    df: DataFrame, path: str, kind: str, asset: str, attrs: list[str], max_cells: int = 8_000_000, block: int = 256, **options
+) -> None:
+    """Write one file per asset; an asset of more than ``max_cells`` cells is split by blocks.
+
+    The parts of a split asset are named ``asset@bx_by_bz`` and hold ``block`` cells per
+    axis, so neither a task nor a file grows with the hottest asset. Cells must be
+    unique within an asset.
     """
     register(df.sparkSession)
     options = {k: str(v) for k, v in options.items()}
-    box = [F.floor(F.col(a) / block).cast("string") for a in "xyz"]
-    inside = (F.greatest(*[F.col(a) for a in "xyz"]) < block) & (F.least(*[F.col(a) for a in "xyz"]) >= 0)
-    name = F.col(asset).cast("string")
-    file = F.when(inside, name).otherwise(F.concat(name, F.lit("@"), F.concat_ws("_", *box)))
-    rows = df.select(file.alias("file"), *[F.col(a).cast("int").alias(a) for a in "xyz"], *attrs)
+    block = max(block, int(options.get("chunkSize", 256))) if kind == "vxz" else block
+    rows = df.select(F.col(asset).cast("string").alias("_asset"), *[F.col(a).cast("int").alias(a) for a in "xyz"], *attrs)
+    large = rows.groupBy("_asset").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_cells)
+    part = F.concat(F.col("_asset"), F.lit("@"), F.concat_ws("_", *[F.floor(F.col(a) / block).cast("string") for a in "xyz"]))
+    rows = rows.join(large, "_asset", "left").select(
+        F.when(F.col("_n").isNull(), F.col("_asset")).otherwise(part).alias("file"), "x", "y", "z", *attrs
+    )
     if kind == "vxz":
         rows = encoded_chunks(rows, attrs, options).repartition("file").sortWithinPartitions("file", "cx", "cy", "cz")
         rows = rows.drop("cx", "cy", "cz")
@@ -485,54 +489,57 @@ def write_cells(df: DataFrame, path: str, kind: str, asset: str, attrs: list[str
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh", text: bool = False, channels: dict[str, list[str]] | None = None) -> None:
-    """Mesh tables to PLY, one file per mesh: vertices in vid order, triangles before quads.
+    """Mesh tables to PLY, one file per mesh: vertices in vid order, then faces in fid order.
 
     ``faces`` has fid and an int array ``corners``; ``channels`` maps byte channel names of
-    the vertices (colors, surface attributes) to their column names. A file holds a whole
-    mesh, so its size is the format's own bound on a group.
+    the vertices (colors, surface attributes) to their column names. The counts of the
+    header are aggregated first, so the writing task streams a file batch by batch and
+    never holds a mesh.
     """
     extra = [c for cols in (channels or {}).values() for c in cols]
     v = vertices.select(F.col(mesh).cast("string").alias("file"), F.lit(0).alias("kind"), F.col("vid").alias("id"), "x", "y", "z", *extra)
-    f = faces.select(F.col(mesh).cast("string").alias("file"), F.size("corners").alias("kind"), F.col("fid").alias("id"), "corners")
-    rows = v.unionByName(f, allowMissingColumns=True).repartition("file").sortWithinPartitions("file", "kind", "id")
+    f = faces.select(F.col(mesh).cast("string").alias("file"), F.lit(1).alias("kind"), F.col("fid").alias("id"), "corners")
+    rows = v.unionByName(f, allowMissingColumns=True)
+    counts = rows.groupBy("file").agg(F.count_if(F.col("kind") == 0).alias("nv"), F.count_if(F.col("kind") == 1).alias("nf"))
+    rows = rows.join(counts, "file").repartition("file").sortWithinPartitions("file", "kind", "id")
     layout = "ascii 1.0" if text else "binary_little_endian 1.0"
 
-    def render(pdf) -> bytes:
-        vert, face = pdf[pdf["kind"] == 0], pdf[pdf["kind"] > 0]
-        head = ["ply", f"format {layout}", f"element vertex {len(vert)}", *[f"property float {a}" for a in "xyz"]]
+    def header(vertex_count: int, face_count: int) -> bytes:
+        head = ["ply", f"format {layout}", f"element vertex {vertex_count}", *[f"property float {a}" for a in "xyz"]]
         head += [f"property uchar {c}" for c in extra]
-        head += [f"element face {len(face)}", "property list uchar int vertex_index", "end_header", ""]
+        return "\n".join([*head, f"element face {face_count}", "property list uchar int vertex_index", "end_header", ""]).encode()
+
+    def body(pdf: pd.DataFrame) -> bytes:
+        vert, face = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         if text:
-            body = [" ".join([*(repr(float(np.float32(r[a]))) for a in "xyz"), *(str(int(r[c])) for c in extra)]) for r in vert.to_dict("records")]
-            body += [" ".join(map(str, [len(c), *c])) for c in face["corners"]]
-            return ("\n".join(head) + "\n".join(body) + "\n").encode()
+            lines = [" ".join([*(repr(float(np.float32(r[a]))) for a in "xyz"), *(str(int(r[c])) for c in extra)]) for r in vert.to_dict("records")]
+            lines += [" ".join(map(str, [len(c), *c])) for c in face["corners"]]
+            return "".join(line + "\n" for line in lines).encode()
         table = np.empty(len(vert), np.dtype([*[(a, "<f4") for a in "xyz"], *[(c, "u1") for c in extra]]))
         for c in (*"xyz", *extra):
             table[c] = vert[c]
-        packed = b"".join(bytes([len(c)]) + np.asarray(c, "<i4").tobytes() for c in face["corners"])
-        return "\n".join(head).encode() + table.tobytes() + packed
+        return table.tobytes() + b"".join(bytes([len(c)]) + np.asarray(c, "<i4").tobytes() for c in face["corners"])
 
     def save(batches):
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
-        held: list = []
-
-        def flush():
-            whole = pd.concat(held)
-            name = whole["file"].iloc[0]
-            draft = f"{root}/.{name}-{uuid.uuid4().hex}.tmp"
-            with fs.open_output_stream(draft) as out:
-                out.write(render(whole))
+        name, draft, out = None, None, None
+
+        def finish() -> pd.DataFrame:
+            out.close()
             fs.move(draft, f"{root}/{name}.ply")
             return pd.DataFrame({"file": [name]})
 
         for pdf in batches:
-            for name, part in pdf.groupby("file", sort=False):
-                if held and held[0]["file"].iloc[0] != name:
-                    yield flush()
-                    held.clear()
-                held.append(part)
-        if held:
-            yield flush()
-
-    rows.mapInPandas(save, "file string").foreach(lambda r: None)
+            for key, part in pdf.groupby("file", sort=False):
+                if key != name:
+                    if out is not None:
+                        yield finish()
+                    name, draft = key, f"{root}/.{key}-{uuid.uuid4().hex}.tmp"
+                    out = fs.open_output_stream(draft)
+                    out.write(header(int(part["nv"].iloc[0]), int(part["nf"].iloc[0])))
+                out.write(body(part))
+        if out is not None:
+            yield finish()
+
+    rows.mapInPandas(save, "file string").write.format("noop").mode("overwrite").save()

@@ -61,12 +61,12 @@ def test_vxz_refuses_wide_values(spark, tmp_path):
         files.write_cells(df, str(tmp_path / "bad"), "vxz", "asset", ["v"])
 
 
-def test_far_cells_go_to_own_files(spark, tmp_path):
+def test_large_assets_are_split(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 1, 1, 3), (0, 900, 1, 1, 4)], "asset int, x int, y int, z int, v int")
     path = str(tmp_path / "far")
-    files.write_cells(df, path, "vxz", "asset", ["v"], block=256)
+    files.write_cells(df, path, "vxz", "asset", ["v"], max_cells=1)
     heads = files.read_headers(spark, path)
-    assert sorted(r["file"] for r in heads.collect()) == ["0", "0@3_0_0"]
+    assert sorted(r["file"] for r in heads.collect()) == ["0@0_0_0", "0@3_0_0"]
     assert rows(files.read_cells(spark, path, "vxz").select("x", "v")) == [(1, 3), (900, 4)]
 
 
@@ -91,6 +91,7 @@ def test_mesh_ply(spark, tmp_path, text):
     files.write_mesh(v, f, path, text=text, channels={"color": ["red"]})
     files.register(spark)
     back = spark.read.format("meshply").load(path)
+    assert back.count() == 6
     assert [r["corners"] for r in back.filter("element != 'vertex'").orderBy("id").collect()] == [[0, 1, 2], [0, 1, 2, 3]]
     assert [r["x"] for r in back.filter("element = 'vertex'").orderBy("id").collect()] == [0.0, 1.0, 2.0, 3.0]
     cells, attrs = files.VoxelPlyFiles({}).decode((tmp_path / "mesh" / "m.ply").read_bytes())
