@@ -11,6 +11,7 @@ be broadcast whatever the data size.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,28 +37,32 @@ def sliced(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return stage(ranged, "sliced")
 
 
-def _slice_offsets(parts: DataFrame) -> DataFrame:
-    """One row per slice: rows before it and rows overall."""
-    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        parts.groupBy(SLICE)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            SLICE,
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
-        )
-    )
+def _slice_sizes(parts: DataFrame) -> list[int]:
+    """Rows per slice: one number per slice, whatever the table holds."""
+    found = {r[SLICE]: r["count"] for r in parts.groupBy(SLICE).count().collect()}
+    return [found.get(i, 0) for i in range(max(found, default=-1) + 1)]
 
 
 def global_position(df: DataFrame, order: Sequence[str], name: str = "pos", total: str | None = None) -> DataFrame:
     """0-based position in the whole table (and optionally its row count)."""
     parts = sliced(df, order)
-    numbered = parts.join(F.broadcast(_slice_offsets(parts)), SLICE)
-    numbered = numbered.withColumn(name, F.col("_before") + F.col(SPOT))
+    before = [0, *accumulate(_slice_sizes(parts))]
+    starts = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")  # folds to one literal
+    numbered = parts.withColumn(name, F.get(starts, F.col(SLICE)) + F.col(SPOT))
     if total:
-        numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop(SLICE, SPOT, "_before", "_total")
+        numbered = numbered.withColumn(total, F.lit(before[-1]).cast("bigint"))
+    return numbered.drop(SLICE, SPOT)
+
+
+def _carry_of_slices(totals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Sums over the earlier slices, from one total per slice."""
+    rows, so_far = [], [0] * len(names)
+    for r in sorted(totals.collect(), key=lambda r: r[SLICE]):
+        rows.append((r[SLICE], *so_far))
+        so_far = [a + (r[f"_sum_{n}"] or 0) for a, n in zip(so_far, names)]
+    kinds = dict(totals.dtypes)
+    schema = ", ".join(["_c_slice int", *[f"_carry_{n} {kinds[f'_sum_{n}']}" for n in names]])
+    return totals.sparkSession.createDataFrame(rows, schema)
 
 
 def running(
@@ -80,15 +85,15 @@ def running(
     totals = parts.groupBy(*here).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in names])
     if group:
         spans = Window.partitionBy(*group)
-        totals = totals.withColumn("_slices", F.count(F.lit(1)).over(spans)).filter("_slices > 1")
+        split = totals.withColumn("_slices", F.count(F.lit(1)).over(spans)).filter("_slices > 1")
         earlier = spans.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        carry = split.select(
+            F.col(SLICE).alias("_c_slice"),
+            *[F.col(g).alias(f"_c_{g}") for g in group],
+            *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in names],
+        )
     else:
-        earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        F.col(SLICE).alias("_c_slice"),
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in names],
-    )
+        carry = _carry_of_slices(totals, names)
 
     inside = Window.partitionBy(*here).orderBy(SPOT)
     local = parts.withColumns(

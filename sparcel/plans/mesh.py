@@ -526,16 +526,17 @@ def mesh_attribute_bytes(spark, d):
     return attrs.select("mesh", "x", "y", "z", "attr", *[texture.attribute_bytes(F.col(c), F.col("attr")).alias(c) for c in "rgb"])
 
 
+TILES_SQL = """b AS (SELECT CAST(l_orderkey // 2000 AS INTEGER) AS view_, l_orderkey * 100000 + l_partkey AS item, CAST(l_partkey % 120 AS INTEGER) AS x0, CAST(l_partkey % 120 + 1 + l_linenumber * 3 AS INTEGER) AS x1,
+        CAST(l_suppkey % 90 AS INTEGER) AS y0, CAST(l_suppkey % 90 + 1 + l_linenumber AS INTEGER) AS y1, l_extendedprice AS depth FROM lineitem),
+    t AS (SELECT view_, item, depth, y.i * 8 + x.i AS tile FROM b, range(0, 8) x(i), range(0, 6) y(i)
+      WHERE x.i BETWEEN x0 // 16 AND (x1 - 1) // 16 AND y.i BETWEEN y0 // 16 AND (y1 - 1) // 16)"""
+
+
 @query(
     "tile_lists",
     "W8",
-    """
-    WITH b AS (SELECT CAST(l_orderkey // 2000 AS INTEGER) AS view_, l_orderkey * 100000 + l_partkey AS item, CAST(l_partkey % 120 AS INTEGER) AS x0, CAST(l_partkey % 120 + 1 + l_linenumber * 3 AS INTEGER) AS x1,
-        CAST(l_suppkey % 90 AS INTEGER) AS y0, CAST(l_suppkey % 90 + 1 + l_linenumber AS INTEGER) AS y1, l_extendedprice AS depth FROM lineitem),
-    t AS (SELECT view_, item, depth, y.i * 8 + x.i AS tile FROM b, range(0, 8) x(i), range(0, 6) y(i)
-      WHERE x.i BETWEEN x0 // 16 AND (x1 - 1) // 16 AND y.i BETWEEN y0 // 16 AND (y1 - 1) // 16)
-    SELECT view_, CAST(tile AS INTEGER) AS tile, item, depth, row_number() OVER (PARTITION BY view_, tile ORDER BY depth, item) - 1 AS rank FROM t
-    """,
+    f"""WITH {TILES_SQL}
+    SELECT view_, CAST(tile AS INTEGER) AS tile, item, depth, row_number() OVER (PARTITION BY view_, tile ORDER BY depth, item) - 1 AS rank FROM t""",
 )
 def tile_lists(spark, d):
     boxes = load(spark, d, "lineitem").select(
@@ -547,6 +548,15 @@ def tile_lists(spark, d):
     return raster.tile_list(boxes, 16, 128, 96, "view_", "item")
 
 
+@query(
+    "tile_ranges",
+    "W8",
+    f"""WITH {TILES_SQL} SELECT view_, CAST(tile AS INTEGER) AS tile, count(*) AS len, min(depth) AS nearest FROM t GROUP BY 1, 2""",
+)
+def tile_ranges(spark, d):
+    return raster.tile_ranges(tile_lists(spark, d), "view_")
+
+
 @query(
     "first_hits",
     "G7 W8",

@@ -68,6 +68,16 @@ def plan_shares(files: list[tuple[str, int]], limit: int, splittable: bool) -> l
     return shares or [Share([])]
 
 
+def broadcast_file(spark: SparkSession, path: str, limit: int = 64 << 20):
+    """A small side file, read once on the driver and shared with all tasks as bytes; larger ones are refused."""
+    fs, root = filesystem(path)
+    size = fs.get_file_info(root).size
+    if size is None or size > limit:
+        raise ValueError(f"{path} is missing or larger than {limit} bytes; read it as a table")
+    with fs.open_input_file(root) as handle:
+        return spark.sparkContext.broadcast(handle.read())
+
+
 def stem(path: str, suffix: str) -> str:
     return path.rsplit("/", 1)[-1][: -len(suffix)]
 

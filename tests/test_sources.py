@@ -161,3 +161,12 @@ def test_late_and_repeated_events(spark, tmp_path):
         S.run_once(stream, target, str(tmp_path / "cp"), mode="update")
     out = S.latest(spark, target, ["start", "kind"]).orderBy("start").select("n", "total").collect()
     assert [tuple(r) for r in out] == [(1, 1.0), (1, 2.0)]  # the repeat and the late row are gone
+
+
+def test_broadcast_file_checks_the_size(spark, tmp_path):
+    (tmp_path / "lut.bin").write_bytes(b"abc")
+    assert files.broadcast_file(spark, str(tmp_path / "lut.bin")).value == b"abc"
+    with pytest.raises(ValueError):
+        files.broadcast_file(spark, str(tmp_path / "lut.bin"), limit=2)
+    with pytest.raises(ValueError):
+        files.broadcast_file(spark, str(tmp_path / "none.bin"))
