@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sparcel.operators.ordered import group_position
 
 
-def tile_list(boxes: DataFrame, tile: int, width: int, height: int, view: str, item: str) -> DataFrame:
-    """Items per touched tile, numbered by depth. Boxes are pixel ranges x0..x1, y0..y1 (ends exclusive)."""
+def tile_overlaps(boxes: DataFrame, tile: int, width: int, height: int, view: str, item: str) -> DataFrame:
+    """One row per item and touched tile. Boxes are pixel ranges x0..x1, y0..y1 (ends exclusive)."""
 
     def span(lo, hi, size):
         last = (size - 1) // tile
@@ -20,12 +20,16 @@ def tile_list(boxes: DataFrame, tile: int, width: int, height: int, view: str, i
         return F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
 
     across = -(-width // tile)
-    placed = (
+    return (
         boxes.withColumn("_tx", F.explode(span("x0", "x1", width)))
         .withColumn("_ty", F.explode(span("y0", "y1", height)))
         .select(view, item, "depth", (F.col("_ty") * across + F.col("_tx")).alias("tile"))
     )
-    return group_position(placed, [view, "tile"], ["depth", item], "rank")
+
+
+def tile_list(overlaps: DataFrame, view: str, item: str) -> DataFrame:
+    """The items of each tile numbered by depth; a crowded tile is numbered by many tasks."""
+    return group_position(overlaps, [view, "tile"], ["depth", item], "rank")
 
 
 def tile_ranges(tiles: DataFrame, view: str) -> DataFrame:

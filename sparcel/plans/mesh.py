@@ -539,13 +539,17 @@ TILES_SQL = """b AS (SELECT CAST(l_orderkey // 2000 AS INTEGER) AS view_, l_orde
     SELECT view_, CAST(tile AS INTEGER) AS tile, item, depth, row_number() OVER (PARTITION BY view_, tile ORDER BY depth, item) - 1 AS rank FROM t""",
 )
 def tile_lists(spark, d):
+    return raster.tile_list(tile_overlaps(spark, d), "view_", "item")
+
+
+def tile_overlaps(spark, d):
     boxes = load(spark, d, "lineitem").select(
         F.expr("cast(l_orderkey div 2000 as int)").alias("view_"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("item"),
         F.expr("cast(l_partkey % 120 as int)").alias("x0"), F.expr("cast(l_partkey % 120 + 1 + l_linenumber * 3 as int)").alias("x1"),
         F.expr("cast(l_suppkey % 90 as int)").alias("y0"), F.expr("cast(l_suppkey % 90 + 1 + l_linenumber as int)").alias("y1"),
         F.col("l_extendedprice").alias("depth"),
     )
-    return raster.tile_list(boxes, 16, 128, 96, "view_", "item")
+    return raster.tile_overlaps(boxes, 16, 128, 96, "view_", "item")
 
 
 @query(
@@ -554,7 +558,7 @@ def tile_lists(spark, d):
     f"""WITH {TILES_SQL} SELECT view_, CAST(tile AS INTEGER) AS tile, count(*) AS len, min(depth) AS nearest FROM t GROUP BY 1, 2""",
 )
 def tile_ranges(spark, d):
-    return raster.tile_ranges(tile_lists(spark, d), "view_")
+    return raster.tile_ranges(tile_overlaps(spark, d), "view_")
 
 
 @query(
