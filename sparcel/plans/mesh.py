@@ -470,7 +470,8 @@ def surface_point_rows(spark, d):
     return surface_points(spark, d).select("mesh", "fid", "x", "y", "z", F.round("weight", 6).alias("weight"), F.round("u", 5).alias("u"))
 
 
-def attribute_sql() -> str:
+def attribute_sql(final: str) -> str:
+    """Weighted cell attributes; ``final`` turns a mean m of attribute attr into the output value."""
     key = "mesh, fid, x, y, z"
     taps = ", ".join(
         f"(((CAST(floor({c} - 0.5) AS INTEGER) + d{c}) % size) + size) % size AS t{c}" for c in ("px", "py")
@@ -493,8 +494,9 @@ def attribute_sql() -> str:
     sm AS (SELECT tp.mesh, tp.fid, tp.x, tp.y, tp.z, sum(q * r) / 255 AS r, sum(q * g) / 255 AS g FROM tp JOIN texel t ON t.tex = tp.fid AND t.level = tp.level AND t.tx = tpx AND t.ty = tpy GROUP BY 1, 2, 3, 4, 5),
     cu AS (SELECT sp.mesh, sp.x, sp.y, sp.z, weight, n_x, n_y, r, g, CASE WHEN sp.fid % 2 = 1 THEN 0.9::DOUBLE * r WHEN 0.9::DOUBLE * r < 0.45 THEN 0 ELSE 1 END AS al
       FROM sp JOIN sm ON sm.mesh = sp.mesh AND sm.fid = sp.fid AND sm.x = sp.x AND sm.y = sp.y AND sm.z = sp.z),
-    av AS ({union})
-    SELECT mesh, x, y, z, attr, round(sum(r * weight) / sum(weight), 5) AS r, round(sum(g * weight) / sum(weight), 5) AS g FROM av GROUP BY mesh, x, y, z, attr"""
+    av AS ({union}),
+    me AS (SELECT mesh, x, y, z, attr, sum(r * weight) / sum(weight) AS r, sum(g * weight) / sum(weight) AS g FROM av GROUP BY mesh, x, y, z, attr)
+    SELECT mesh, x, y, z, attr, {final.format(m='r')} AS r, {final.format(m='g')} AS g FROM me"""
 
 
 def textured_cells(spark, d):
@@ -514,16 +516,20 @@ def textured_cells(spark, d):
     return texture.cell_attributes(surface_points(spark, d), looks, pyramid, ["mesh", "fid"], "mesh")
 
 
-@query("mesh_attributes", "G6 F19 F20 F21 F22 F24 A13", attribute_sql())
+@query("mesh_attributes", "G6 F19 F20 F21 F22 F24 A13", attribute_sql("round({m}, 5)"))
 def mesh_attributes(spark, d):
     return textured_cells(spark, d).select("mesh", "x", "y", "z", "attr", F.round("r", 5).alias("r"), F.round("g", 5).alias("g"))
 
 
-@query("mesh_attribute_bytes", "G6 F8")
+@query(
+    "mesh_attribute_bytes",
+    "G6 F8",
+    attribute_sql("CAST(floor(greatest(least(CASE WHEN attr = 'normal' THEN {m} * 0.5 + 0.5 ELSE {m} END * 255, 255), 0)) AS INTEGER)"),
+)
 def mesh_attribute_bytes(spark, d):
     """The same attributes as bytes, one row per (cell, attribute)."""
     attrs = textured_cells(spark, d)
-    return attrs.select("mesh", "x", "y", "z", "attr", *[texture.attribute_bytes(F.col(c), F.col("attr")).alias(c) for c in "rgb"])
+    return attrs.select("mesh", "x", "y", "z", "attr", *[texture.attribute_bytes(F.col(c), F.col("attr")).alias(c) for c in "rg"])
 
 
 TILES_SQL = """b AS (SELECT CAST(l_orderkey // 2000 AS INTEGER) AS view_, l_orderkey * 100000 + l_partkey AS item, CAST(l_partkey % 120 AS INTEGER) AS x0, CAST(l_partkey % 120 + 1 + l_linenumber * 3 AS INTEGER) AS x1,
