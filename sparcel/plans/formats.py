@@ -79,16 +79,16 @@ def vxz_headers(spark, d):
 @query(
     "finished_files",
     "S9 U5 J4",
-    with_cells("SELECT batch, CAST(count(*) AS BIGINT) AS n FROM cells WHERE batch % 2 = 1 GROUP BY batch"),
+    with_cells("SELECT CAST(batch * 8 + x // 8 AS INTEGER) AS asset, count(*) AS n FROM cells WHERE (batch * 8 + x // 8) % 2 = 1 GROUP BY 1"),
 )
 def finished_files(spark, d):
-    """Batches without an output file yet: listing by name, then an anti join."""
+    """Assets (slabs of a batch) without an output file yet: listing by name, then an anti join."""
     path = staged_path(spark, "done")
-    table = voxels(spark, d)
-    files.write_cells(table.filter("batch % 2 = 0"), path, "npz", "batch", ["flags"])
+    table = voxels(spark, d).withColumn("asset", F.expr("cast(batch * 8 + x div 8 as int)"))
+    files.write_cells(table.filter("asset % 2 = 0"), path, "npz", "asset", ["flags"])
     done = catalogue.finished_outputs(spark, path, ".npz").select("key")
-    todo = table.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    return todo.join(done, F.col("batch").cast("string") == F.col("key"), "left_anti")
+    todo = table.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
+    return todo.join(done, F.col("asset").cast("string") == F.col("key"), "left_anti")
 
 
 @query(
