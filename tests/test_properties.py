@@ -341,3 +341,15 @@ def test_sparse_dense_sparse(spark):
     dense = C.densify(df, box, ["v"])
     assert dense.count() == 250
     assert rows(C.sparsify(dense, F.col("v") > 0)) == rows(df)
+
+
+def test_principal_colors_match_svd(spark):
+    from sparcel.operators.reduce import principal_colors
+
+    m = np.random.default_rng(11).normal(size=(50, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id int, v array<double>").repartition(3)
+    got = np.array([[r["c0"], r["c1"], r["c2"]] for r in principal_colors(df, "id", "v", 6).orderBy("id").collect()])
+    u = np.linalg.svd(m, full_matrices=False)[0][:, :3]
+    want = (u - u.min(axis=0)) / (u.max(axis=0) - u.min(axis=0))
+    for c in range(3):  # the sign of a component is free
+        assert np.allclose(got[:, c], want[:, c], atol=1e-6) or np.allclose(got[:, c], 1 - want[:, c], atol=1e-6)
