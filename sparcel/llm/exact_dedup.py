@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from sparcel.session import stage
 
 
+#: Rows of (length, hash) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def _named(items: DataFrame, value: Column, slices: int) -> DataFrame:
     """``items`` (row, at, ...) -> (row, at, name); equal values get equal names, others different ones."""
     keyed = items.select("row", "at", value.alias("value"))
@@ -59,9 +63,10 @@ def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 
 def _members(keyed: DataFrame, block: int, slices: int) -> DataFrame:
     """(__row, __doc, __name) of the rows that share length and hash with another one."""
-    shared = keyed.groupBy("__n", "__h").agg(F.count(F.lit(1)).alias("__same")).filter("__same > 1").select("__n", "__h")
-    partners = keyed.join(shared, ["__n", "__h"], "left_semi")
-    texts = partners.select(F.col("__row").alias("row"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    shared = stage(keyed.groupBy("__n", "__h").agg(F.count(F.lit(1)).alias("__same")).filter("__same > 1").select("__n", "__h"), "shared-hashes")
+    # two integers a row: so many of them fit any executor, beyond that both sides shuffle
+    partners = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, ["__n", "__h"], "left_semi")
+    texts = stage(partners.select(F.col("__row").alias("row"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes")), "shared-texts")
     names = block_names(texts, block, slices).select(F.col("row").alias("__row"), F.col("name").alias("__name"))
     ids = keyed.select("__row", F.col("doc_id").alias("__doc"))
     return stage(ids.join(names, "__row"), "exact-members")
