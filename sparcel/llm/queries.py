@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparcel.llm import query
+from sparcel.llm import bpe, query
 from sparcel.llm.chat import format_conversations, parse_conversations, text_parts
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
+from sparcel.llm.token_files import token_documents, write_tokens
 from sparcel.session import stage
 from sparcel.tables import load
 
@@ -42,6 +44,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_simple8b_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return token_documents(write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op5_prefix_dp_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all documents."""
+    coded = bpe.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join("ids", " "), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 OP7_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
