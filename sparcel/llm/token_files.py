@@ -18,6 +18,7 @@ import io
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.llm import buffers
-from sparcel.llm.bpe import Cache
+from sparcel.llm.bpe import Cache, byte_characters
 from sparcel.llm.unicode import char_classes
 from sparcel.session import stage, staged_path
 
@@ -169,14 +170,14 @@ def read_tokens(source) -> Iterator[tuple[int | None, list[np.ndarray]]]:
 
 
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct stretch of text once while it is remembered.
+    """Ids of texts by the tokenizers library, whose model sees each distinct word once while it is remembered.
 
-    A space before something that is no white space always begins a new stretch that no merge crosses, so a
-    text is the sequence of its stretches. Texts with the name of a special token or with rare white
-    space go to the library whole.
+    A space before something that is no white space always begins a new word that no merge crosses, so a
+    text is the sequence of the stretches between such spaces. Texts with the name of a special token, and
+    stretches with letters beyond Latin, go through the whole library.
     """
 
-    def __init__(self, path: str, cached: int = 300_000) -> None:
+    def __init__(self, path: str, cached: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -185,12 +186,17 @@ class ByteEncoder:
         # the vocabulary's pre-tokenizer (fixed values), the commonest form first
         self.words = re.compile(f" ?[{c['L']}]+| ?[{c['N']}]+|'(?:[stmd]|re|ve|ll)| ?[^{c['S']}{c['L']}{c['N']}]+|[{c['S']}]+(?![^{c['S']}])|[{c['S']}]+").findall
         self.odd = re.compile(r" (?=[\s\x1c-\x1f])").search
-        self.pieces = Cache(self._ask, cached)
-        self.chunks = Cache(self._chunk, cached)
+        self.model = self.library.model
+        self.shown = dict(enumerate(byte_characters()))
+        self.pieces = Cache(self._piece, cached)
+        self.firsts, self.chunks = Cache(self._chunk, cached // 8), Cache(lambda rest: self._chunk(" " + rest), cached)
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         # letters beyond Latin are left to the library's own tables
         return b"".join(map(self.pieces.__getitem__, self.words(chunk))) if max(chunk) < "ɐ" else self._ask(chunk)
@@ -202,9 +208,9 @@ class ByteEncoder:
             return np.frombuffer(self._ask(text), "<u4")
         if self.odd(text) or text[-1] == " ":
             return np.frombuffer(self._chunk(text), "<u4")
-        first, *rest = text.split(" ")
-        chunks = self.chunks
-        return np.frombuffer((chunks[first] if first else b"") + b"".join([chunks[" " + r] for r in rest]), "<u4")
+        first, _, rest = text.partition(" ")
+        ids = self.firsts[first] if first else b""
+        return np.frombuffer(ids + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest else ids, "<u4")
 
 
 @functools.lru_cache(2)
