@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparcel.llm import bpe, query
+from sparcel.llm import bpe, ppm, quality, query, toxicity
 from sparcel.llm.chat import format_conversations, parse_conversations, text_parts
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
+from sparcel.llm.samples import remainder
 from sparcel.llm.token_files import token_documents, write_tokens
 from sparcel.session import stage
 from sparcel.tables import load
@@ -44,6 +45,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_ppm_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = ppm.fit(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    return ppm.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_simple8b_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
@@ -61,6 +71,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A document counts as toxic from this probability on.
+TOXIC = 0.35
+
+
+@query("op6_toxicity_chain")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain over the label columns: poor text first, then toxic."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    given = labels.select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    learnt = given.filter(remainder("doc_id", 5) != 0).join(docs.select("doc_id", "text"), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learnt, ["poor", "toxic"]))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "p_poor", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 OP7_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -95,6 +120,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A document counts as good from this score on.
+GOOD = 0.3
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    """Learnt from labelled documents that are not held out."""
+    given = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(remainder("doc_id", 5) != 0)
+    return quality.fit(docs.select("doc_id", "text").join(given, "doc_id"))
+
+
+@query("op8_subword_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return quality.score(docs, quality_model(spark, sf_dir, docs)).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted")
+    )
+
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
