@@ -10,6 +10,7 @@ from sparcel.llm import bpe, ppm, quality, query, toxicity
 from sparcel.llm.chat import format_conversations, parse_conversations, text_parts
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
+from sparcel.llm.near_dedup import near_groups
 from sparcel.llm.samples import remainder
 from sparcel.llm.token_files import token_documents, write_tokens
 from sparcel.session import stage
@@ -140,6 +141,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_order_minhash_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_groups(load(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
