@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparcel.llm import buffers
 from sparcel.llm.samples import bounded_sample
@@ -127,12 +128,8 @@ def fit(labelled: DataFrame, sample: int = 2500, buckets: int = BUCKETS, sizes:
     return train(rows, (table.column("label").to_numpy() > 0).astype(np.int64), buckets, sizes)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, score from 0 to 1.
-
-    Null and empty texts get the score of a text without features. Rows are independent, whole texts are
-    scored, further columns are not looked at.
-    """
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs``, which must have a ``text``, and the score as a further column ``name``."""
     spark = docs.sparkSession
     buffers.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -140,7 +137,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in buffers.pieces(batch):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(shared.value.scores(*buffers.text_bytes(piece.column(1))))], names=["doc_id", "score"])
+                scores = shared.value.scores(*buffers.text_bytes(piece.column(piece.schema.get_field_index("text"))))
+                yield piece.append_column(name, pa.array(scores))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, score from 0 to 1.
+
+    Null and empty texts get the score of a text without features. Rows are independent, whole texts are
+    scored, further columns are not looked at.
+    """
+    return with_score(docs.select("doc_id", "text"), model, "score").select("doc_id", "score")

@@ -11,6 +11,7 @@ from sparcel.llm.chat import format_conversations, parse_conversations, text_par
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
 from sparcel.llm.near_dedup import near_groups
+from sparcel.llm.repeats import remove_repeats
 from sparcel.llm.samples import remainder
 from sparcel.llm.token_files import token_documents, write_tokens
 from sparcel.session import stage
@@ -55,6 +56,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_previous_factor_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no earlier document has in a string of 50."""
+    cut = remove_repeats(load(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op4_simple8b_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
