@@ -1,19 +1,65 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline over ``documents``: each stage is written as Parquet and read again by the next.
+
+1. quality: documents that the classifier rejects go;
+2. exact dedup: of equal texts one document stays;
+3. near dedup: of each class of near-duplicates one document stays;
+4. decontamination: documents with a window of a benchmark item go;
+5. tokens: the ids of each remaining document.
+
+All stages but the last return the columns of ``documents``. Rows that repeat a doc_id are told apart by
+their place, never by the id. ``ORACLE_SQL`` is None: a learnt model, near-duplicates and BPE are not SQL.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparcel.llm import bpe, quality
+from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import drop_copies
+from sparcel.llm.near_dedup import drop_near_copies
+from sparcel.llm.queries import GOOD, quality_model
 from sparcel.session import stage
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is high enough. The score stands beside each row, so no join is needed."""
+    return quality.with_score(docs, quality_model(spark, sf_dir, docs), "__score").filter(F.col("__score") >= GOOD).select(*docs.columns)
+
+
+def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest doc_id."""
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    return drop_near_copies(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and the text they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("exact dedup", different_documents),
+    ("near dedup", distinct_documents),
+    ("decontamination", clean_documents),
+    ("tokens", tokens),
+]
 
 ORACLE_SQL = None
 
