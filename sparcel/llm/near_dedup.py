@@ -10,10 +10,13 @@ is 0.8 or more. Aligned shingles then lie in a band of diagonals around the main
 threshold; the longest increasing chain of matches in the band is the alignment.
 
 Classes are the connected components of near-duplicates. Equal word sequences are one text from the start.
-Inside a bucket no pairs are listed: members meet leaders, one in the first round and twice as
-many in each later round, and only where bucket, lengths and present components leave something to
-find out. A bucket is left when all its members are in one component or each has been a leader, so no link
-between components is missed, whatever the size of the bucket.
+Inside a bucket no pairs are listed. All members meet one leader, the one that belongs to the largest
+buckets, usually the text that the others were made from. What a member has and the leader lacks is its
+rest. Two members c and d whose rests are disjoint share no more than the smaller of what each shares with the
+leader, which rules most such pairs out; those it can't are verified at once. All others have a shingle of their rests in
+common and meet in a bucket of the next round, for which the smallest shingles of a rest are enough (a
+prefix: of at least t common ones, one is among all but the last t - 1). Rounds go on while buckets hold several
+components, so no link between components is missed, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.llm import buffers
@@ -111,15 +114,20 @@ def _sketched(rows: DataFrame) -> DataFrame:
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
     """Similarity of two sequences of labelled shingles, or 0 if it is below the threshold."""
-    total = len(a) + len(b)
+    _, ia, ib = np.intersect1d(a, b, return_indices=True)
+    return _chained(len(a) + len(b), ia, ib, threshold)
+
+
+def _chained(total: int, ia: np.ndarray, ib: np.ndarray, threshold: float) -> float:
+    """Similarity from the places of all matches."""
     band = int((1 - threshold) / (1 + threshold) * total + 1e-9)
     needed = threshold / (1 + threshold) * total - 1e-9
-    _, ia, ib = np.intersect1d(a, b, return_indices=True)
     inside = np.abs(ia - ib) <= band
     ia, ib = ia[inside], ib[inside]
     if len(ia) < needed:
         return 0.0
     chain = ib[np.argsort(ia)]
+    m = len(chain)
     if (np.diff(chain) < 0).any():
         tails: list[int] = []
         for x in chain.tolist():
@@ -129,65 +137,95 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
             else:
                 tails[at] = x
         m = len(tails)
-    else:
-        m = len(chain)
     return m / (total - m) if m >= needed else 0.0
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b, a_shingles, b_shingles) -> (a, b, linked)."""
+def meet(leader: np.ndarray, member: np.ndarray, threshold: float = SIMILARITY) -> tuple[bool, int, np.ndarray]:
+    """(near-duplicates, number of common shingles, prefix of the member's rest)."""
+    _, ia, ib = np.intersect1d(leader, member, return_indices=True)
+    rest = np.ones(len(member), bool)
+    rest[ib] = False
+    rest = np.unique(member[rest])
+    least = max(int(np.ceil(threshold * len(member) - 1e-9)) - len(ib), 1)
+    return _chained(len(leader) + len(member), ia, ib, threshold) > 0, len(ib), rest[: max(len(rest) - least + 1, 0)]
+
+
+def _met(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(leader, row) -> leader, row, linked, common, rest, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) > 0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            found = [meet(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            linked, common, rest = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int32()), pa.array([r.view(np.int32) for r in rest], pa.list_(pa.int32()))],
+                names=["leader", "row", "linked", "common", "rest"],
+            )
+
+    both = pairs.join(bodies.select(F.col("row").alias("leader"), F.col("shingles").alias("a")), "leader").join(bodies.select("row", F.col("shingles").alias("b")), "row")
+    return stage(both.select("leader", "row", "a", "b").mapInArrow(run, "leader bigint, row bigint, linked boolean, common int, rest array<int>"), "met-pairs")
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components after further links."""
+    if links.isEmpty():
+        return found
+    return components(links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return rows.withColumn("component", F.col("row"))
+    return rows.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets with members of several components."""
+    return members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("bucket", "size")
+
 
-    return pairs.select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a bigint, b bigint, linked boolean")
+def _could_link(a: str, b: str) -> Column:
+    """Whether texts a and b can be alike if the rests are disjoint."""
+    return F.least(f"{a}.common", f"{b}.common") * F.lit(1 + SIMILARITY) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(SIMILARITY) - 1e-6
 
 
-def _linked_texts(texts: DataFrame) -> DataFrame | None:
+def _linked_texts(texts: DataFrame) -> DataFrame:
     """(row, n, keys, shingles) of different texts -> (node, component) of those that have a near-duplicate."""
-    shared = texts.select("row", "n", F.posexplode("keys").alias("band", "key")).withColumn("u", F.shiftrightunsigned(F.xxhash64("row"), 1))
-    buckets = shared.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("u", "row")).alias("lead")).filter("size > 1")
-    members = stage(shared.join(buckets, ["band", "key"]), "bucket-members")
-    bodies = stage(texts.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"), "bucket-texts")
-    known = None  # every pair that was verified
-    found = None  # components so far
-    turn = 0
+    members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
+    found = met = seen = bodies = None
     while True:
-        if found is None:
-            current = members.withColumn("component", F.col("row"))
-        else:
-            current = members.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-            mixed = current.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
-            current = stage(current.join(mixed, ["band", "key"], "left_semi"), "mixed-buckets")
-        # share of a bucket's members that have led before this round, and after it
-        share = F.col("u") / F.lit(float(1 << 63))
-        if turn:
-            led = share < F.lit(float(2**turn - 1)) / F.col("size")
-            leads = ~led & (share < F.lit(float(2 ** (turn + 1) - 1)) / F.col("size"))
-            if current.filter(~led).isEmpty():
-                return found
-        else:
-            leads = F.col("lead.row") == F.col("row")
-        leaders = current.filter(leads).select("band", "key", F.col("row").alias("l_row"), F.col("n").alias("l_n"), F.col("component").alias("l_component"))
-        met = current.join(leaders, ["band", "key"]).filter(
-            (F.col("component") != F.col("l_component")) & (F.least("n", "l_n") >= F.greatest("n", "l_n") * F.lit(SIMILARITY) - 1e-9)
-        )
-        pairs = met.select(F.least("row", "l_row").alias("a"), F.greatest("row", "l_row").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        with_a = pairs.join(bodies.select(F.col("row").alias("a"), F.col("shingles").alias("a_shingles")), "a")
-        checked = stage(_verified(with_a.join(bodies.select(F.col("row").alias("b"), F.col("shingles").alias("b_shingles")), "b")), "verified-pairs")
-        known = checked.select("a", "b") if known is None else known.union(checked.select("a", "b"))
-        links = checked.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            if found is not None:
-                links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            found = components(links)
-        elif found is None:
-            found = texts.sparkSession.createDataFrame([], "node bigint, component bigint")
-        turn += 1
+        members = _with_component(members, found)
+        members = stage(members.join(_mixed(members), "bucket"), "bucket-members")
+        if seen is not None:
+            fresh = members.select("bucket", "row").join(seen, ["bucket", "row"], "left_anti").select("bucket").distinct()
+            members = stage(members.join(fresh, "bucket", "left_semi"), "bucket-members")
+        if members.isEmpty():
+            break
+        seen = members.select("bucket", "row") if seen is None else seen.union(members.select("bucket", "row"))
+        if bodies is None:
+            bodies = stage(texts.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"), "bucket-texts")
+        weight = members.groupBy("row").agg(F.sum("size").alias("weight"))
+        lead = members.select("bucket", "row").join(weight, "row").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("row"))).alias("best")).select("bucket", (-F.col("best.col2")).alias("leader"))
+        led = stage(members.join(lead, "bucket").filter("row <> leader").select("bucket", "row", "n", "size", "leader"), "led-members")
+        pairs = led.select("leader", "row").distinct()
+        new = _met(pairs if met is None else pairs.join(met, ["leader", "row"], "left_anti"), bodies)
+        met = new if met is None else met.union(new)
+        found = _joined(found, new.filter("linked").select(F.col("leader").alias("a"), F.col("row").alias("b")))
+        # a bucket of two is done
+        left = _with_component(led.filter("size > 2").select("bucket", "row", "n", "leader"), found)
+        left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met, ["leader", "row"])
+        left = stage(left.select("bucket", "leader", "row", "n", "component", "linked", "common", "rest"), "left-members")
+        # pairs without a common shingle in their rests that may still be alike: c at least is not linked to the leader
+        reach = F.floor(F.col("common") * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6)
+        bounds = left.groupBy("bucket").agg(F.min("n").alias("low"), F.max(F.when(~F.col("linked"), reach)).alias("high"))
+        near = left.drop("rest").join(bounds, "bucket").filter("n <= high or not linked")
+        c, d = near.filter(~F.col("linked") & (reach >= F.col("low"))).alias("c"), near.filter("n <= high").alias("d")
+        odd = c.join(d, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.component") != F.col("d.component")) & _could_link("c", "d"))
+        odd = stage(odd.select(F.col("c.row").alias("leader"), F.col("d.row").alias("row")).distinct(), "odd-pairs")
+        if not odd.isEmpty():
+            found = _joined(found, _met(odd, bodies).filter("linked").select(F.col("leader").alias("a"), F.col("row").alias("b")))
+        members = left.select(F.explode("rest").alias("shingle"), "leader", "row", "n").select(F.xxhash64("leader", "shingle").alias("bucket"), "row", "n").distinct()
+    return texts.sparkSession.createDataFrame([], "node bigint, component bigint") if found is None else found
 
 
 def _classes(rows: DataFrame) -> DataFrame:

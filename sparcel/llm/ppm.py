@@ -137,7 +137,7 @@ def compiled(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray
         with np.errstate(divide="ignore", invalid="ignore"):
             cost = np.where(seen > 0, -np.log2(seen / (total + different)), -np.log2(different / (total + different)) + shorter)
         bits[ordered] = np.where(total > 0, cost, shorter)
-    return Model(names, order, child, bits.reshape(-1, len(names)))
+    return Model(names, order, child, bits.reshape(len(kept) * 256, len(names)))
 
 
 def identify(docs: DataFrame, model: Model, effective_bytes: int = 64) -> DataFrame:

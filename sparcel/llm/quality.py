@@ -52,7 +52,7 @@ def features(buf: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS, sizes:
         value = np.zeros(count, np.uint64)
         for i in range(size):
             value = value << np.uint64(8) | text[i : count + i]
-        # no space inside, and not a space at both ends of nothing
+        # no space inside; a lone byte between two spaces is a token, no gram
         at = np.flatnonzero((inner[size - 1 : count + size - 1] - inner[1 : count + 1] == 0) & ~(space[:count] & space[size - 1 :][:count]))
         yield (buffers.mix(value[at] + np.uint64(size)) >> shift).astype(np.int64), np.searchsorted(at, edges)
 
