@@ -47,14 +47,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     # most ids first: the first selector that fits from a place on is the one to take
     choice = np.zeros(n, np.int8)
+    narrow = ids.astype(np.uint32) if ids.max() >> np.uint64(32) == 0 else ids
     for selector, (count, bits) in SELECTORS.items():
-        large = ids >> np.uint64(bits) != 0
-        if not large.any():
-            fits = np.ones(n, bool)
+        if bits >= 8 * narrow.itemsize:
+            small = at
         else:
-            next_large = np.minimum.accumulate(np.where(large, at, n)[::-1])[::-1]
-            fits = next_large - at >= np.minimum(count, n - at)
-        np.copyto(choice, selector, where=fits & (choice == 0))
+            small = np.flatnonzero(narrow < narrow.dtype.type(1 << bits))
+        if not len(small):
+            continue
+        # how far the run of small ids goes on from each of them
+        breaks = np.flatnonzero(np.diff(small) > 1)
+        end = np.repeat(small[np.append(breaks, len(small) - 1)] + 1, np.diff(np.concatenate(([-1], breaks, [len(small) - 1]))))
+        fits = small[(end - small >= count) | (end == n)]
+        choice[fits[choice[fits] == 0]] = selector
     step = np.array([1] + [count for count, _ in SELECTORS.values()])[choice].tolist()
     starts, i = [], 0
     while i < n:
@@ -174,7 +179,8 @@ class ByteEncoder:
 
     A space before something that is no white space always begins a new word that no merge crosses, so a
     text is the sequence of the stretches between such spaces. Texts with the name of a special token, and
-    stretches with letters beyond Latin, go through the whole library.
+    stretches with letters beyond Latin, go through the whole library; longer runs of white space are split by
+    the pattern alone.
     """
 
     def __init__(self, path: str, cached: int = 800_000) -> None:
@@ -185,7 +191,7 @@ class ByteEncoder:
         c = char_classes()
         # the vocabulary's pre-tokenizer (fixed values), the commonest form first
         self.words = re.compile(f" ?[{c['L']}]+| ?[{c['N']}]+|'(?:[stmd]|re|ve|ll)| ?[^{c['S']}{c['L']}{c['N']}]+|[{c['S']}]+(?![^{c['S']}])|[{c['S']}]+").findall
-        self.odd = re.compile(r" (?=[\s\x1c-\x1f])").search
+        self.odd = re.compile(r" (?=\s)").search
         self.model = self.library.model
         self.shown = dict(enumerate(byte_characters()))
         self.pieces = Cache(self._piece, cached)
@@ -199,7 +205,11 @@ class ByteEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         # letters beyond Latin are left to the library's own tables
-        return b"".join(map(self.pieces.__getitem__, self.words(chunk))) if max(chunk) < "ɐ" else self._ask(chunk)
+        if not chunk.isascii() and max(chunk) >= "ɐ":
+            return self._ask(chunk)
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self.pieces[chunk]
+        return b"".join(map(self.pieces.__getitem__, self.words(chunk)))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -207,7 +217,7 @@ class ByteEncoder:
         if any(t in text for t in self.special):
             return np.frombuffer(self._ask(text), "<u4")
         if self.odd(text) or text[-1] == " ":
-            return np.frombuffer(self._chunk(text), "<u4")
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.words(text))) if text.isascii() or max(text) < "ɐ" else self._ask(text), "<u4")
         first, _, rest = text.partition(" ")
         ids = self.firsts[first] if first else b""
         return np.frombuffer(ids + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest else ids, "<u4")
