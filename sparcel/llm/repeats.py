@@ -36,7 +36,8 @@ from sparcel.session import stage, staged_path
 
 SPAN, GRAM, CROWD = 50, 18, 4
 PIECE = 2 << 20
-_BLOCK = 4 << 20
+_BLOCK = 1 << 19
+_SORTED = 300_000
 _PLACE = np.uint64(0xFFFFFF)
 _LAST = np.iinfo(np.int64).max
 
@@ -109,10 +110,13 @@ class Piece:
         n = self.hi[which] - self.lo[which] + 1
         segment = np.repeat(which, n)
         start = np.repeat(self.lo[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        rows = self.buf[start[:, None] + np.arange(SPAN)] if len(start) else np.zeros((0, SPAN), np.uint8)
-        sums = buffers.byte_sums(rows.reshape(-1))
-        at = np.arange(len(start)) * SPAN
-        return segment, start, buffers.span_hash(sums, at, at + SPAN)
+        hashes = np.zeros(len(start), np.uint64)
+        block = start // _BLOCK
+        for number in np.unique(block).tolist():
+            mine, at = block == number, number * _BLOCK
+            sums = buffers.byte_sums(self.buf[at : at + _BLOCK + SPAN])
+            hashes[mine] = buffers.span_hash(sums, start[mine] - at, start[mine] - at + SPAN)
+        return segment, start, hashes
 
 
 def _wide(packed: list[bytes], kind: str = "<u8") -> np.ndarray:
@@ -251,7 +255,17 @@ def match_suffixes(table: pa.Table) -> pa.Table:
     windows = lengths - SPAN + 1
     owner = np.repeat(np.arange(len(keys)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit = earlier_matches(data, (np.cumsum(lengths) - lengths)[owner] + offset, docs[owner])
+    starts = (np.cumsum(lengths) - lengths)[owner] + offset
+    # suffixes with different beginnings never match, so they may be sorted a part at a time
+    head = np.zeros(len(starts), np.uint64)
+    for i in range(8):
+        head = head << np.uint64(8) | data[starts + i]
+    parts = max(-(-len(starts) // _SORTED), 1)
+    head = (buffers.mix(head) % np.uint64(parts)).astype(np.int32)
+    hit = np.zeros(len(starts), bool)
+    for part in range(parts):
+        mine = np.flatnonzero(head == part)
+        hit[mine] = earlier_matches(data, starts[mine], docs[owner[mine]])
     masks = np.zeros(len(keys), np.uint64)
     np.bitwise_or.at(masks, owner[hit], np.uint64(1) << offset[hit].astype(np.uint64))
     pieces = table.column("piece").to_pylist()

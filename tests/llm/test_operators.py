@@ -166,10 +166,11 @@ def brute_repeats(docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("piece,block", [(2 << 20, 4 << 20), (3000, 700)])
+@pytest.mark.parametrize("piece,block", [(2 << 20, 1 << 19), (3000, 700)])
 def test_repeats(spark, monkeypatch, piece, block):
     monkeypatch.setattr(repeats, "PIECE", piece)
     monkeypatch.setattr(repeats, "_BLOCK", block)
+    monkeypatch.setattr(repeats, "_SORTED", block)
     rnd = random.Random(piece)
     line = "A very common line that stands in a large part of all the documents."
     docs = documents(7) + [(100 + i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 40))) + line + "".join(rnd.choice("abcdefgh") for _ in range(60))) for i in range(40)]
