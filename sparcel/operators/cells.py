@@ -91,13 +91,12 @@ def flat_index(sizes: Mapping[str, int]) -> Column:
 
 
 def from_flat_index(code: Column, sizes: Mapping[str, int]) -> dict[str, Column]:
-    sx, sy, sz = (sizes[a] for a in AXES)
-    return {
-        "batch": F.floor(code / (sx * sy * sz)).cast("int"),
-        "x": F.pmod(F.floor(code / (sy * sz)), F.lit(sx)).cast("int"),
-        "y": F.pmod(F.floor(code / sz), F.lit(sy)).cast("int"),
-        "z": F.pmod(code, F.lit(sz)).cast("int"),
-    }
+    """The inverse, by integer arithmetic: exact for every 64-bit code."""
+    rest, out = code, {}
+    for a in reversed(AXES):
+        out[a] = F.pmod(rest, F.lit(sizes[a])).cast("int")
+        rest = F.call_function("div", rest, F.lit(sizes[a]))
+    return {"batch": rest.cast("int"), **{a: out[a] for a in AXES}}
 
 
 def dense_ids(df: DataFrame, keys: Sequence[str], name: str = "id") -> DataFrame:
@@ -210,20 +209,23 @@ def batch_lengths(df: DataFrame, ids: DataFrame, batch: str = "batch") -> DataFr
 def to_padded(df: DataFrame, batch: str, order: Sequence[str], value: str, length: int | None = None) -> DataFrame:
     """Ragged to padded: every batch gets positions 0..length-1, absent ones masked.
 
-    Without ``length`` the longest batch decides. Padding rows are generated per batch
-    and added to the real rows, so nothing is joined.
+    Without ``length`` the longest batch decides; a batch longer than a given one is an
+    error, as its rows would be lost. Padding rows are generated per batch and added to the
+    real rows, so nothing is joined.
     """
     placed = group_position(df.select(batch, *[c for c in order if c != batch], value), [batch], order, "pos")
     real = placed.select(batch, F.col("pos").cast("int").alias("pos"), value, F.lit(True).alias("mask"))
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    if length is None:
-        length = sizes.agg(F.max("_n")).first()[0] or 0
+    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    length = longest if length is None else length
+    if longest > length:
+        raise ValueError(f"a batch has {longest} rows, more than {length}")
     gap = (
         sizes.filter(F.col("_n") < length)
         .select(batch, F.explode(F.sequence(F.col("_n"), F.lit(length - 1))).alias("pos"))
         .withColumn("mask", F.lit(False))
     )
-    return real.filter(F.col("pos") < length).unionByName(gap, allowMissingColumns=True)
+    return real.unionByName(gap, allowMissingColumns=True)
 
 
 def grid(spark, lower: Sequence[int], upper: Sequence[int], batches: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def running(
     receives the totals of the group's earlier slices as a carry.
     """
     names = list(sums)
-    inputs = {f"_in_{n}": c for n, c in sums.items()}
+    inputs = {f"_in_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}  # NULL adds nothing
     parts = sliced(df.withColumns(inputs), [*group, *order])
     here = [SLICE, *group]
 
@@ -129,7 +129,7 @@ def trailing(df: DataFrame, order: Sequence[str], width: int, aggs: Mapping[str,
     running aggregates: the work per row does not depend on ``width``.
     """
     placed = global_position(df.withColumns({f"_in_{n}": c for n, (_, c) in aggs.items()}), order, "_pos")
-    home = F.floor(F.col("_pos") / width).cast("bigint")
+    home = F.expr(f"_pos div {width}")
     copies = placed.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
         "_block", F.when(F.col("_home"), home).otherwise(home + 1)
     )

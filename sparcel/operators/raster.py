@@ -40,10 +40,15 @@ def tile_ranges(tiles: DataFrame, view: str) -> DataFrame:
 def first_hits(cells: DataFrame, view: str, values: Sequence[str], n: int, width: int) -> DataFrame:
     """Orthographic first hit along z: for every pixel of a width x width image the nearest covered cell.
 
-    A cell spans ``width / n`` pixels per axis. Pixels without a hit have no row.
+    Cell i covers the pixels from ``i * width div n`` to ``(i + 1) * width div n - 1``, so a width that is no
+    multiple of n is covered without gaps, and in an image of fewer pixels than cells some
+    cells cover none. Pixels without a hit have no row.
     """
-    step = width // n
-    rows = cells.withColumn("py", F.explode(F.sequence(F.col("y") * step, F.col("y") * step + step - 1)))
-    pixels = rows.withColumn("px", F.explode(F.sequence(F.col("x") * step, F.col("x") * step + step - 1)))
+
+    def covered(axis: str):
+        first, last = F.expr(f"cast({axis} * {width} div {n} as int)"), F.expr(f"cast(({axis} + 1) * {width} div {n} as int)") - 1
+        return F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+    pixels = cells.withColumn("py", covered("y")).withColumn("px", covered("x"))
     nearest = [F.min("z").alias("z"), *[F.min_by(v, "z").alias(v) for v in values]]
     return pixels.groupBy(view, "py", "px").agg(*nearest)

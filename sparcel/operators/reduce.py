@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from sparcel.functions import vectors as V
 
 
-def segment_reduce(df: DataFrame, batch: str, vector: Column, how: str) -> DataFrame:
-    """Reduce each row's channels, then the rows of each batch, with mean, sum or prod."""
-    inner = {"mean": V.mean, "sum": V.total, "prod": V.product}[how](vector)
-    outer = {"mean": F.avg, "sum": F.sum, "prod": F.product}[how]
-    return df.select(batch, inner.alias("_v")).groupBy(batch).agg(outer("_v").alias(how))
+def segment_reduce(df: DataFrame, batch: str, vector: Column, factor: Column | None = None) -> DataFrame:
+    """Mean, sum and product over all channels of the rows of each batch, in one aggregation.
+
+    The product (of ``factor`` if given, else of ``vector``) comes as ``sign`` and ``log_prod``, the logarithm of its size:
+    as a number it would fall to 0 or overflow within a few thousand rows. A zero factor gives sign 0 and
+    no logarithm.
+    """
+    factor = vector if factor is None else factor
+    logs = F.aggregate(F.transform(factor, lambda x: F.log(F.abs(x))), F.lit(0.0), lambda a, x: a + x)
+    signs = F.aggregate(factor, F.lit(1), lambda a, x: (a * F.signum(x)).cast("int"))
+    rows = df.select(batch, V.mean(vector).alias("_m"), V.total(vector).alias("_s"), logs.alias("_l"), signs.alias("_g"))
+    sign = F.when(F.bool_or(F.col("_g") == 0), 0).otherwise(1 - 2 * F.pmod(F.count_if(F.col("_g") < 0), F.lit(2)))
+    return rows.groupBy(batch).agg(
+        F.avg("_m").alias("mean"), F.sum("_s").alias("sum"), sign.cast("int").alias("sign"),
+        F.when(F.bool_and(F.col("_g") != 0), F.sum("_l")).alias("log_prod"),
+    )
 
 
 def moment_std(value: Column) -> Column:

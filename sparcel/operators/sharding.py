@@ -16,7 +16,7 @@ def contiguous_shards(df: DataFrame, order: Sequence[str], world: int) -> DataFr
     Shard r holds positions [n*r div world, n*(r+1) div world).
     """
     placed = global_position(df, order, "pos", total="_n")
-    shard = F.floor(((F.col("pos") + 1) * world - 1) / F.col("_n")).cast("int")
+    shard = F.expr(f"cast(((pos + 1) * {world} - 1) div _n as int)")
     return placed.withColumn("shard", shard).drop("_n")
 
 
@@ -46,7 +46,7 @@ def epoch_order(
         drawn = shuffled.withColumn("draws", F.ceil(n / world) * world).withColumn("slot", F.explode(again))
     return (
         drawn.withColumn("rank", F.pmod("slot", F.lit(world)).cast("int"))
-        .withColumn("step", F.floor(F.col("slot") / world).cast("bigint"))
+        .withColumn("step", F.expr(f"slot div {world}"))
         .drop("_n")
     )
 
@@ -57,14 +57,16 @@ def balanced_groups(
     """Greedy longest-first grouping inside windows of at most ``size`` items.
 
     Items are taken by load, then item, both descending; each goes to the least
-    loaded group (lowest number first). With ``equal`` a group that reached
-    ``size div groups`` members is closed. The window size bounds the array that one
-    row holds; the greedy walk itself stays in the JVM as a fold.
+    loaded group (lowest number first). With ``equal`` a group that reached its share
+    (the window's own number of items ``div groups``) is closed. ``size`` bounds the array
+    that one row holds: a larger window fails the query. The greedy walk itself stays in the
+    JVM as a fold.
     """
     items = df.groupBy(*window).agg(
         F.sort_array(F.collect_list(F.struct(F.col(load).cast("double").alias("load"), F.col(item).alias("item"))), asc=False).alias("_items")
     )
-    cap = size // groups
+    items = items.withColumn("_items", F.when(F.size("_items") <= size, F.col("_items")).otherwise(F.raise_error(F.lit(f"a window holds more than {size} items"))))
+    cap = f"(size(_items) div {groups})"
     start = (
         f"named_struct('loads', array_repeat(0D, {groups}), 'sizes', array_repeat(0, {groups}), "
         f"'out', cast(array() as array<int>))"
@@ -99,7 +101,7 @@ def balanced_epoch(
     """
     width = batch * world
     drawn = epoch_order(df.select(key, load), key, world, seed, epoch)
-    whole = drawn.withColumn("win", F.floor(F.col("slot") / width).cast("bigint")).withColumn(
+    whole = drawn.withColumn("win", F.expr(f"slot div {width}")).withColumn(
         "within", F.pmod("slot", F.lit(width)).cast("int")
     )
     kept = whole.filter((F.col("win") + 1) * width <= F.col("draws"))

@@ -31,26 +31,41 @@ def points(spark, d):
     )
 
 
+# The curve visits the octants (x, y, z) of a cube in this order, and inside each of them it is the
+# whole curve again, seen along axes taken in another order and some of them reversed.
+OCTANTS = ["000", "001", "011", "010", "110", "111", "101", "100"]
+INSIDE = [("zxy", "000"), ("yxz", "000"), ("xyz", "000"), ("zyx", "101"), ("zyx", "000"), ("xyz", "000"), ("yxz", "110"), ("zxy", "110")]
+
+
+def hilbert_steps() -> list[int]:
+    """For each view of the curve and each octant: 8 times the view inside it, plus the octant's place on the curve."""
+
+    def seen(view: tuple[str, str], octant: str) -> str:
+        return "".join("01"[octant["xyz".index(axis)] != turned] for axis, turned in zip(*view))
+
+    def within(inner: tuple[str, str], outer: tuple[str, str]) -> tuple[str, str]:
+        axes = [(outer[0]["xyz".index(axis)], "01"[outer[1]["xyz".index(axis)] != turned]) for axis, turned in zip(*inner)]
+        return "".join(a for a, _ in axes), "".join(t for _, t in axes)
+
+    views, steps = [("xyz", "000")], []
+    for view in views:  # grows until every view has been met
+        for octant in sorted(OCTANTS):
+            place = OCTANTS.index(seen(view, octant))
+            inner = within(INSIDE[place], view)
+            if inner not in views:
+                views.append(inner)
+            steps.append(views.index(inner) * 8 + place)
+    return steps
+
+
 def hilbert_sql() -> str:
-    """The axis-transform form of the curve, bit plane by bit plane, as a chain of subqueries."""
-    src = "(SELECT x AS ox, y AS oy, z AS oz, CAST(x AS BIGINT) AS a, CAST(y AS BIGINT) AS b, CAST(z AS BIGINT) AS c FROM points)"
-    for level in range(9, 0, -1):
-        bit, low = 1 << level, (1 << level) - 1
-        for axis in "abc":
-            swap = f"(xor(a, {axis}) & {low})"
-            flipped = f"CASE WHEN {axis} & {bit} <> 0 THEN xor(a, {low}) ELSE xor(a, {swap}) END AS a"
-            moved = {
-                k: (f"CASE WHEN {axis} & {bit} <> 0 THEN {k} ELSE xor({k}, {swap}) END AS {k}" if k == axis else k)
-                for k in "bc"
-            }
-            src = f"(SELECT ox, oy, oz, {flipped}, {moved['b']}, {moved['c']} FROM {src})"
-    src = f"(SELECT ox, oy, oz, a, xor(a, b) AS b, xor(xor(a, b), c) AS c FROM {src})"
-    parity = "0::BIGINT"
-    for level in range(9, 0, -1):
-        parity = f"xor({parity}, CASE WHEN c & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
-    src = f"(SELECT *, {parity} AS t FROM {src})"
-    code = interleave_sql("xor(a, t)", "xor(b, t)", "xor(c, t)", 10)
-    return f"WITH {POINTS_SQL} SELECT ox AS x, oy AS y, oz AS z, {code} AS hilbert FROM {src}"
+    """The recursive definition: octant by octant from the largest cube down, one subquery a level."""
+    src = "(SELECT x, y, z, 0 AS step, CAST(0 AS BIGINT) AS code FROM points)"
+    for level in range(9, -1, -1):
+        octant = f"((x >> {level}) & 1) * 4 + ((y >> {level}) & 1) * 2 + ((z >> {level}) & 1)"
+        src = f"(SELECT x, y, z, {hilbert_steps()}[(step >> 3) * 8 + {octant} + 1] AS step, code FROM {src})"
+        src = f"(SELECT x, y, z, step, code * 8 + (step & 7) AS code FROM {src})"
+    return f"WITH {POINTS_SQL} SELECT x, y, z, CAST(code AS BIGINT) AS hilbert FROM {src}"
 
 
 @query("z_order_keys", "F1", f"WITH {POINTS_SQL} SELECT x, y, z, {interleave_sql('x', 'y', 'z', 10)} AS code FROM points")

@@ -123,12 +123,11 @@ def mesh_ply_round_trip(spark, d):
     """
     SELECT CAST(l_orderkey AS VARCHAR) AS asset, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS idx,
            printf('%03d.png', l_linenumber) AS file_path, round(l_discount * 3, 6) AS camera_angle_x, l_extendedprice AS tx
-    FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+    FROM lineitem
     """,
 )
 def camera_documents(spark, d):
-    urgent = load(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    items = load(spark, d, "lineitem").filter("l_returnflag = 'R'").join(urgent, "l_orderkey", "left_semi")
+    items = load(spark, d, "lineitem")
     zero, one = F.lit(0.0), F.lit(1.0)
     views = items.select(
         F.col("l_orderkey").alias("asset"), "l_linenumber", "l_partkey", "l_extendedprice",
@@ -137,7 +136,7 @@ def camera_documents(spark, d):
     )
     numbered = group_position(views, ["asset"], ["l_linenumber", "l_partkey", "l_extendedprice"], "idx")
     path = staged_path(spark, "views")
-    logs.write_views(numbered, "asset", path, per_document=4)
+    logs.write_views(numbered, "asset", path)
     return logs.read_views(spark, path).select(
         "asset", "idx", "file_path", F.round("camera_angle_x", 6).alias("camera_angle_x"), F.expr("transform_matrix[0][3]").alias("tx")
     )

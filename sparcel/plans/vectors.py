@@ -31,17 +31,13 @@ PAIRS_SQL = f"{E_SQL}, p AS (SELECT a.vec_id, a.i, a.v AS a, b.v AS b FROM e a J
 @query(
     "segment_reduce",
     "A10",
-    f"""WITH {E_SQL}, r AS (SELECT vec_id, label, avg(v) AS m, sum(v) AS s, product(1 + v) AS p FROM e GROUP BY vec_id, label)
-    SELECT label, round(avg(m), 9) AS mean, round(sum(s), 6) AS sum, round(ln(abs(product(p))), 6) AS prod FROM r GROUP BY label""",
+    f"""WITH {E_SQL}, r AS (SELECT vec_id, label, avg(v) AS m, sum(v) AS s, sum(ln(abs(1 + v))) AS l, count(*) FILTER (WHERE 1 + v < 0) AS k FROM e GROUP BY vec_id, label)
+    SELECT label, round(avg(m), 9) AS mean, round(sum(s), 6) AS sum, round(sum(l), 6) AS log_prod, CAST(1 - 2 * (sum(k) % 2) AS INTEGER) AS sign FROM r GROUP BY label""",
 )
 def segment_reduce(spark, d):
-    table, v = vecs(spark, d), F.col("v")
-    mean = R.segment_reduce(table, "label", v, "mean")
-    total = R.segment_reduce(table, "label", v, "sum")
-    prod = R.segment_reduce(table, "label", V.mapped(v, lambda x: x + 1), "prod")
-    return mean.join(total, "label").join(prod, "label").select(
-        "label", F.round("mean", 9).alias("mean"), F.round("sum", 6).alias("sum"), F.round(F.log(F.abs("prod")), 6).alias("prod")
-    )
+    v = F.col("v")
+    reduced = R.segment_reduce(vecs(spark, d), "label", v, V.mapped(v, lambda x: x + 1))
+    return reduced.select("label", F.round("mean", 9).alias("mean"), F.round("sum", 6).alias("sum"), F.round("log_prod", 6).alias("log_prod"), "sign")
 
 
 @query(

@@ -17,15 +17,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_stage(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
     """A CSV stage table; a missing path reads as an empty table of the same schema.
 
-    Columns are matched by header name. ``tolerant`` skips unreadable files and rows
-    that do not parse instead of failing the job.
+    Columns are matched by header name. ``tolerant`` leaves rows that do not parse to
+    ``rejected_rows`` instead of failing the job.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("header", True).option("enforceSchema", False)
     if tolerant:
-        reader = reader.option("ignoreCorruptFiles", True).option("mode", "DROPMALFORMED")
-    return reader.schema(schema).csv(path)
+        return _with_rejects(spark, path, schema).filter(f"{REJECT} is null").drop(REJECT)
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+
+
+REJECT = "_corrupt_record"
+
+
+def _with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
+    return reader.schema(T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])).csv(path)
+
+
+def rejected_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line) of the rows that ``read_stage`` leaves out when tolerant."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "file string, line string")
+    whole = _with_rejects(spark, path, schema).withColumn("file", F.col("_metadata.file_path"))
+    # all columns are kept in the plan: a scan of the reject column alone parses nothing
+    return whole.filter(F.col(REJECT).isNotNull() & (F.size(F.array(*[F.col(f.name).cast("string") for f in schema.fields])) > 0)).select("file", F.col(REJECT).alias("line"))
 
 
 def append_records(df: DataFrame, stage_dir: str) -> None:

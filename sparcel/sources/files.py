@@ -2,8 +2,8 @@
 
 Reading: the driver only lists names and sizes; small files share a partition, large
 containers are split by chunk, and headers are read in the tasks. Writing: rows are
-clustered by file with one shuffle, and each task encodes its files as they stream by,
-renaming a finished file into place, so a retried task just replaces it.
+clustered by file with one shuffle, and each task encodes its files as they stream by
+into drafts, which the job's commit renames and its abort removes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,15 @@ HEADER_SCHEMA = (
 MESH_SCHEMA = "file string, element string, id bigint, x double, y double, z double, corners array<int>"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark resolves it: without a scheme it lies on the default filesystem, not on the machine's disk."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return full.removeprefix("file:") if full.startswith("file:/") else full
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -117,14 +126,26 @@ class CellReader(DataSourceReader):
             yield from self.source.read_file(path, partition, self.schema)
 
 
+@dataclass
+class Drafts(WriterCommitMessage):
+    """Files of one task: their draft names and the names they are to have."""
+
+    moves: list[tuple[str, str]]
+
+
 class CellWriter(DataSourceArrowWriter):
-    """Rows arrive sorted by file (and chunk); one file is held at a time."""
+    """Rows arrive sorted by file (and chunk); one file is held at a time.
 
-    def __init__(self, source: CellFiles, schema: StructType):
-        self.source, self.schema = source, schema
+    Tasks write drafts, which get their names when the whole job has succeeded and go when it has failed.
+    With ``overwrite`` the files of this format that were there before go at that moment.
+    """
+
+    def __init__(self, source: CellFiles, schema: StructType, overwrite: bool = False):
+        self.source, self.schema, self.overwrite = source, schema, overwrite
+        self.moves: list[tuple[str, str]] = []
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        current, held = None, []
+        current, held, self.moves = None, [], []
         for batch in iterator:
             names = batch.column("file").to_numpy(zero_copy_only=False)
             if len(names) == 0:
@@ -138,7 +159,28 @@ class CellWriter(DataSourceArrowWriter):
                 held.append(batch.slice(a, b - a))
         if current is not None:
             self.flush(current, held)
-        return WriterCommitMessage()
+        return Drafts(self.moves)
+
+    def commit(self, messages: list[Drafts | None]) -> None:
+        fs, root = filesystem(self.source.path)
+        before = [f for f, _ in list_files(self.source.path, self.source.suffix)] if self.overwrite and self.exists() else []
+        named = set()
+        for message in messages:
+            for draft, name in message.moves if message else ():
+                fs.move(draft, name)
+                named.add(name)
+        for name in set(before) - named:
+            fs.delete_file(name)
+
+    def abort(self, messages: list[Drafts | None]) -> None:
+        fs, _ = filesystem(self.source.path)
+        for message in messages:
+            for draft, _ in message.moves if message else ():
+                fs.delete_file(draft)
+
+    def exists(self) -> bool:
+        fs, root = filesystem(self.source.path)
+        return fs.get_file_info(root).type != pafs.FileType.NotFound
 
     def flush(self, name: str, held: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(held)
@@ -163,7 +205,7 @@ class CellWriter(DataSourceArrowWriter):
         draft = f"{root}/.{name}-{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(draft) as out:
             out.write(data)
-        fs.move(draft, f"{root}/{name}{self.source.suffix}")
+        self.moves.append((draft, f"{root}/{name}{self.source.suffix}"))
 
 
 class CellFiles(DataSource):
@@ -193,7 +235,7 @@ class CellFiles(DataSource):
         return CellReader(self, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> CellWriter:
-        return CellWriter(self, schema)
+        return CellWriter(self, schema, overwrite)
 
     def read_file(self, path: str, share: Share, schema: StructType) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
@@ -443,7 +485,7 @@ def read_cells(spark: SparkSession, path: str, kind: str | None = None, **option
     kind = kind or BY_SUFFIX.get("." + path.rsplit(".", 1)[-1])
     if kind is None:
         raise ValueError(f"unknown cell file {path}")
-    return spark.read.format(kind).options(**options).load(path)
+    return spark.read.format(kind).options(**options).load(qualified(spark, path))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -472,30 +514,23 @@ def encoded_chunks(rows: DataFrame, attrs: list[str], options: dict[str, str]) -
     return rows.groupBy("file", *chunk).applyInPandas(encode, schema)
 
 
-def write_cells(
-    df: DataFrame, path: str, kind: str, asset: str, attrs: list[str], max_cells: int = 8_000_000, block: int = 256, **options
-) -> None:
-    """Write one file per asset; an asset of more than ``max_cells`` cells is split by blocks.
+def write_cells(df: DataFrame, path: str, kind: str, asset: str, attrs: list[str], mode: str = "append", **options) -> None:
+    """Write one file per asset, under the asset's name, whatever its size.
 
-    The parts of a split asset are named ``asset@bx_by_bz`` and hold ``block`` cells per
-    axis, so neither a task nor a file grows with the hottest asset. Cells must be
+    Containers are encoded chunk by chunk by as many tasks as there are chunks; only the encoded
+    chunks meet where a file is put together. The plain formats are one array per file. Cells must be
     unique within an asset.
     """
     register(df.sparkSession)
+    path = qualified(df.sparkSession, path)
     options = {k: str(v) for k, v in options.items()}
-    block = max(block, int(options.get("chunkSize", 256))) if kind == "vxz" else block
-    rows = df.select(F.col(asset).cast("string").alias("_asset"), *[F.col(a).cast("int").alias(a) for a in "xyz"], *attrs)
-    large = rows.groupBy("_asset").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_cells)
-    part = F.concat(F.col("_asset"), F.lit("@"), F.concat_ws("_", *[F.floor(F.col(a) / block).cast("string") for a in "xyz"]))
-    rows = rows.join(large, "_asset", "left").select(
-        F.when(F.col("_n").isNull(), F.col("_asset")).otherwise(part).alias("file"), "x", "y", "z", *attrs
-    )
+    rows = df.select(F.col(asset).cast("string").alias("file"), *[F.col(a).cast("int").alias(a) for a in "xyz"], *attrs)
     if kind == "vxz":
         rows = encoded_chunks(rows, attrs, options).repartition("file").sortWithinPartitions("file", "cx", "cy", "cz")
         rows = rows.drop("cx", "cy", "cz")
     else:
         rows = rows.repartition("file").sortWithinPartitions("file", "x", "y", "z")
-    rows.write.format(kind).options(**options).mode("append").save(path)
+    rows.write.format(kind).options(**options).mode(mode).save(path)
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh", text: bool = False, channels: dict[str, list[str]] | None = None) -> None:
@@ -506,6 +541,7 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "me
     header are aggregated first, so the writing task streams a file batch by batch and
     never holds a mesh.
     """
+    path = qualified(vertices.sparkSession, path)
     extra = [c for cols in (channels or {}).values() for c in cols]
     v = vertices.select(F.col(mesh).cast("string").alias("file"), F.lit(0).alias("kind"), F.col("vid").alias("id"), "x", "y", "z", *extra)
     f = faces.select(F.col(mesh).cast("string").alias("file"), F.lit(1).alias("kind"), F.col("fid").alias("id"), "corners")

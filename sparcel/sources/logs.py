@@ -11,20 +11,17 @@ VIEWS_SCHEMA = (
 )
 
 
-def write_views(views: DataFrame, asset: str, path: str, per_document: int = 256) -> None:
-    """Camera documents from rows (asset, idx, file_path, camera_angle_x, transform_matrix).
+def write_views(views: DataFrame, asset: str, path: str) -> None:
+    """Camera documents from rows (asset, idx, file_path, camera_angle_x, transform_matrix): one per asset.
 
-    An asset's frames are cut into documents of at most ``per_document`` consecutive
-    ones (``first`` is the first index), so that no row grows with an asset.
+    Frames stand in the order of ``idx``. The format has one document for an asset, so an asset's frames
+    must fit a row.
     """
     frame = F.struct("file_path", "camera_angle_x", "transform_matrix")
-    block = F.floor(F.col("idx") / per_document).cast("int").alias("_block")
-    docs = views.groupBy(asset, block).agg(
-        F.sort_array(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"), F.min("idx").cast("int").alias("first")
-    )
+    docs = views.groupBy(asset).agg(F.sort_array(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"))
     unit = F.array(*[F.array(*[F.lit(v)] * 3) for v in (-0.5, 0.5)])
     doc = docs.select(
-        F.col(asset).cast("string").alias("asset"), "first", unit.alias("aabb"), F.lit(1.0).alias("scale"),
+        F.col(asset).cast("string").alias("asset"), unit.alias("aabb"), F.lit(1.0).alias("scale"),
         F.array(*[F.lit(0.0)] * 3).alias("offset"), F.transform("f", lambda f: f["frame"]).alias("frames"),
     )
     doc.write.json(path)
@@ -39,12 +36,9 @@ def read_views(spark: SparkSession, path: str, single_files: bool = False) -> Da
     if single_files:
         docs = spark.read.schema(VIEWS_SCHEMA).option("multiLine", True).json(f"{path}/*/transforms.json")
         docs = docs.withColumn("asset", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-        docs = docs.withColumn("first", F.lit(0))
     else:
-        docs = spark.read.schema("asset string, first int, " + VIEWS_SCHEMA).json(path)
-    return docs.select("asset", "first", F.posexplode("frames").alias("pos", "frame")).select(
-        "asset", (F.col("first") + F.col("pos")).alias("idx"), "frame.*"
-    )
+        docs = spark.read.schema("asset string, " + VIEWS_SCHEMA).json(path)
+    return docs.select("asset", F.posexplode("frames").alias("idx", "frame")).select("asset", "idx", "frame.*")
 
 
 def write_step_log(steps: DataFrame, path: str) -> None:
@@ -54,16 +48,29 @@ def write_step_log(steps: DataFrame, path: str) -> None:
 
 
 def read_step_log(spark: SparkSession, path: str) -> DataFrame:
-    """Steps and their metrics; nested objects are flattened with ``/`` one level deep."""
-    lines = spark.read.text(path)
-    parts = lines.select(
-        F.regexp_extract("value", r"^(\d+): ", 1).cast("bigint").alias("step"),
-        F.regexp_replace("value", r"^\d+: ", "").alias("doc"),
-    )
-    top = F.from_json("doc", "map<string,string>")
-    flat = parts.select("step", F.explode(top).alias("k", "v"))
-    inner = F.from_json(F.when(F.col("v").startswith("{"), F.col("v")), "map<string,double>")
-    leaves = F.when(
-        F.col("v").startswith("{"), F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("k", F.lit("/"), e["key"]).alias("key"), e["value"].alias("value")))
-    ).otherwise(F.array(F.struct(F.col("k").alias("key"), F.col("v").try_cast("double").alias("value"))))
-    return flat.select("step", F.explode(leaves).alias("m")).select("step", "m.key", "m.value")
+    """(step, key, value) of every metric; nested objects are flattened with ``/``, whatever their depth.
+
+    Lines that are no ``step: {json}`` are left to ``rejected_log_lines``; leaves that are no numbers have a null value.
+    """
+    lines = _log_lines(spark, path).filter("step is not null and top is not null").select("step", "top")
+    flat = lines.select("step", F.explode("top").alias("key", "value"))
+    deeper = F.col("value").startswith("{")
+    done = flat.filter(~deeper)
+    # an object at depth d needs d passes; the deepest line says how many
+    depth = lines.sparkSession.read.text(path).agg(F.max(F.length(F.regexp_replace("value", r"[^{]", "")))).first()[0] or 0
+    for _ in range(depth - 1):
+        flat = flat.filter(deeper).select("step", F.col("key").alias("above"), F.explode(F.from_json("value", "map<string,string>")).alias("below", "value"))
+        flat = flat.select("step", F.concat_ws("/", "above", "below").alias("key"), "value")
+        done = done.union(flat.filter(~deeper))
+    return done.select("step", "key", F.col("value").try_cast("double").alias("value"))
+
+
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    head = F.regexp_extract("value", r"^(\d+): ", 1)
+    doc = F.when(head != "", F.from_json(F.regexp_replace("value", r"^\d+: ", ""), "map<string,string>"))
+    return spark.read.text(path).select("value", head.try_cast("bigint").alias("step"), doc.alias("top"))
+
+
+def rejected_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no ``step: {json}``."""
+    return _log_lines(spark, path).filter("step is null or top is null").select("value")

@@ -353,3 +353,62 @@ def test_principal_colors_match_svd(spark):
     want = (u - u.min(axis=0)) / (u.max(axis=0) - u.min(axis=0))
     for c in range(3):  # the sign of a component is free
         assert np.allclose(got[:, c], want[:, c], atol=1e-6) or np.allclose(got[:, c], 1 - want[:, c], atol=1e-6)
+
+
+def test_positions_beyond_double_precision(spark):
+    from sparcel.operators.cells import flat_index, from_flat_index
+
+    sizes = {"x": 1 << 17, "y": 1 << 17, "z": 1 << 17}
+    df = spark.createDataFrame([(511, (1 << 17) - 1, (1 << 17) - 1, (1 << 17) - 1), (256, 0, 1, 0)], "batch int, x int, y int, z int")
+    back = df.withColumn("code", flat_index(sizes)).select("code", *[c.alias(a) for a, c in from_flat_index(F.col("code"), sizes).items()])
+    assert rows(back, "batch", "x", "y", "z") == rows(df, "batch", "x", "y", "z")
+    assert max(r["code"] for r in back.collect()) == (1 << 60) - 1
+
+
+def test_running_sum_of_nulls(spark):
+    from sparcel.operators.ordered import running
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "i int, v int")
+    assert rows(running(df, [], ["i"], {"s": F.col("v").cast("long")}, exclusive=True), "i", "s") == [(1, 0), (2, 5), (3, 5)]
+
+
+@pytest.mark.parametrize("n,width", [(4, 6), (4, 10), (8, 5), (4, 8)])
+def test_first_hits_cover_every_pixel(spark, n, width):
+    from sparcel.operators.raster import first_hits
+
+    df = spark.createDataFrame([(0, x, y, 0, x) for x in range(n) for y in range(n)], "b int, x int, y int, z int, v int")
+    found = {(r["py"], r["px"]): r["v"] for r in first_hits(df, "b", ["v"], n, width).collect()}
+    assert set(found) == {(i, j) for i in range(width) for j in range(width)}
+    assert all(v * width // n <= px < (v + 1) * width // n for (_, px), v in found.items())
+
+
+def test_window_and_padding_limits(spark):
+    from sparcel.operators.cells import to_padded
+
+    df = spark.createDataFrame([(0, i, float(i)) for i in range(5)], "w int, i int, v double")
+    with pytest.raises(Exception, match="more than 4"):
+        balanced_groups(df, ["w"], "v", "i", 2, 4).collect()
+    with pytest.raises(ValueError, match="more than 3"):
+        to_padded(df, "w", ["i"], "v", length=3)
+
+
+def test_long_products(spark):
+    from sparcel.operators.reduce import segment_reduce
+
+    df = spark.createDataFrame([(0, [0.5, -0.5])] * 3001 + [(1, [0.0, 2.0])], "b int, v array<double>")
+    a, z = sorted(segment_reduce(df, "b", F.col("v")).collect())
+    assert a.sign == -1 and abs(a.log_prod + 6002 * 0.6931471805599453) < 1e-6 and (z.sign, z.log_prod) == (0, None)
+
+
+def test_hilbert_twin_visits_neighbours():
+    import duckdb
+
+    from sparcel.plans.curves import hilbert_sql
+
+    walk = hilbert_sql()
+    sql = walk[walk.index("SELECT x, y, z, CAST(code") :]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE points AS SELECT CAST(x AS INTEGER) x, CAST(y AS INTEGER) y, CAST(z AS INTEGER) z FROM range(8) a(x), range(8) b(y), range(8) c(z)")
+    seen = con.execute(sql + " ORDER BY hilbert").fetchall()
+    assert [r[3] for r in seen] == list(range(512))
+    assert all(sum(abs(p - q) for p, q in zip(a[:3], b[:3])) == 1 for a, b in zip(seen, seen[1:]))

@@ -61,13 +61,23 @@ def test_vxz_refuses_wide_values(spark, tmp_path):
         files.write_cells(df, str(tmp_path / "bad"), "vxz", "asset", ["v"])
 
 
-def test_large_assets_are_split(spark, tmp_path):
-    df = spark.createDataFrame([(0, 1, 1, 1, 3), (0, 900, 1, 1, 4)], "asset int, x int, y int, z int, v int")
+def test_one_file_per_asset(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 1, 1, 3), (0, 900, 1, 1, 4), (1, 2, 2, 2, 5)], "asset int, x int, y int, z int, v int")
     path = str(tmp_path / "far")
-    files.write_cells(df, path, "vxz", "asset", ["v"], max_cells=1)
-    heads = files.read_headers(spark, path)
-    assert sorted(r["file"] for r in heads.collect()) == ["0@0_0_0", "0@3_0_0"]
-    assert rows(files.read_cells(spark, path, "vxz").select("x", "v")) == [(1, 3), (900, 4)]
+    files.write_cells(df, path, "vxz", "asset", ["v"])
+    assert sorted(r["file"] for r in files.read_headers(spark, path).collect()) == ["0", "1"]
+    assert rows(files.read_cells(spark, path, "vxz").select("x", "v")) == [(1, 3), (2, 5), (900, 4)]
+    assert rows(catalogue.finished_outputs(spark, path, ".vxz").select("key")) == [("0",), ("1",)]
+    files.write_cells(df.filter("asset = 1"), path, "vxz", "asset", ["v"], mode="overwrite")
+    assert rows(files.read_cells(spark, path, "vxz").select("file", "v")) == [("1", 5)]
+
+
+def test_failed_job_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 1, 1, 3), (1, 1, 1, 1, 300)], "asset int, x int, y int, z int, v int")
+    path = tmp_path / "half"
+    with pytest.raises(Exception, match="does not fit a byte"):
+        files.write_cells(df, str(path), "vxz", "asset", ["v"])
+    assert not path.exists() or [f for f in path.iterdir() if f.suffix == ".vxz"] == []
 
 
 @pytest.mark.parametrize("kind", ["npz", "voxelply"])
@@ -122,6 +132,8 @@ def test_stage_tables(spark, tmp_path):
     assert catalogue.read_stage(spark, str(tmp_path / "none"), schema).count() == 0
     (tmp_path / "part_0.csv").write_text("sha256,n\na,1\nb,oops\n")
     assert rows(catalogue.read_stage(spark, str(tmp_path / "part_*.csv"), schema, tolerant=True)) == [("a", 1)]
+    rejected = catalogue.rejected_rows(spark, str(tmp_path / "part_*.csv"), schema).collect()
+    assert [(r["file"].rsplit("/", 1)[-1], r["line"]) for r in rejected] == [("part_0.csv", "b,oops")]
     table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], schema)
     assert rows(catalogue.pick_instances(table, "sha256", "a,c")) == [("a", 1), ("c", 3)]
     (tmp_path / "list.txt").write_text("b\nc\n")
@@ -170,3 +182,10 @@ def test_broadcast_file_checks_the_size(spark, tmp_path):
         files.broadcast_file(spark, str(tmp_path / "lut.bin"), limit=2)
     with pytest.raises(ValueError):
         files.broadcast_file(spark, str(tmp_path / "none.bin"))
+
+
+def test_step_log_of_any_depth(spark, tmp_path):
+    (tmp_path / "log.txt").write_text('3: {"a": 1, "b": {"c": 2, "d": {"e": {"f": 3}}}, "s": "x"}\nno step\n4: {broken\n')
+    path = str(tmp_path / "log.txt")
+    assert rows(logs.read_step_log(spark, path)) == [(3, "a", 1.0), (3, "b/c", 2.0), (3, "b/d/e/f", 3.0), (3, "s", None)]
+    assert rows(logs.rejected_log_lines(spark, path)) == [("4: {broken",), ("no step",)]
