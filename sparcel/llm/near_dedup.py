@@ -10,12 +10,14 @@ is 0.8 or more. Aligned shingles then lie in a band of diagonals around the main
 threshold; the longest increasing chain of matches in the band is the alignment.
 
 Classes are the connected components of near-duplicates. Equal word sequences are one text from the start.
-Inside a bucket no pairs are listed. All members meet one leader, the one that belongs to the largest
-buckets, usually the text that the others were made from. What a member has and the leader lacks is its
-rest. Two members c and d whose rests are disjoint share no more than the smaller of what each shares with the
-leader, which rules most such pairs out; those it can't are verified at once. All others have a shingle of their rests in
+The pairs of a bucket are listed only if it has ``SMALL`` members at most, so a member has a bounded
+number of them. In a larger bucket all members meet up to three leaders, which belong to the largest
+buckets and so are close to the text that the others were made from; together they have what single ones have
+lost. What a member has and all leaders lack is its rest. Two members c and d whose rests are disjoint share
+no more than the smaller of what each shares with the leaders, which rules most such pairs out; those it
+can't are verified at once. All others have a shingle of their rests in
 common and meet in a bucket of the next round, for which the smallest shingles of a rest are enough (a
-prefix: of at least t common ones, one is among all but the last t - 1). Rounds go on while buckets hold several
+prefix: of at least t common ones, one is among all but the last t - 1). Rounds go on while large buckets hold several
 components, so no link between components is missed, whatever the size of a bucket.
 """
 
@@ -35,6 +37,12 @@ from sparcel.session import stage
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 16, 3
 
+#: Members up to which the pairs of a bucket are listed.
+SMALL = 16
+
+#: Leaders of a larger bucket.
+LEADERS = 3
+
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -140,30 +148,37 @@ def _chained(total: int, ia: np.ndarray, ib: np.ndarray, threshold: float) -> fl
     return m / (total - m) if m >= needed else 0.0
 
 
-def meet(leader: np.ndarray, member: np.ndarray, threshold: float = SIMILARITY) -> tuple[bool, int, np.ndarray]:
-    """(near-duplicates, number of common shingles, prefix of the member's rest)."""
-    _, ia, ib = np.intersect1d(leader, member, return_indices=True)
-    rest = np.ones(len(member), bool)
-    rest[ib] = False
-    rest = np.unique(member[rest])
-    least = max(int(np.ceil(threshold * len(member) - 1e-9)) - len(ib), 1)
-    return _chained(len(leader) + len(member), ia, ib, threshold) > 0, len(ib), rest[: max(len(rest) - least + 1, 0)]
+def meet(leaders: list[np.ndarray], member: np.ndarray, threshold: float = SIMILARITY) -> tuple[list[bool], int, np.ndarray]:
+    """(which leaders are near-duplicates, shingles shared with any of them, prefix of the member's rest)."""
+    linked = [aligned(leader, member, threshold) > 0 for leader in leaders]
+    rest = np.setdiff1d(member, np.concatenate(leaders))
+    common = len(member) - len(rest)
+    least = max(int(np.ceil(threshold * len(member) - 1e-9)) - common, 1)
+    return linked, common, rest[: max(len(rest) - least + 1, 0)]
 
 
 def _met(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(leader, row) -> leader, row, linked, common, rest, as a written table."""
+    """(leaders, row) -> leaders, row, linked (ids of leaders), common, rest, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [meet(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            linked, common, rest = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int32()), pa.array([r.view(np.int32) for r in rest], pa.list_(pa.int32()))],
-                names=["leader", "row", "linked", "common", "rest"],
-            )
+            out: dict[str, list] = {"leaders": [], "row": [], "linked": [], "common": [], "rest": []}
+            for ids, row, body, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                linked, common, rest = meet([np.frombuffer(t, "<u4") for t in texts if t is not None], np.frombuffer(body, "<u4"))
+                for column, value in zip(out.values(), (ids, row, [i for i, yes in zip(ids, linked) if yes], common, rest.view(np.int32))):
+                    column.append(value)
+            kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
+
+    both = pairs.select("leaders", "row").join(bodies.select("row", F.col("shingles").alias("body")), "row")
+    for k in range(LEADERS):
+        both = both.withColumn(f"l{k}", F.get("leaders", F.lit(k))).join(bodies.select(F.col("row").alias(f"l{k}"), F.col("shingles").alias(f"s{k}")), f"l{k}", "left")
+    columns = ["leaders", "row", "body", *[f"s{k}" for k in range(LEADERS)]]
+    return stage(both.select(*columns).mapInArrow(run, "leaders array<bigint>, row bigint, linked array<bigint>, common int, rest array<int>"), "met-pairs")
 
-    both = pairs.join(bodies.select(F.col("row").alias("leader"), F.col("shingles").alias("a")), "leader").join(bodies.select("row", F.col("shingles").alias("b")), "row")
-    return stage(both.select("leader", "row", "a", "b").mapInArrow(run, "leader bigint, row bigint, linked boolean, common int, rest array<int>"), "met-pairs")
+
+def _links(met: DataFrame) -> DataFrame:
+    return met.select(F.explode("linked").alias("a"), F.col("row").alias("b"))
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -192,39 +207,51 @@ def _could_link(a: str, b: str) -> Column:
 def _linked_texts(texts: DataFrame) -> DataFrame:
     """(row, n, keys, shingles) of different texts -> (node, component) of those that have a near-duplicate."""
     members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
-    found = met = seen = bodies = None
+    found = seen = bodies = tried = None
     while True:
         members = _with_component(members, found)
         members = stage(members.join(_mixed(members), "bucket"), "bucket-members")
+        if members.isEmpty():
+            break
+        if bodies is None:
+            bodies = stage(texts.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"), "bucket-texts")
+        few = members.filter(F.col("size") <= SMALL)
+        one, other = few.alias("c"), few.alias("d")
+        alike = (F.col("c.component") != F.col("d.component")) & (F.least("c.n", "d.n") >= F.greatest("c.n", "d.n") * F.lit(SIMILARITY) - 1e-6)
+        listed = one.join(other, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.row") < F.col("d.row")) & alike)
+        listed = listed.select(F.array("c.row").alias("leaders"), F.col("d.row").alias("row")).distinct()
+        checked = _met(listed if tried is None else listed.join(tried, ["leaders", "row"], "left_anti"), bodies)
+        tried = checked.select("leaders", "row") if tried is None else tried.union(checked.select("leaders", "row"))
+        found = _joined(found, _links(checked))
+        members = _with_component(members.filter(F.col("size") > SMALL).select("bucket", "row", "n"), found)
+        members = members.join(_mixed(members), "bucket")
         if seen is not None:
             fresh = members.select("bucket", "row").join(seen, ["bucket", "row"], "left_anti").select("bucket").distinct()
-            members = stage(members.join(fresh, "bucket", "left_semi"), "bucket-members")
+            members = members.join(fresh, "bucket", "left_semi")
+        members = stage(members, "large-buckets")
         if members.isEmpty():
             break
         seen = members.select("bucket", "row") if seen is None else seen.union(members.select("bucket", "row"))
-        if bodies is None:
-            bodies = stage(texts.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"), "bucket-texts")
         weight = members.groupBy("row").agg(F.sum("size").alias("weight"))
-        lead = members.select("bucket", "row").join(weight, "row").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("row"))).alias("best")).select("bucket", (-F.col("best.col2")).alias("leader"))
-        led = stage(members.join(lead, "bucket").filter("row <> leader").select("bucket", "row", "n", "size", "leader"), "led-members")
-        pairs = led.select("leader", "row").distinct()
-        new = _met(pairs if met is None else pairs.join(met, ["leader", "row"], "left_anti"), bodies)
-        met = new if met is None else met.union(new)
-        found = _joined(found, new.filter("linked").select(F.col("leader").alias("a"), F.col("row").alias("b")))
-        # a bucket of two is done
-        left = _with_component(led.filter("size > 2").select("bucket", "row", "n", "leader"), found)
-        left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met, ["leader", "row"])
-        left = stage(left.select("bucket", "leader", "row", "n", "component", "linked", "common", "rest"), "left-members")
-        # pairs without a common shingle in their rests that may still be alike: c at least is not linked to the leader
+        best = members.select("bucket", "row").join(weight, "row").groupBy("bucket", F.pmod("row", F.lit(LEADERS)).alias("class")).agg(F.max(F.struct("weight", "row")).alias("best"))
+        lead = best.groupBy("bucket").agg(F.sort_array(F.collect_list("best.row")).alias("leaders"))
+        led = members.join(lead, "bucket").select("bucket", "row", "n", "leaders")
+        met = _met(led.select("leaders", "row").distinct(), bodies)
+        found = _joined(found, _links(met).filter("a <> b"))
+        left = _with_component(led.filter(~F.array_contains("leaders", F.col("row"))), found)
+        left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met, ["leaders", "row"])
+        left = stage(left.select("bucket", "leaders", "row", "n", "component", "common", "rest"), "left-members")
+        # pairs without a common shingle in their rests that may still be alike
         reach = F.floor(F.col("common") * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6)
-        bounds = left.groupBy("bucket").agg(F.min("n").alias("low"), F.max(F.when(~F.col("linked"), reach)).alias("high"))
-        near = left.drop("rest").join(bounds, "bucket").filter("n <= high or not linked")
-        c, d = near.filter(~F.col("linked") & (reach >= F.col("low"))).alias("c"), near.filter("n <= high").alias("d")
-        odd = c.join(d, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.component") != F.col("d.component")) & _could_link("c", "d"))
-        odd = stage(odd.select(F.col("c.row").alias("leader"), F.col("d.row").alias("row")).distinct(), "odd-pairs")
-        if not odd.isEmpty():
-            found = _joined(found, _met(odd, bodies).filter("linked").select(F.col("leader").alias("a"), F.col("row").alias("b")))
-        members = left.select(F.explode("rest").alias("shingle"), "leader", "row", "n").select(F.xxhash64("leader", "shingle").alias("bucket"), "row", "n").distinct()
+        near = left.drop("rest").join(left.groupBy("bucket").agg(F.min("n").alias("low")), "bucket").filter(reach >= F.col("low"))
+        near = stage(near.join(_mixed(near).select("bucket"), "bucket", "left_semi"), "near-members")
+        c, d = near.alias("c"), near.alias("d")
+        odd = c.join(d, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.row") < F.col("d.row")) & (F.col("c.component") != F.col("d.component")) & _could_link("c", "d"))
+        odd = odd.select(F.array("c.row").alias("leaders"), F.col("d.row").alias("row")).distinct()
+        checked = _met(odd.join(tried, ["leaders", "row"], "left_anti"), bodies)
+        tried = tried.union(checked.select("leaders", "row"))
+        found = _joined(found, _links(checked))
+        members = left.select(F.explode("rest").alias("shingle"), "leaders", "row", "n").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n").distinct()
     return texts.sparkSession.createDataFrame([], "node bigint, component bigint") if found is None else found
 
 
