@@ -28,7 +28,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from sparcel.plans import load_all
-    from sparcel.session import local_session
+    from sparcel.session import local_session, release_staged
 
     spark = local_session(cpus, partitions=int(cpus))
     catalog, times = load_all(), {}
@@ -38,6 +38,7 @@ def main() -> None:
             start = time.perf_counter()
             catalog[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            release_staged(spark)
         times[name] = round(statistics.median(taken[1:]), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     spark.stop()

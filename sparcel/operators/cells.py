@@ -126,32 +126,31 @@ def neighbors(cells: DataFrame, offsets: Sequence[tuple[int, int, int]], value:
 def edge_quads(cells: DataFrame, flags: Mapping[str, str], payload: Sequence[str]) -> DataFrame:
     """Quads of four cells around every flagged cell edge; only complete quads are kept.
 
-    Each cell sends its payload to the (at most 12) edges it touches and one grouping
-    by edge puts the ring together: a single shuffle where a lookup per corner would
-    need four joins.
+    A cell owns the edges at its origin. A flagged edge asks for its three other cells, so rows follow the number of flagged edges, not
+    that of cells; one join brings the payloads and one grouping by edge puts the ring together.
     """
-    sends = F.array(
+    asks = F.array(
         *[
             F.struct(
                 F.lit(axis).alias("axis"),
                 F.lit(slot).alias("slot"),
-                *[(F.col(a) - o).alias(f"e{a}") for a, o in zip(AXES, offset)],
-                (F.col(flags[axis]) if slot == 0 else F.lit(False)).alias("owner"),
+                *[(F.col(a) + o).alias(a) for a, o in zip(AXES, offset)],
+                F.coalesce(F.col(flags[axis]), F.lit(False)).alias("asked"),
             )
             for axis, ring in EDGE_RING.items()
             for slot, offset in enumerate(ring)
+            if slot
         ]
     )
-    sent = cells.select("batch", *[F.col(p).alias(f"_p_{p}") for p in payload], F.explode(sends).alias("s"))
-    edge = [F.col("batch"), F.col("s.axis").alias("axis"), *[F.col(f"s.e{a}").alias(a) for a in AXES]]
-    ring = sent.select(*edge, F.col("s.slot").alias("slot"), F.col("s.owner").alias("owner"), *[f"_p_{p}" for p in payload])
+    asked = cells.select("batch", *[F.col(a).alias(f"_{a}") for a in AXES], *[F.col(p).alias(f"_0_{p}") for p in payload], F.explode(F.filter(asks, lambda s: s["asked"])).alias("s"))
+    asked = asked.select("batch", *[f"_{a}" for a in AXES], *[f"_0_{p}" for p in payload], "s.axis", "s.slot", *[f"s.{a}" for a in AXES])
+    met = asked.join(cells.select(*KEYS, *[F.col(p).alias(f"_p_{p}") for p in payload]), list(KEYS))
     # one aggregate per field, not per struct: primitive buffers keep the hash aggregate
-    fields = [F.max(F.when(F.col("slot") == k, F.col(f"_p_{p}"))).alias(f"_{k}_{p}") for k in range(4) for p in payload]
-    whole = (
-        ring.groupBy("batch", "axis", *AXES).agg(F.count(F.lit(1)).alias("_n"), F.max("owner").alias("_owner"), *fields).filter("_owner and _n = 4")
-    )
+    fields = [F.max(F.when(F.col("slot") == k, F.col(f"_p_{p}"))).alias(f"_{k}_{p}") for k in range(1, 4) for p in payload]
+    own = [F.max(f"_0_{p}").alias(f"_0_{p}") for p in payload]
+    whole = met.groupBy("batch", "axis", *[f"_{a}" for a in AXES]).agg(F.count(F.lit(1)).alias("_n"), *own, *fields).filter("_n = 3")
     corners = [F.struct(*[F.col(f"_{k}_{p}").alias(p) for p in payload]).alias(f"c{k}") for k in range(4)]
-    return whole.select("batch", "axis", *AXES, *corners)
+    return whole.select("batch", "axis", *[F.col(f"_{a}").alias(a) for a in AXES], *corners)
 
 
 def trilinear(points: DataFrame, cells: DataFrame, values: Sequence[str], point_id: Sequence[str]) -> DataFrame:

@@ -58,13 +58,21 @@ def gather(faces: DataFrame, vertices: DataFrame, values: Sequence[str] = AXES,
     """Corner values of every face, as columns a*, b*, c*.
 
     The three corners of a face are looked up in one join and put back side by side
-    by one grouping; a join per corner would shuffle faces and vertices three times.
+    by one grouping; a join per corner would shuffle faces and vertices three times. Faces that name
+    an unknown vertex are left to ``broken_faces``.
     """
     corner = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(v).alias("vid")) for k, v in enumerate(("v0", "v1", "v2"))])
     sent = faces.withColumn("_c", F.explode(corner)).select(*faces.columns, "_c.slot", F.col("_c.vid").alias("vid"))
     met = sent.join(vertices.select(mesh, "vid", *values), [mesh, "vid"])
     sides = [F.max(F.when(F.col("slot") == k, F.col(v))).alias(f"{name}{v}") for k, name in enumerate("abc") for v in values]
-    return met.groupBy(*faces.columns).agg(*sides)
+    return met.groupBy(*faces.columns).agg(F.count_distinct("slot").alias("_n"), *sides).filter("_n = 3").drop("_n")
+
+
+def broken_faces(faces: DataFrame, vertices: DataFrame, mesh: str = "mesh") -> DataFrame:
+    """Faces that name a vertex which their mesh does not have."""
+    corner = F.explode(F.array("v0", "v1", "v2")).alias("vid")
+    lost = faces.select("*", corner).join(vertices.select(mesh, "vid"), [mesh, "vid"], "left_anti")
+    return lost.select(*faces.columns).distinct()
 
 
 def minus(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:

@@ -68,17 +68,21 @@ def wrapped(i: Column, size: Column, mode: Column) -> Column:
 
 
 def pyramid(texels: DataFrame, size: int) -> DataFrame:
-    """All levels of square power-of-two textures; each level averages 2x2 of the one below, dropping fractions."""
+    """All levels of square power-of-two textures; each level averages 2x2 of the one below, dropping fractions.
+
+    Every level is written, as the next one and every sample read it again.
+    """
     if size < 1 or size & (size - 1):
         raise ValueError("texture size must be a power of two")
     levels = [texels.withColumn("level", F.lit(0))]
     for level in range(1, int(math.log2(size)) + 1):
         below = levels[-1]
-        levels.append(
+        made = (
             below.groupBy("tex", F.expr("tx div 2").cast("int").alias("tx"), F.expr("ty div 2").cast("int").alias("ty"))
             .agg(*[F.expr(f"cast(sum({c}) div 4 as int)").alias(c) for c in CHANNELS])
             .withColumn("level", F.lit(level))
         )
+        levels.append(stage(made, "mip-level"))
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
@@ -115,7 +119,9 @@ def sample(points: DataFrame, texels: DataFrame, keys: Sequence[str], carry: Seq
     ``mip`` NULL, non-finite or not above zero reads the image itself; in between two
     levels are blended; nearest sampling never leaves the image. Coarse levels have
     few texels for many points, so their texels are replicated and the points spread
-    over the copies, four times more per level: no texel becomes a hot join key.
+    over the copies, four times more per level up to the third; beyond that, and for popular texels of
+    the image itself, the points' side of the join is the one that adaptive execution splits. A point
+    with an absent texel keeps its row, with NULL channels.
     Columns named in ``carry`` depend on the keys and come along through the grouping.
     """
     top = F.log2(F.col("size").cast("double")).cast("int")
@@ -142,8 +148,8 @@ def sample(points: DataFrame, texels: DataFrame, keys: Sequence[str], carry: Seq
         F.pmod(F.xxhash64(*keys), copies).cast("int").alias("_copy"),
     )
     spread = texels.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    met = taps.join(spread, ["tex", "level", "tx", "ty", "_copy"])
-    read = [(F.sum(F.col("_w") * F.col(c)) / 255).alias(c) for c in CHANNELS]
+    met = taps.join(spread, ["tex", "level", "tx", "ty", "_copy"], "left")
+    read = [F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col("_w") * F.col(c)) / 255).alias(c) for c in CHANNELS]
     return met.groupBy(*keys).agg(*read, *[F.first(c).alias(c) for c in carry])
 
 

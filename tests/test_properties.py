@@ -412,3 +412,18 @@ def test_hilbert_twin_visits_neighbours():
     seen = con.execute(sql + " ORDER BY hilbert").fetchall()
     assert [r[3] for r in seen] == list(range(512))
     assert all(sum(abs(p - q) for p, q in zip(a[:3], b[:3])) == 1 for a, b in zip(seen, seen[1:]))
+
+
+def test_faces_with_unknown_vertices(spark):
+    v = spark.createDataFrame([("m", i, float(i), 0.0, 0.0) for i in range(3)], "mesh string, vid int, x double, y double, z double")
+    f = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 0, 1, 9)], "mesh string, fid int, v0 int, v1 int, v2 int")
+    assert [r["fid"] for r in M.gather(f, v).collect()] == [0]
+    assert [r["fid"] for r in M.broken_faces(f, v).collect()] == [1]
+
+
+def test_samples_without_a_texel_stay(spark):
+    texels = spark.createDataFrame([("t", x, y, 0, 51, 102, 153) for x in range(2) for y in range(2)], f"tex string, tx int, ty int, level int, {', '.join(c + ' int' for c in texture.CHANNELS)}")
+    points = spark.createDataFrame([(1, "t", 0.5, 0.5), (2, "absent", 0.5, 0.5)], "id int, tex string, u double, v double")
+    points = points.select("*", F.lit("NEAREST").alias("filter"), F.lit("REPEAT").alias("wrap"), F.lit(2).alias("size"), F.lit(None).cast("double").alias("mip"))
+    found = {r["id"]: r for r in texture.sample(points, texels, ["id"]).collect()}
+    assert set(found) == {1, 2} and found[2][texture.CHANNELS[0]] is None and found[1][texture.CHANNELS[0]] == pytest.approx(0.2)
