@@ -157,8 +157,8 @@ def meet(leaders: list[np.ndarray], member: np.ndarray, threshold: float = SIMIL
     return linked, common, rest[: max(len(rest) - least + 1, 0)]
 
 
-def _met(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(leaders, row) -> leaders, row, linked (ids of leaders), common, rest, as a written table."""
+def _met(pairs: DataFrame, bodies: DataFrame, leaders: int = 1) -> DataFrame:
+    """(leaders, row) -> leaders (so many at most), row, linked (ids of leaders), common, rest, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +171,9 @@ def _met(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
 
     both = pairs.select("leaders", "row").join(bodies.select("row", F.col("shingles").alias("body")), "row")
-    for k in range(LEADERS):
+    for k in range(leaders):
         both = both.withColumn(f"l{k}", F.get("leaders", F.lit(k))).join(bodies.select(F.col("row").alias(f"l{k}"), F.col("shingles").alias(f"s{k}")), f"l{k}", "left")
-    columns = ["leaders", "row", "body", *[f"s{k}" for k in range(LEADERS)]]
+    columns = ["leaders", "row", "body", *[f"s{k}" for k in range(leaders)]]
     return stage(both.select(*columns).mapInArrow(run, "leaders array<bigint>, row bigint, linked array<bigint>, common int, rest array<int>"), "met-pairs")
 
 
@@ -207,7 +207,7 @@ def _could_link(a: str, b: str) -> Column:
 def _linked_texts(texts: DataFrame) -> DataFrame:
     """(row, n, keys, shingles) of different texts -> (node, component) of those that have a near-duplicate."""
     members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
-    found = seen = bodies = tried = None
+    found = seen = bodies = tried = pending = None
     while True:
         members = _with_component(members, found)
         members = stage(members.join(_mixed(members), "bucket"), "bucket-members")
@@ -222,9 +222,8 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         listed = listed.select(F.array("c.row").alias("leaders"), F.col("d.row").alias("row")).distinct()
         checked = _met(listed if tried is None else listed.join(tried, ["leaders", "row"], "left_anti"), bodies)
         tried = checked.select("leaders", "row") if tried is None else tried.union(checked.select("leaders", "row"))
-        found = _joined(found, _links(checked))
-        members = _with_component(members.filter(F.col("size") > SMALL).select("bucket", "row", "n"), found)
-        members = members.join(_mixed(members), "bucket")
+        pending = _links(checked) if pending is None else pending.union(_links(checked))
+        members = members.filter(F.col("size") > SMALL)
         if seen is not None:
             fresh = members.select("bucket", "row").join(seen, ["bucket", "row"], "left_anti").select("bucket").distinct()
             members = members.join(fresh, "bucket", "left_semi")
@@ -236,8 +235,9 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         best = members.select("bucket", "row").join(weight, "row").groupBy("bucket", F.pmod("row", F.lit(LEADERS)).alias("class")).agg(F.max(F.struct("weight", "row")).alias("best"))
         lead = best.groupBy("bucket").agg(F.sort_array(F.collect_list("best.row")).alias("leaders"))
         led = members.join(lead, "bucket").select("bucket", "row", "n", "leaders")
-        met = _met(led.select("leaders", "row").distinct(), bodies)
-        found = _joined(found, _links(met).filter("a <> b"))
+        met = _met(led.select("leaders", "row").distinct(), bodies, LEADERS)
+        # components once a round: what is linked after this shows in the next
+        found, pending = _joined(found, pending.union(_links(met).filter("a <> b"))), None
         left = _with_component(led.filter(~F.array_contains("leaders", F.col("row"))), found)
         left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met, ["leaders", "row"])
         left = stage(left.select("bucket", "leaders", "row", "n", "component", "common", "rest"), "left-members")
@@ -250,8 +250,9 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         odd = odd.select(F.array("c.row").alias("leaders"), F.col("d.row").alias("row")).distinct()
         checked = _met(odd.join(tried, ["leaders", "row"], "left_anti"), bodies)
         tried = tried.union(checked.select("leaders", "row"))
-        found = _joined(found, _links(checked))
+        pending = _links(checked)
         members = left.select(F.explode("rest").alias("shingle"), "leaders", "row", "n").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n").distinct()
+    found = found if pending is None else _joined(found, pending)
     return texts.sparkSession.createDataFrame([], "node bigint, component bigint") if found is None else found
 
 
