@@ -209,7 +209,9 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
     members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
     found = seen = bodies = tried = pending = None
     while True:
-        members = _with_component(members, found)
+        # most buckets have one member: they go before anything is joined to them
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("bucket")
+        members = _with_component(members.join(shared, "bucket"), found)
         members = stage(members.join(_mixed(members), "bucket"), "bucket-members")
         if members.isEmpty():
             break
