@@ -50,16 +50,19 @@ def write_step_log(steps: DataFrame, path: str) -> None:
 def read_step_log(spark: SparkSession, path: str) -> DataFrame:
     """(step, key, value) of every metric; nested objects are flattened with ``/``, whatever their depth.
 
-    Lines that are no ``step: {json}`` are left to ``rejected_log_lines``; leaves that are no numbers have a null value.
+    Lines that are no ``step: {json}`` are left to ``rejected_log_lines``; leaves that are no numbers, nulls among them,
+    and strings that only begin like an object have a null value.
     """
     lines = _log_lines(spark, path).filter("step is not null and top is not null").select("step", "top")
     flat = lines.select("step", F.explode("top").alias("key", "value"))
-    deeper = F.col("value").startswith("{")
+    deeper = F.coalesce(F.col("value").startswith("{"), F.lit(False))
     done = flat.filter(~deeper)
     # an object at depth d needs d passes; the deepest line says how many
     depth = lines.sparkSession.read.text(path).agg(F.max(F.length(F.regexp_replace("value", r"[^{]", "")))).first()[0] or 0
     for _ in range(depth - 1):
-        flat = flat.filter(deeper).select("step", F.col("key").alias("above"), F.explode(F.from_json("value", "map<string,string>")).alias("below", "value"))
+        opened = flat.filter(deeper).withColumn("inner", F.from_json("value", "map<string,string>"))
+        done = done.union(opened.filter("inner is null").select("step", "key", "value"))
+        flat = opened.filter("inner is not null").select("step", F.col("key").alias("above"), F.explode("inner").alias("below", "value"))
         flat = flat.select("step", F.concat_ws("/", "above", "below").alias("key"), "value")
         done = done.union(flat.filter(~deeper))
     return done.select("step", "key", F.col("value").try_cast("double").alias("value"))

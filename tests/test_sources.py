@@ -189,3 +189,11 @@ def test_step_log_of_any_depth(spark, tmp_path):
     path = str(tmp_path / "log.txt")
     assert rows(logs.read_step_log(spark, path)) == [(3, "a", 1.0), (3, "b/c", 2.0), (3, "b/d/e/f", 3.0), (3, "s", None)]
     assert rows(logs.rejected_log_lines(spark, path)) == [("4: {broken",), ("no step",)]
+
+
+def test_step_log_keeps_nulls_and_odd_strings(spark, tmp_path):
+    lines = ['1: {"loss": null, "a": {"b": null}}', '2: {"s": "{oops", "t": {"u": "{"}}', '3: {"loss": 1.5}']
+    (tmp_path / "log.txt").write_text("\n".join(lines))
+    path = str(tmp_path / "log.txt")
+    assert rows(logs.read_step_log(spark, path)) == [(1, "a/b", None), (1, "loss", None), (2, "s", None), (2, "t/u", None), (3, "loss", 1.5)]
+    assert rows(logs.rejected_log_lines(spark, path)) == []
