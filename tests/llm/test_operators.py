@@ -279,6 +279,23 @@ def test_chain_finds_categories(spark):
     assert toxicity.score(table(spark, []), chain).count() == 0
 
 
+def test_chain_learns_rare_words(spark):
+    """A word in 12 of 6,000 labelled texts, all of them toxic, beside twelve common toxic words."""
+    rnd = random.Random(60)
+    plain, common = [f"plain{i}" for i in range(300)], [f"vile{i}" for i in range(12)]
+    rows = []
+    for i in range(6000):
+        toxic = rnd.random() < 0.11
+        rows.append((i, " ".join([rnd.choice(plain) for _ in range(20)] + [rnd.choice(common)] * toxic), int(toxic)))
+    rows[:12] = [(i, " ".join([rnd.choice(plain) for _ in range(20)] + ["rareword"]), 1) for i in range(12)]
+    chain = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"), ["toxic"])
+    scored = {r.doc_id: r.p_toxic for r in toxicity.score(table(spark, [(1, "plain1 rareword plain2"), (2, "plain1 plain2"), (3, "vile3 plain1"), (4, "unseen plain7")]), chain).collect()}
+    assert scored[1] >= 0.35 and scored[3] >= 0.35
+    assert scored[2] < 0.1 and scored[4] < 0.1
+    few = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"), ["toxic"], sample=600)
+    assert toxicity.score(table(spark, [(1, "plain1 rareword plain2")]), few).first().p_toxic >= 0.35
+
+
 # 7
 
 
