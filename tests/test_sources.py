@@ -197,3 +197,18 @@ def test_step_log_keeps_nulls_and_odd_strings(spark, tmp_path):
     path = str(tmp_path / "log.txt")
     assert rows(logs.read_step_log(spark, path)) == [(1, "a/b", None), (1, "loss", None), (2, "s", None), (2, "t/u", None), (3, "loss", 1.5)]
     assert rows(logs.rejected_log_lines(spark, path)) == []
+
+
+def test_streamed_windows_over_a_table_longer_than_the_watermark(spark, tmp_path):
+    from sparcel.plans.streams import streamed_windows
+
+    days = F.expr("timestamp_ntz'2024-01-01 00:30:00' + make_interval(0, 0, 0, cast(id % 400 as int))")
+    events = spark.range(1200).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") != 7, days).alias("ts"), F.col("id").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = streamed_windows(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in out) == 1200 and len(out) == 401
+    assert sorted({(r.n, r.total) for r in out}) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    assert [(r.n, r.total) for r in out if r.start is None] == [(1, 1.0)]
