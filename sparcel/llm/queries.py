@@ -11,6 +11,7 @@ from sparcel.llm.chat import format_conversations, parse_conversations, text_par
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
 from sparcel.llm.near_dedup import near_groups
+from sparcel.llm.packing import pack_documents
 from sparcel.llm.repeats import remove_repeats
 from sparcel.llm.samples import remainder
 from sparcel.llm.token_files import token_documents, write_tokens
@@ -171,3 +172,9 @@ FROM documents
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts by block naming."""
     return exact_groups(load(spark, sf_dir, "documents"))
+
+
+@query("op12_configuration_lp_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
