@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparcel.llm import bpe, ppm, quality, query, toxicity
+from sparcel.llm.align import link_counts
 from sparcel.llm.chat import format_conversations, parse_conversations, text_parts
 from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
@@ -178,3 +179,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
     return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_lockstep_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the ids of two tokenizers in every document."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return link_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
