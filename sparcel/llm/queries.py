@@ -13,6 +13,7 @@ from sparcel.llm.decontaminate import contamination
 from sparcel.llm.exact_dedup import exact_groups
 from sparcel.llm.near_dedup import near_groups
 from sparcel.llm.packing import pack_documents
+from sparcel.llm.repair import COUNTS, damage, repair_conversations
 from sparcel.llm.repeats import remove_repeats
 from sparcel.llm.samples import remainder
 from sparcel.llm.token_files import token_documents, write_tokens
@@ -186,3 +187,74 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the ids of two tokenizers in every document."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return link_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _op11_sql() -> str:
+    """Damage, faults, and the dynamic program as a recursion from the last row of each conversation to the first.
+
+    A state's best repair is one string: ten digits of cost, the audit, character 1 and the repaired text, so that the least
+    string is the cheapest repair with the least audit.
+    """
+
+    def put(cost: str, letter: str, line: str, rest: str) -> str:
+        text = f"split_part({rest}, chr(1), 2)"
+        return (
+            f"(lpad(CAST(CAST(substr({rest}, 1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || '{letter}' || substr(split_part({rest}, chr(1), 1), 11) || chr(1) || "
+            + (f"{line} || CASE WHEN {text} = '' THEN '' ELSE chr(10) || {text} END)" if line else f"{text})")
+        )
+
+    def consume(state: int) -> str:
+        due, name = [(2, "user"), (2, "user"), (3, "assistant"), (2, "user")][state]
+        options = [put("4", "D", "", f"w{state}")]
+        stale = "(CASE WHEN fault = 2 THEN 3 ELSE 0 END)"
+        options.append(f"CASE WHEN fault <> 1 THEN {put(f'3 + {stale}', 'R', f"'{name}:' || text", f'w{due}')} END")
+        for initial, to in [{"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}][state].items():
+            options.append(f"CASE WHEN fault <> 1 AND initial = '{initial}' THEN {put(stale, 'K', "role || ':' || text", f'w{to}')} END")
+        return f"least({', '.join(options)})"
+
+    insert = lambda name, rest: put("3", "I", f"'{name}:'", rest)
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY v) AS t FROM (SELECT v, list_reduce([CAST(v AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                                       FROM (SELECT unnest(range(256)) AS v))),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))) AS bytes
+  FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda s, b: xor(s // 256, t[xor(s, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM d),
+f AS (
+  SELECT *, CASE WHEN seen = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 1 WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 2 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+walk AS (
+  SELECT conv_id, count(*) AS i, lpad('0', 10, '0') || chr(1) AS w0, lpad('6', 10, '0') || 'II' || chr(1) || 'user:' || chr(10) || 'assistant:' AS w1,
+    lpad('3', 10, '0') || 'I' || chr(1) || 'assistant:' AS w2, lpad('0', 10, '0') || chr(1) AS w3 FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(b0, {insert('user', 'v2')}), least(b1, {insert('user', 'v2')}), v2, v3 FROM (
+    SELECT conv_id, i, b0, b1, least(b2, {insert('assistant', 'b3')}) AS v2, least(b3, {insert('user', 'b2')}) AS v3 FROM (
+      SELECT walk.conv_id, walk.i - 1 AS i, {consume(0)} AS b0, {consume(1)} AS b1, {consume(2)} AS b2, {consume(3)} AS b3
+      FROM walk JOIN f ON walk.conv_id IS NOT DISTINCT FROM f.conv_id AND walk.i = f.i))),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE seen = '') AS blank, count(*) FILTER (WHERE fault = 1 AND seen <> '') AS duplicate,
+    count(*) FILTER (WHERE fault = 2) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(substr(w0, 1, 10) AS BIGINT), 0) AS cost, coalesce(substr(split_part(w0, chr(1), 1), 11), '') AS audit, sha256(coalesce(split_part(w0, chr(1), 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN c ON ids.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN (SELECT * FROM walk WHERE i = 0) AS w ON ids.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+@query("op11_checkpointed_conversation_repair", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a rule and repaired; those without rows after the damage have zeros."""
+    given = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    fixed = repair_conversations(damage(given)).withColumnRenamed("conv_id", "_fixed")
+    ids = given.select("conv_id").distinct()
+    return ids.join(fixed, F.col("conv_id").eqNullSafe(F.col("_fixed")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
