@@ -76,6 +76,27 @@ def vxz_headers(spark, d):
     )
 
 
+BOX = ((8, 0, 2), (40, 32, None))
+BOX_WHERE = "x >= 8 AND x < 40 AND y >= 0 AND y < 32 AND z >= 2"
+
+
+@query("vxz_box_scan", "S10 S11", f"SELECT file, x, y, z, flags FROM ({VOXEL_SQL}) AS v WHERE {BOX_WHERE}")
+def vxz_box_scan(spark, d):
+    """One attribute of the cells in a box: of the containers only headers, and the octree and that attribute of chunks that meet the box, are read."""
+    path = staged_path(spark, "vxz")
+    files.write_cells(voxels(spark, d), path, "vxz", "batch", ["look", "flags"], chunkSize=16, compression="deflate", interleave="none")
+    return files.scan_cells(spark, path, {"flags": "int"}, *BOX)
+
+
+@query("vxz_pushed_filter", "S11", f"SELECT file, x, y, z, flags, look1 FROM ({VOXEL_SQL}) AS v WHERE {BOX_WHERE} AND file IN ('0', '3', '7')")
+def vxz_pushed_filter(spark, d):
+    """Conditions on a container read as a table: the reader skips files by name and chunks by box."""
+    path = staged_path(spark, "vxz")
+    files.write_cells(voxels(spark, d), path, "vxz", "batch", ["look", "flags"], chunkSize=16, compression="deflate", filter="parent")
+    table = files.read_cells(spark, path, "vxz").filter(F.col("file").isin("0", "3", "7")).filter(BOX_WHERE)
+    return table.select("file", "x", "y", "z", "flags", F.get("look", F.lit(1)).alias("look1"))
+
+
 @query(
     "finished_files",
     "S9 U5 J4",

@@ -200,24 +200,42 @@ def encode_chunk(idx: list[int], local: np.ndarray, attrs: np.ndarray, meta: dic
     return entry, data
 
 
-def decode_chunk(entry: dict, data: bytes, meta: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Absolute coordinates and attribute bytes of one chunk."""
+def streams_of(meta: dict, names: list[str] | None = None) -> list[str]:
+    """The streams of a chunk that hold the wanted attributes (all unless given), besides the octree."""
+    wanted = [(n, w) for n, w in meta["attr"] if names is None or n in names]
+    if meta["attr_interleave"] == "all":
+        return ["attr"] if wanted else []
+    if meta["attr_interleave"] == "as_is":
+        return [n for n, _ in wanted]
+    return [f"{n}_{i}" for n, w in wanted for i in range(w)]
+
+
+def decode_streams(idx: list[int], packed: dict[str, bytes], meta: dict, names: list[str] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Absolute coordinates and the wanted attributes of one chunk, from its octree and the streams that hold them.
+
+    Filters work on each channel by itself, so channels that nobody asks for are never unpacked.
+    """
 
     def stream(name: str) -> np.ndarray:
-        start, length = entry[name]
-        return np.frombuffer(expand(data[start : start + length], meta["compression"], meta["compression_level"]), dtype=np.uint8)
+        return np.frombuffer(expand(packed[name], meta["compression"], meta["compression_level"]), dtype=np.uint8)
 
     depth = int(meta["chunk_size"]).bit_length() - 1
     tree = Octree.of_bytes(stream("svo").tobytes(), depth)
     codes = tree.codes()
+    coord = unmorton(codes, depth) + np.array(idx) * meta["chunk_size"]
+    wanted = [(n, w) for n, w in meta["attr"] if names is None or n in names]
+    if not wanted:
+        return coord, {}
+    parts = [stream(n).reshape(len(codes), -1) for n in streams_of(meta, names)]
+    stored = np.concatenate(parts, axis=1)
     if meta["attr_interleave"] == "all":
-        stored = stream("attr").reshape(len(codes), -1)
-    elif meta["attr_interleave"] == "as_is":
-        stored = np.concatenate([stream(n).reshape(len(codes), w) for n, w in meta["attr"]], axis=1)
-    else:
-        stored = np.stack([stream(f"{n}_{i}") for n, w in meta["attr"] for i in range(w)], axis=1)
-    attrs = unfilter_attrs(meta["filter"], tree, codes, stored, meta["chunk_size"])
-    return unmorton(codes, depth) + np.array(entry["idx"]) * meta["chunk_size"], attrs
+        wide = np.cumsum([0, *(w for _, w in meta["attr"])])
+        stored = stored[:, [c for k, (n, w) in enumerate(meta["attr"]) if names is None or n in names for c in range(wide[k], wide[k] + w)]]
+    values, named, at = unfilter_attrs(meta["filter"], tree, codes, stored, meta["chunk_size"]), {}, 0
+    for n, w in wanted:
+        named[n] = values[:, at : at + w]
+        at += w
+    return coord, named
 
 
 def assemble(meta: dict, chunks: list[tuple[dict, bytes]], voxels: int) -> bytes:

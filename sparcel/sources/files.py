@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import re
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,9 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 from pyspark.sql.types import ArrayType, StructType
 
 from sparcel.sources import codec
@@ -41,6 +44,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return full.removeprefix("file:") if full.startswith("file:/") else full
 
 
+def local(path: str) -> str:
+    """Spark names local files by file: and slashes; other names stay as they are."""
+    return re.sub("^file:/+", "/", path)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
@@ -79,7 +87,7 @@ def plan_shares(files: list[tuple[str, int]], limit: int, splittable: bool) -> l
 
 def broadcast_file(spark: SparkSession, path: str, limit: int = 64 << 20):
     """A small side file, read once on the driver and shared with all tasks as bytes; larger ones are refused."""
-    fs, root = filesystem(path)
+    fs, root = filesystem(qualified(spark, path))
     size = fs.get_file_info(root).size
     if size is None or size > limit:
         raise ValueError(f"{path} is missing or larger than {limit} bytes; read it as a table")
@@ -101,6 +109,8 @@ def to_batch(schema: StructType, file: str, coord: np.ndarray, attrs: dict[str,
             data = pa.array([file] * len(coord), pa.string())
         elif field.name in ("x", "y", "z"):
             data = pa.array(coord[:, "xyz".index(field.name)].astype(np.int32))
+        elif field.name not in attrs:
+            data = pa.nulls(len(coord), field.type)
         else:
             values = attrs[field.name]
             if pa.types.is_list(field.type):
@@ -113,17 +123,60 @@ def to_batch(schema: StructType, file: str, coord: np.ndarray, attrs: dict[str,
     return pa.RecordBatch.from_arrays(columns, schema=target)
 
 
+@dataclass
+class Bounds:
+    """What pushed conditions leave: names of files (any unless given) and the least and greatest x, y and z."""
+
+    names: set[str] | None = None
+    low: tuple[float, ...] = (-math.inf,) * 3
+    high: tuple[float, ...] = (math.inf,) * 3
+
+    def take(self, condition: Filter) -> Bounds:
+        """Narrowed by a condition on file, x, y or z; other conditions leave it as it is."""
+        column = condition.attribute[0] if len(getattr(condition, "attribute", ())) == 1 else None
+        if column == "file" and isinstance(condition, (EqualTo, In)):
+            named = {condition.value} if isinstance(condition, EqualTo) else set(condition.value)
+            return replace(self, names=named if self.names is None else self.names & named)
+        if column not in ("x", "y", "z"):
+            return self
+        low, high = -math.inf, math.inf
+        if isinstance(condition, EqualTo):
+            low = high = condition.value
+        elif isinstance(condition, In):
+            low, high = min(condition.value), max(condition.value)
+        elif isinstance(condition, (GreaterThan, GreaterThanOrEqual)):
+            low = condition.value
+        elif isinstance(condition, (LessThan, LessThanOrEqual)):
+            high = condition.value
+        at = "xyz".index(column)
+        narrow = lambda given, value, pick: tuple(pick(g, value) if i == at else g for i, g in enumerate(given))
+        return replace(self, low=narrow(self.low, low, max), high=narrow(self.high, high, min))
+
+    def meets(self, idx: list[int], size: int) -> bool:
+        """Whether a chunk may hold a cell within the bounds."""
+        return all(i * size <= h and i * size + size - 1 >= lo for i, lo, h in zip(idx, self.low, self.high))
+
+
 class CellReader(DataSourceReader):
+    """Files whose names, and chunks whose boxes, no pushed condition excludes; Spark tests the conditions on the rows again."""
+
     def __init__(self, source: CellFiles, schema: StructType):
-        self.source, self.schema = source, schema
+        self.source, self.schema, self.bounds = source, schema, Bounds()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for condition in filters:
+            self.bounds = self.bounds.take(condition)
+            yield condition
 
     def partitions(self):
         files = list_files(self.source.path, self.source.suffix)
+        if self.bounds.names is not None:
+            files = [(path, size) for path, size in files if stem(path, self.source.suffix) in self.bounds.names]
         return plan_shares(files, self.source.limit, self.source.splittable)
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         for path in partition.files:
-            yield from self.source.read_file(path, partition, self.schema)
+            yield from self.source.read_file(path, partition, self.schema, self.bounds)
 
 
 @dataclass
@@ -237,15 +290,34 @@ class CellFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> CellWriter:
         return CellWriter(self, schema, overwrite)
 
-    def read_file(self, path: str, share: Share, schema: StructType) -> Iterator[pa.RecordBatch]:
+    def read_file(self, path: str, share: Share, schema: StructType, bounds: Bounds) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
         with fs.open_input_file(path) as handle:
             coord, attrs = self.decode(handle.read())
         yield to_batch(schema, stem(path, self.suffix), coord, attrs)
 
 
+def read_streams(handle, start: int, entry: dict, meta: dict, names: list[str] | None) -> dict[str, bytes]:
+    """Packed bytes of a chunk's octree and of the streams that hold the wanted attributes, neighbours in one read."""
+    wanted = sorted((entry[n][0], entry[n][1], n) for n in ["svo", *codec.streams_of(meta, names)])
+    packed, run = {}, []
+
+    def fetch() -> None:
+        handle.seek(start + entry["ptr"][0] + run[0][0])
+        data = handle.read(run[-1][0] + run[-1][1] - run[0][0])
+        packed.update({n: data[at - run[0][0] : at - run[0][0] + length] for at, length, n in run})
+
+    for item in wanted:
+        if run and item[0] != run[-1][0] + run[-1][1]:
+            fetch()
+            run = []
+        run.append(item)
+    fetch()
+    return packed
+
+
 class VxzFiles(CellFiles):
-    """Chunked, octree-coded voxel containers. ``mode=header`` yields one row per file from its header alone."""
+    """Chunked, octree-coded voxel containers, of which the wanted chunks and streams are read."""
 
     suffix = ".vxz"
     splittable = True
@@ -254,41 +326,19 @@ class VxzFiles(CellFiles):
     def name(cls) -> str:
         return "vxz"
 
-    @property
-    def header_only(self) -> bool:
-        return self.options.get("mode") == "header"
-
-    @property
-    def limit(self) -> int:
-        return 1 << 62 if self.header_only else super().limit
-
-    def schema(self) -> str:
-        return HEADER_SCHEMA if self.header_only else super().schema()
-
     def attribute_types(self, handle) -> list[tuple[str, str]]:
         meta, _ = codec.read_header(handle)
         return [(n, "int" if w == 1 else "array<int>") for n, w in meta["attr"]]
 
-    def read_file(self, path: str, share: Share, schema: StructType) -> Iterator[pa.RecordBatch]:
+    def read_file(self, path: str, share: Share, schema: StructType, bounds: Bounds) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
-        name = stem(path, self.suffix)
         with fs.open_input_file(path) as handle:
             meta, start = codec.read_header(handle)
-            if self.header_only:
-                from pyspark.sql.pandas.types import to_arrow_schema
-
-                row = {**meta, "file": name, "num_chunks": len(meta["chunks"]), "attr": [{"name": n, "channels": w} for n, w in meta["attr"]]}
-                target = to_arrow_schema(schema)
-                yield pa.RecordBatch.from_pylist([{f.name: row[f.name] for f in target}], schema=target)
-                return
             for entry in meta["chunks"][share.part :: share.parts]:
-                handle.seek(start + entry["ptr"][0])
-                coord, attrs = codec.decode_chunk(entry, handle.read(entry["ptr"][1]), meta)
-                named, at = {}, 0
-                for n, w in meta["attr"]:
-                    named[n] = attrs[:, at : at + w]
-                    at += w
-                yield to_batch(schema, name, coord, named)
+                if bounds.meets(entry["idx"], meta["chunk_size"]):
+                    wanted = [f.name for f in schema.fields]
+                    coord, attrs = codec.decode_streams(entry["idx"], read_streams(handle, start, entry, meta, wanted), meta, wanted)
+                    yield to_batch(schema, stem(path, self.suffix), coord, attrs)
 
     def meta(self, attrs: list[tuple[str, int]]) -> dict:
         """Header fields from the options, checked."""
@@ -475,6 +525,8 @@ BY_SUFFIX = {".vxz": "vxz", ".npz": "npz", ".ply": "voxelply"}
 
 
 def register(spark: SparkSession) -> None:
+    """Make the formats known; conditions on file, x, y and z reach their readers."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (VxzFiles, NpzFiles, VoxelPlyFiles, MeshPlyFiles):
         spark.dataSource.register(source)
 
@@ -488,8 +540,95 @@ def read_cells(spark: SparkSession, path: str, kind: str | None = None, **option
     return spark.read.format(kind).options(**options).load(qualified(spark, path))
 
 
+def listed(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path, length) of all files below ``path``, listed by Spark; no file is opened."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length")
+
+
+def _headers(spark: SparkSession, path: str, rows: Callable[[str, dict, int], Iterator[dict]], schema: str) -> DataFrame:
+    """Rows made of the header of each container in the tasks, which read no further than the header."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, inner = filesystem(local(name))
+                with fs.open_input_file(inner) as handle:
+                    meta, start = codec.read_header(handle)
+                yield pa.RecordBatch.from_pylist(list(rows(name, meta, start)), schema=target)
+
+    return listed(spark, path, ".vxz").select("path").mapInArrow(run, schema)
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    return read_cells(spark, path, "vxz", mode="header")
+    """One row per container below ``path``."""
+
+    def row(name: str, meta: dict, start: int) -> Iterator[dict]:
+        yield {**{k: v for k, v in meta.items() if k != "chunks"}, "file": stem(name, ".vxz"), "num_chunks": len(meta["chunks"]), "attr": [{"name": n, "channels": w} for n, w in meta["attr"]]}
+
+    return _headers(spark, path, row, HEADER_SCHEMA)
+
+
+INDEX_SCHEMA = (
+    "path string, file string, chunk int, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int, offset bigint, length bigint, "
+    "attr array<struct<name:string,channels:int>>, entry string, meta string"
+)
+
+
+def chunk_index(spark: SparkSession, path: str) -> DataFrame:
+    """One row per chunk of the containers below ``path``: its box (both ends inside), where it lies, and what decodes it.
+
+    A table as any other: filter it, or join it with a table of boxes or of files, before ``decode_chunks``.
+    """
+
+    def rows(name: str, meta: dict, start: int) -> Iterator[dict]:
+        size, shared = meta["chunk_size"], json.dumps({k: v for k, v in meta.items() if k != "chunks"})
+        attr = [{"name": n, "channels": w} for n, w in meta["attr"]]
+        for k, entry in enumerate(meta["chunks"]):
+            box = {f"{a}{end}": i * size + end * (size - 1) for a, i in zip("xyz", entry["idx"]) for end in (0, 1)}
+            yield {"path": name, "file": stem(name, ".vxz"), "chunk": k, **box, "offset": start, "length": entry["ptr"][1], "attr": attr, "entry": json.dumps(entry), "meta": shared}
+
+    return _headers(spark, path, rows, INDEX_SCHEMA)
+
+
+def decode_chunks(index: DataFrame, attrs: dict[str, str]) -> DataFrame:
+    """Cells of the chunks of an index: file, x, y, z and the named attributes (name -> int or array<int>).
+
+    Only the streams of these attributes are read. Chunks are dealt to tasks by place, so the chunks of one large container are decoded
+    by many. A container without one of the attributes gives nulls.
+    """
+    schema = StructType.fromDDL("file string, x int, y int, z int" + "".join(f", `{n}` {t}" for n, t in attrs.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, file, start, entry, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                entry, meta = json.loads(entry), json.loads(meta)
+                fs, inner = filesystem(local(name))
+                with fs.open_input_file(inner) as handle:
+                    packed = read_streams(handle, start, entry, meta, list(attrs))
+                yield to_batch(schema, file, *codec.decode_streams(entry["idx"], packed, meta, list(attrs)))
+
+    spread = index.select("path", "file", "offset", "entry", "meta").repartition("path", "entry")
+    return spread.mapInArrow(run, schema)
+
+
+def scan_cells(spark: SparkSession, path: str, attrs: dict[str, str], low: Sequence[int | None] = (None,) * 3, high: Sequence[int | None] = (None,) * 3) -> DataFrame:
+    """Cells of the containers below ``path`` with ``low`` <= (x, y, z) < ``high`` (None: no bound) and the named attributes.
+
+    Files are listed by Spark, headers are read by tasks, and of the bodies only the wanted streams of the chunks that meet the box.
+    """
+    index = chunk_index(spark, path)
+    for axis, lo, hi in zip("xyz", low, high):
+        index = index if lo is None else index.filter(F.col(f"{axis}1") >= lo)
+        index = index if hi is None else index.filter(F.col(f"{axis}0") < hi)
+    cells = decode_chunks(index, attrs)
+    for axis, lo, hi in zip("xyz", low, high):
+        cells = cells if lo is None else cells.filter(F.col(axis) >= lo)
+        cells = cells if hi is None else cells.filter(F.col(axis) < hi)
+    return cells
 
 
 def encoded_chunks(rows: DataFrame, attrs: list[str], options: dict[str, str]) -> DataFrame:
