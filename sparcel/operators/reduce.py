@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.functions import vectors as V
+from sparcel.operators.nested import flatten_objects, nesting
 
 
 def segment_reduce(df: DataFrame, batch: str, vector: Column, factor: Column | None = None) -> DataFrame:
@@ -105,6 +106,18 @@ def reduce_metrics(logs: DataFrame, metrics: str, special: Mapping[str, str]) ->
     return flat.groupBy("key").agg(value.alias("value"))
 
 
+def reduce_nested(docs: DataFrame, text: str, special: Mapping[str, str]) -> DataFrame:
+    """As ``reduce_metrics``, over a column of JSON objects of any depth; keys are paths joined with ``/``.
+
+    Texts that are no JSON object, nulls and leaves that are no numbers take no part.
+    """
+    parsed = docs.filter(F.col(text).startswith("{")).select(F.col(text).alias("text"), F.try_parse_json(text).alias("doc")).filter("doc is not null")
+    depth = parsed.agg(F.max(nesting("text"))).first()[0] or 0
+    leaves = flatten_objects(parsed, [], "doc", depth).select("key", F.expr("try_cast(try_cast(value AS string) AS double)").alias("value"))
+    metrics = leaves.filter("value is not null").select(F.create_map("key", "value").alias("m"))
+    return reduce_metrics(metrics, "m", special)
+
+
 def clip_limit(df: DataFrame, order: Sequence[str], value: str, size: int, percent: float, cap: float) -> DataFrame:
     """Percentile of the last ``size`` values (linear interpolation), capped."""
     last = df.orderBy(*[F.desc(c) for c in order]).limit(size)

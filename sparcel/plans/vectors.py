@@ -136,6 +136,23 @@ def step_log_reduce(spark, d):
     return reduced.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "nested_metrics_reduce",
+    "A22 F34",
+    """
+    SELECT 'loss/main' AS key, round(avg(value), 6) AS value FROM events
+    UNION ALL SELECT 'loss/aux/k', CAST(max(CAST(json_extract(props, '$.k') AS DOUBLE)) AS DOUBLE) FROM events
+    UNION ALL SELECT concat('by/', event_type, '/value'), round(avg(value), 6) FROM events GROUP BY event_type
+    """,
+)
+def nested_metrics_reduce(spark, d):
+    """Metrics nested three deep, some of them only in some rows, reduced leaf by leaf."""
+    own = F.concat(F.lit('{"main":'), F.col("value").cast("string"), F.lit(',"aux":'), F.col("props"), F.lit(',"note":"{{"}'))
+    by = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":{"value":'), F.col("value").cast("string"), F.lit("}}"))
+    docs = load(spark, d, "events").select(F.concat(F.lit('{"loss":'), own, F.lit(',"by":'), by, F.lit("}")).alias("doc"))
+    return R.reduce_nested(docs, "doc", {"loss/aux/k": "max"}).withColumn("value", F.round("value", 6))
+
+
 @query(
     "metric_predicates",
     "F34",

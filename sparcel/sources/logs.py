@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparcel.operators.nested import flatten_objects, nesting
+
 VIEWS_SCHEMA = (
     "aabb array<array<double>>, scale double, offset array<double>, "
     "frames array<struct<file_path:string,camera_angle_x:double,transform_matrix:array<array<double>>>>"
@@ -50,30 +52,24 @@ def write_step_log(steps: DataFrame, path: str) -> None:
 def read_step_log(spark: SparkSession, path: str) -> DataFrame:
     """(step, key, value) of every metric; nested objects are flattened with ``/``, whatever their depth.
 
-    Lines that are no ``step: {json}`` are left to ``rejected_log_lines``; leaves that are no numbers, nulls among them,
-    and strings that only begin like an object have a null value.
+    Lines that are no ``step: {json}``, that give a key twice or that nest deeper than the JSON parser goes (1,000) are left
+    to ``rejected_log_lines``; leaves that are no numbers, nulls among them, have a null value.
     """
-    lines = _log_lines(spark, path).filter("step is not null and top is not null").select("step", "top")
-    flat = lines.select("step", F.explode("top").alias("key", "value"))
-    deeper = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-    done = flat.filter(~deeper)
-    # an object at depth d needs d passes; the deepest line says how many
-    depth = lines.sparkSession.read.text(path).agg(F.max(F.length(F.regexp_replace("value", r"[^{]", "")))).first()[0] or 0
-    for _ in range(depth - 1):
-        opened = flat.filter(deeper).withColumn("inner", F.from_json("value", "map<string,string>"))
-        done = done.union(opened.filter("inner is null").select("step", "key", "value"))
-        flat = opened.filter("inner is not null").select("step", F.col("key").alias("above"), F.explode("inner").alias("below", "value"))
-        flat = flat.select("step", F.concat_ws("/", "above", "below").alias("key"), "value")
-        done = done.union(flat.filter(~deeper))
-    return done.select("step", "key", F.col("value").try_cast("double").alias("value"))
+    lines = _log_lines(spark, path).filter("step is not null and doc is not null")
+    depth = lines.agg(F.max(nesting("value"))).first()[0] or 0
+    flat = flatten_objects(lines.select("step", "doc"), ["step"], "doc", depth)
+    return flat.select("step", "key", F.expr("try_cast(try_cast(value AS string) AS double)").alias("value"))
 
 
 def _log_lines(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("value", r"^(\d+): ", 1)
-    doc = F.when(head != "", F.from_json(F.regexp_replace("value", r"^\d+: ", ""), "map<string,string>"))
-    return spark.read.text(path).select("value", head.try_cast("bigint").alias("step"), doc.alias("top"))
+    text = F.regexp_replace("value", r"^\d+: ", "")
+    # numbers that JSON doesn't know are put into quotes where the text is no JSON without
+    quoted = F.regexp_replace(text, r"([:,\[]\s*)(NaN|-?Infinity)(?=\s*[,}\]])", '$1"$2"')
+    doc = F.when((head != "") & text.startswith("{"), F.coalesce(F.try_parse_json(text), F.try_parse_json(quoted)))
+    return spark.read.text(path).select("value", head.try_cast("bigint").alias("step"), doc.alias("doc"))
 
 
 def rejected_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are no ``step: {json}``."""
-    return _log_lines(spark, path).filter("step is null or top is null").select("value")
+    return _log_lines(spark, path).filter("step is null or doc is null").select("value")

@@ -191,6 +191,17 @@ def test_step_log_of_any_depth(spark, tmp_path):
     assert rows(logs.rejected_log_lines(spark, path)) == [("4: {broken",), ("no step",)]
 
 
+def test_step_log_braces_depth_and_repeated_keys(spark, tmp_path):
+    deep = "{" * 0 + '{"a":' * 90 + "7" + "}" * 90
+    lines = ["1: " + '{"note":"' + "{" * 4000 + '\\"}","l":{"a":2}}', "2: " + deep, '3: {"a":1,"a":2}', '4: {"x":NaN,"y":-Infinity,"z":{"{":true}}', '5: {"e":{}}', "6: [1]"]
+    (tmp_path / "log.txt").write_text("\n".join(lines))
+    found = {(r.step, r.key): r.value for r in logs.read_step_log(spark, str(tmp_path)).collect()}
+    assert found.pop((2, "/".join("a" * 90))) == 7
+    assert str(found.pop((4, "x"))) == "nan"
+    assert found == {(1, "note"): None, (1, "l/a"): 2.0, (4, "y"): float("-inf"), (4, "z/{"): None}
+    assert [r.value[:2] for r in logs.rejected_log_lines(spark, str(tmp_path)).collect()] == ["3:", "6:"]
+
+
 def test_step_log_keeps_nulls_and_odd_strings(spark, tmp_path):
     lines = ['1: {"loss": null, "a": {"b": null}}', '2: {"s": "{oops", "t": {"u": "{"}}', '3: {"loss": 1.5}']
     (tmp_path / "log.txt").write_text("\n".join(lines))
