@@ -9,7 +9,7 @@ from sparcel.operators.ordered import group_position
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import with_cells
 from sparcel.session import staged_path
-from sparcel.sources import catalogue, files, logs
+from sparcel.sources import catalogue, files, logs, stages
 from sparcel.tables import cells, load
 
 VOXEL_SQL = with_cells(
@@ -211,6 +211,66 @@ def stage_csv_compaction(spark, d):
     return compact(log, ["sha256"], ["seq"]).select("sha256", "score", "flag", "tokens")
 
 
+PUBLISHED_SQL = """
+    WITH log AS (
+      SELECT sha256(text) AS sha256, doc_id % 3 AS part, max(CASE WHEN doc_id % 2 = 0 THEN n_chars * 0.5::DOUBLE END) AS score, bool_or(CASE WHEN doc_id % 5 = 0 THEN doc_id % 10 = 0 END) AS flag, max(doc_id) AS tokens
+      FROM documents GROUP BY 1, 2)
+    SELECT sha256, arg_max(score, part) FILTER (WHERE score IS NOT NULL AND part < 2) AS score, arg_max(flag, part) FILTER (WHERE flag IS NOT NULL) AS flag, arg_max(tokens, part) AS tokens FROM log GROUP BY sha256
+"""
+
+
+def _record_part(spark, d, k: int):
+    """Records of a third of the documents, unique by key; the last part lacks a column and has another order of columns."""
+    docs = load(spark, d, "documents").filter(F.col("doc_id") % 3 == k)
+    part = docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(
+        F.max(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") * 0.5)).alias("score"),
+        F.bool_or(F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 10 == 0)).alias("flag"), F.max("doc_id").alias("tokens"),
+    )
+    return part if k < 2 else part.select("tokens", "sha256", "flag")
+
+
+@query("published_compaction", "S5 J3 S1 S2 S3 S4", PUBLISHED_SQL)
+def published_compaction(spark, d):
+    """Three rounds of record parts, each compacted into the published table and archived; the newest file with a value wins."""
+    root = staged_path(spark, "published")
+    for k in range(3):
+        catalogue.append_records(_record_part(spark, d, k), root)
+        stages.compact_parts(spark, root, STAGE, ["sha256"])
+    return stages.read_stage_table(spark, root, STAGE, ["sha256"])
+
+
+@query("archive_rebuild", "S5 J3", PUBLISHED_SQL)
+def archive_rebuild(spark, d):
+    """The same table built again from the archived parts alone."""
+    root, lost = staged_path(spark, "published"), staged_path(spark, "rebuilt")
+    for k in range(3):
+        catalogue.append_records(_record_part(spark, d, k), root)
+        stages.compact_parts(spark, root, STAGE, ["sha256"])
+    stages.Folder(spark, lost).move(f"../{root.rsplit('/', 1)[-1]}/merged_records", "merged_records")
+    stages.compact_parts(spark, lost, STAGE, ["sha256"], from_archive=True)
+    return stages.read_stage_table(spark, lost, STAGE, ["sha256"])
+
+
+@query(
+    "rejected_records",
+    "S3",
+    "SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 4 = 1) AS bad, min('x' || doc_id) FILTER (WHERE doc_id % 4 = 1) AS first_line, 1::BIGINT AS broken_parts FROM documents",
+)
+def rejected_records(spark, d):
+    """Lines that do not parse are kept apart with their file, and a part that is no CSV is left out of the merge."""
+    root = staged_path(spark, "rejects")
+    docs = load(spark, d, "documents")
+    bad = F.col("doc_id") % 4 == 1
+    score = F.when(bad, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.lit("1.5"))
+    lines = docs.select(F.concat(F.lit("k"), F.col("doc_id")).alias("sha256"), score.alias("score"), F.lit("true").alias("flag"), F.lit("7").alias("tokens"))
+    catalogue.append_records(lines, root)
+    docs.limit(1).select(F.lit("no header, no keys").alias("value")).coalesce(1).write.mode("append").option("header", False).csv(f"{root}/new_records")
+    parts = stages.read_parts(spark, f"{root}/new_records", STAGE, ["sha256"])
+    rejected = parts.rejected.agg(F.count(F.lit(1)).alias("bad"), F.min(F.split("line", ",")[1]).alias("first_line"))
+    kept = parts.rows.agg(F.count(F.lit(1)).alias("kept"))  # one row each
+    return rejected.join(kept, F.lit(True)).select((F.col("kept") + F.col("bad")).alias("n"), "bad", "first_line", F.lit(len(parts.broken)).cast("long").alias("broken_parts"))
+
+
 @query(
     "partitioned_stage",
     "S6 A2",

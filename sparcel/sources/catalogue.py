@@ -32,7 +32,12 @@ REJECT = "_corrupt_record"
 
 def _with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
-    return reader.schema(T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])).csv(path)
+    return all_parsed(reader.schema(T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])).csv(path), schema)
+
+
+def all_parsed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Keep all columns in the plan: a scan of some of them parses no others, and does not see what is wrong with a line."""
+    return df.filter(F.size(F.array(*[F.col(f.name).cast("string") for f in schema.fields])) > 0)
 
 
 def rejected_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,8 +45,7 @@ def rejected_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     if not _exists(spark, path):
         return spark.createDataFrame([], "file string, line string")
     whole = _with_rejects(spark, path, schema).withColumn("file", F.col("_metadata.file_path"))
-    # all columns are kept in the plan: a scan of the reject column alone parses nothing
-    return whole.filter(F.col(REJECT).isNotNull() & (F.size(F.array(*[F.col(f.name).cast("string") for f in schema.fields])) > 0)).select("file", F.col(REJECT).alias("line"))
+    return whole.filter(F.col(REJECT).isNotNull()).select("file", F.col(REJECT).alias("line"))
 
 
 def append_records(df: DataFrame, stage_dir: str) -> None:

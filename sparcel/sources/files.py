@@ -144,10 +144,10 @@ class Bounds:
             low = high = condition.value
         elif isinstance(condition, In):
             low, high = min(condition.value), max(condition.value)
-        elif isinstance(condition, (GreaterThan, GreaterThanOrEqual)):
-            low = condition.value
+        elif isinstance(condition, (GreaterThan, GreaterThanOrEqual)):  # coordinates are whole numbers
+            low = math.ceil(condition.value) if isinstance(condition, GreaterThanOrEqual) else math.floor(condition.value) + 1
         elif isinstance(condition, (LessThan, LessThanOrEqual)):
-            high = condition.value
+            high = math.floor(condition.value) if isinstance(condition, LessThanOrEqual) else math.ceil(condition.value) - 1
         at = "xyz".index(column)
         narrow = lambda given, value, pick: tuple(pick(g, value) if i == at else g for i, g in enumerate(given))
         return replace(self, low=narrow(self.low, low, max), high=narrow(self.high, high, min))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sparcel.operators.overlay import compact
+from sparcel.sources.stages import merge_records, read_stage_table
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
@@ -39,22 +40,20 @@ def run_once(stream: DataFrame, target: str, checkpoint: str, mode: str = "appen
 
 
 def ingest_records(spark: SparkSession, folder: str, schema: StructType, target: str, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
-    """Stream record files into a stage log and return the compacted stage table.
+    """Stream record files into a published stage table and return it.
 
-    Each micro-batch is compacted before it is stored, keeping per column the newest
-    value with its sequence number, so the log shrinks while it grows.
+    A micro-batch is merged into the buckets that its keys fall into, the rest of the table is neither read nor written. Values are kept with
+    their sequence, so late records never win over newer ones and a batch that is replayed changes nothing.
     """
-    values = [c for c in schema.fieldNames() if c not in (*keys, *seq)]
+    values = [f for f in schema.fields if f.name not in (*keys, *seq)]
 
-    def newest(batch: DataFrame) -> DataFrame:
-        order = F.struct(*seq)
-        return batch.groupBy(*keys).agg(
-            *[F.max(F.when(F.col(v).isNotNull(), F.struct(order.alias("seq"), F.col(v).alias("value")))).alias(v) for v in values]
-        )
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*keys, *[f.name for f in values], F.struct(*seq).alias("_seq"))
+        merge_records(rows, target, keys, "_seq")
 
-    run_once(file_stream(spark, folder, schema), target, f"{target}-checkpoint", prepare=newest)
-    log = spark.read.parquet(target)
-    return log.groupBy(*keys).agg(*[F.max(v)["value"].alias(v) for v in values])
+    query = file_stream(spark, folder, schema).writeStream.option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    return read_stage_table(spark, target, StructType([*[schema[k] for k in keys], *values]), keys)
 
 
 def latest(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 """File formats and streams."""
 
+import io
 import json
+import os
 import struct
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparcel.sources import catalogue, codec, files, logs
+from sparcel.sources import catalogue, codec, files, logs, stages
 from sparcel.streaming import records as S
 from tests.conftest import rows
 
@@ -223,3 +225,121 @@ def test_streamed_windows_over_a_table_longer_than_the_watermark(spark, tmp_path
     assert sum(r.n for r in out) == 1200 and len(out) == 401
     assert sorted({(r.n, r.total) for r in out}) == [(1, 1.0), (2, 2.0), (3, 3.0)]
     assert [(r.n, r.total) for r in out if r.start is None] == [(1, 1.0)]
+
+
+RECORDS = T.StructType().add("k", "string").add("a", "double").add("b", "string")
+
+
+def _part(path, name, text, time):
+    path.mkdir(parents=True, exist_ok=True)
+    (path / name).write_text(text)
+    os.utime(path / name, (time, time))
+
+
+def _published(spark, root):
+    return {r.k: (r.a, r.b) for r in stages.read_stage_table(spark, str(root), RECORDS, ["k"]).collect()}
+
+
+def test_published_stage_table(spark, tmp_path):
+    new = tmp_path / "new_records"
+    assert _published(spark, tmp_path) == {}
+    _part(new, "part_1.csv", "k,a,b\nx,1,one\ny,2,\n", 1000)
+    _part(new, "part_0.csv", "b,k\nnewer,x\n", 2000)  # later though its name is smaller; no column a
+    _part(new, "part_2.csv", "nothing at all\n1\n", 3000)
+    _part(new, "part_3.csv", "k,a,b\nz,oops,q\nw,4,r\n", 3000)
+    first = stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+    assert first.version == 1 and _published(spark, tmp_path) == {"x": (1.0, "newer"), "y": (2.0, None), "w": (4.0, "r")}
+    assert sorted(p.name for p in new.glob("*.csv")) == ["part_2.csv"]
+    assert sorted(p.name for p in tmp_path.glob("merged_records/*/*.csv")) == ["part_0.csv", "part_1.csv", "part_3.csv"]
+    # an older record never wins, whenever it arrives; NaN is missing
+    _part(new, "late.csv", "k,a,b\nx,9,old\ny,NaN,set\nv,,\n", 500)
+    stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+    assert _published(spark, tmp_path) == {"x": (1.0, "newer"), "y": (2.0, "set"), "w": (4.0, "r"), "v": (None, None)}
+    assert stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"]).version == 2  # only the part that is no CSV is left
+    before = set(tmp_path.glob("table/*/bucket=*"))
+    stages.vacuum(spark, str(tmp_path))
+    assert set(tmp_path.glob("table/*/bucket=*")) < before and _published(spark, tmp_path)["x"] == (1.0, "newer")
+
+
+def test_published_stage_table_after_crashes(spark, tmp_path, monkeypatch):
+    new = tmp_path / "new_records"
+    _part(new, "p1.csv", "k,a,b\nx,1,one\n", 1000)
+    stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+
+    # before the manifest: the table is as it was, the part waits
+    _part(new, "p2.csv", "k,a,b\nx,2,\ny,3,n\n", 2000)
+    create = stages.Folder.create
+    monkeypatch.setattr(stages.Folder, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+    assert _published(spark, tmp_path) == {"x": (1.0, "one")} and (new / "p2.csv").exists()
+
+    # inside the manifest: half a file is no manifest
+    monkeypatch.setattr(stages.Folder, "create", lambda self, name, text: create(self, name, text[:20]))
+    stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+    monkeypatch.setattr(stages.Folder, "create", create)
+    assert stages.current(spark, str(tmp_path)).version == 1
+
+    # between manifest and archive: the next merge archives first and changes nothing
+    keep = stages.archive
+    (tmp_path / "merged_records").mkdir(exist_ok=True)
+    for p in tmp_path.glob("merged_records/*/p2.csv"):
+        p.rename(new / "p2.csv")
+    monkeypatch.setattr(stages, "archive", lambda *a: [])
+    made = stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"])
+    monkeypatch.setattr(stages, "archive", keep)
+    assert made.version == 3 and _published(spark, tmp_path) == {"x": (2.0, "one"), "y": (3.0, "n")} and (new / "p2.csv").exists()
+    assert stages.compact_parts(spark, str(tmp_path), RECORDS, ["k"]) == made
+    assert not (new / "p2.csv").exists() and _published(spark, tmp_path) == {"x": (2.0, "one"), "y": (3.0, "n")}
+
+    # two writers of one version: the second fails
+    with pytest.raises(Exception, match="exists"):
+        create(stages.Folder(spark, str(tmp_path)), f"manifest/{made.version:012d}.json", "{}")
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    rows = spark.range(500).selectExpr("cast(id as string) AS k", "double(id) AS a", "'s' AS b", "struct(id AS at) AS s")
+    stages.merge_records(rows, str(tmp_path), ["k"], "s", buckets=16)
+    before = stages.current(spark, str(tmp_path)).places
+    one = spark.createDataFrame([("7", 70.0, None)], "k string, a double, b string").selectExpr("*", "struct(9L AS at) AS s")
+    after = stages.merge_records(one, str(tmp_path), ["k"], "s")
+    assert len(before) == 16 and sum(after.places[b] != before[b] for b in before) == 1
+    assert _published(spark, tmp_path)["7"] == (70.0, "s") and len(_published(spark, tmp_path)) == 500
+
+
+def test_box_scan_reads_only_what_it_needs(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    cells = spark.range(4096).selectExpr("'one' AS f", "int(id % 16) AS x", "int(id div 16 % 16) AS y", "int(id div 256) AS z", "array(int(id % 250), 3) AS c", "int(id % 7) AS d")
+    files.write_cells(cells, path, "vxz", "f", ["c", "d"], chunkSize=4, compression="deflate", interleave="none", filter="parent")
+    want = {(r.x, r.y, r.z, r.d) for r in cells.filter("x >= 4 and x < 9 and z >= 13").collect()}
+    assert {tuple(r) for r in files.scan_cells(spark, path, {"d": "int"}, (4, None, 13), (9, None, None)).drop("file").collect()} == want
+    index = files.chunk_index(spark, path)
+    assert index.count() == 64 and index.filter("x1 >= 4 and x0 < 9 and z1 >= 13").count() == 8
+    # streams: the octree and channel d of each chunk that the conditions leave, nothing of c
+    source = files.VxzFiles({"path": path})
+    files.register(spark)
+    schema = T.StructType.fromDDL("file string, x int, y int, z int, d int")
+    reader = source.reader(schema)
+    conditions = [files.GreaterThanOrEqual(("x",), 4), files.LessThan(("x",), 8), files.EqualTo(("z",), 15), files.In(("file",), ("one", "two"))]
+    assert list(reader.pushFilters(conditions)) == conditions
+    opened = []
+    unpack = files.codec.expand
+    monkeypatch.setattr(files.codec, "expand", lambda data, *a: opened.append(len(data)) or unpack(data, *a))
+    found = [b for share in reader.partitions() for b in reader.read(share)]
+    assert len(found) == 4 and len(opened) == 8 and sum(b.num_rows for b in found) == 4 * 64
+    assert files.scan_cells(spark, path, {"absent": "int"}, (0, 0, 0), (1, 1, 1)).collect()[0].absent is None
+    for names in (["c"], ["d"], None):
+        for interleave in ("none", "as_is", "all"):
+            meta = {"chunk_size": 4, "filter": "neighbor", "compression": "none", "compression_level": 0, "attr": [["c", 2], ["d", 1]], "attr_interleave": interleave}
+            local = np.array([[0, 1, 2], [3, 3, 3], [1, 0, 0]])
+            attrs = np.array([[1, 2, 3], [4, 5, 6], [7, 8, 9]], np.uint8)
+            entry, data = files.codec.encode_chunk([1, 0, 0], local, attrs, meta)
+            entry["ptr"] = [0, len(data)]
+            packed = files.read_streams(io.BytesIO(b"head" + data), 4, entry, meta, names)
+            coord, named = files.codec.decode_streams([1, 0, 0], packed, meta, names)
+            order = np.lexsort(coord.T), np.lexsort((local + [4, 0, 0]).T)
+            for n, columns in (("c", [0, 1]), ("d", [2])):
+                if names is None or n in names:
+                    assert (named[n][order[0]] == attrs[order[1]][:, columns]).all()
+                else:
+                    assert n not in named
