@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -60,7 +61,7 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Ids of chunks by ``ask`` (texts -> ids one behind the other, number of each), remembered up to ``limit`` chunks."""
 
-    def __init__(self, ask: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000) -> None:
+    def __init__(self, ask: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
         self.ask, self.limit = ask, limit
         self._forget()
 
@@ -83,7 +84,7 @@ class ChunkEncoder:
 
     def encode(self, chunks: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one behind the other, number of ids of each chunk)."""
-        values = chunks.dictionary.to_pylist()
+        values = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = [self.slots.get(v) for v in values]
         missing = [v for v, k in zip(values, known) if k is None]
         if len(self.slots) + len(missing) > self.limit:
@@ -192,13 +193,15 @@ def word_encoder(path: str) -> ChunkEncoder:
     model, shown = library.model, dict(enumerate(byte_characters()))
     split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\t-\\r 0-9a-z{_LATIN}]+").findall
 
-    @functools.lru_cache(500_000)
-    def word(text: str) -> list[int]:
+    @functools.lru_cache(300_000)
+    def word(text: str) -> bytes:
         seen = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(shown)
-        return [t.id for t in model.tokenize(seen)]
+        return array("i", [t.id for t in model.tokenize(seen)]).tobytes()
 
     def common(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat([[i for w in split(c.lower()) for i in word(w)] if "<|" not in c else library.encode(c, add_special_tokens=False).ids for c in chunks])
+        join = b"".join
+        found = [join(map(word, split(c.lower()))) if "<|" not in c else array("i", library.encode(c, add_special_tokens=False).ids).tobytes() for c in chunks]
+        return np.frombuffer(join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     assert all("<|" in t for t in special), "special tokens begin with <|"
     return ChunkEncoder(lambda chunks: _apart(chunks, common, other))
