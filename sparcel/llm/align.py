@@ -29,8 +29,8 @@ from sparcel.llm import buffers
 from sparcel.llm.chunks import ChunkEncoder, byte_encoder, chunked, piece_encoder, ragged, token_bytes
 from sparcel.session import stage
 
-#: Chunks (about words) of a lane; text bytes of a block; links of a group that are listed one by one at most.
-LANE, BLOCK, LISTED = 64, 8 << 20, 1 << 16
+#: Chunks (about words) of a lane; text bytes of a block and of what is merged at once; links of a group that are listed one by one at most.
+LANE, BLOCK, PIECE, LISTED = 64, 8 << 20, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -127,23 +127,31 @@ class Alignment:
         view = memoryview(data) if data else b""
         return [hashlib.sha256(view[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
 
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, A id, B id, times) of the links; the links of large groups are counted, not listed."""
+    def pairs(self, each: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct linked pairs of each text as ``text * each + A id * wide + B id``, rising, and how many links are that pair.
+
+        The links of large groups are counted by distinct ids, not listed.
+        """
         p, q = self.sizes
         text = np.repeat(np.arange(len(self.a_text) - 1), np.diff(self.groups))
-        b_first = np.cumsum(q) - q
-        large = np.flatnonzero(p * q > LISTED)
-        rep = np.where(p * q > LISTED, 0, q)
-        group = np.repeat(np.arange(len(p)), p)
-        times = rep[group]
-        found = [(np.repeat(text[group], times), np.repeat(self.a, times), self.b[ragged(b_first[group], times)], None)]
-        a_first = np.cumsum(p) - p
-        for g in large.tolist():
-            a_ids, a_n = np.unique(self.a[a_first[g] : a_first[g] + p[g]], return_counts=True)
-            b_ids, b_n = np.unique(self.b[b_first[g] : b_first[g] + q[g]], return_counts=True)
-            found.append((np.full(len(a_ids) * len(b_ids), text[g]), np.repeat(a_ids, len(b_ids)), np.tile(b_ids, len(a_ids)), np.repeat(a_n, len(b_ids)) * np.tile(b_n, len(a_ids))))
-        times = np.concatenate([np.ones(len(f[0]), np.int64) if f[3] is None else f[3] for f in found])
-        return *(np.concatenate([f[k] for f in found]) for k in range(3)), times
+        a_first, b_first = np.cumsum(p) - p, np.cumsum(q) - q
+        large = p * q > LISTED
+        partners = np.repeat(np.where(large, 0, q), p)  # of each A token
+        code = np.repeat(np.repeat(text, p) * each + self.a.astype(np.int64) * wide, partners)
+        code += self.b[ragged(np.repeat(b_first, p), partners)]
+        code.sort()
+        at = np.flatnonzero(np.diff(code, prepend=-1))
+        code, times = code[at], np.diff(at, append=len(code))
+        if large.any():
+            codes, counted = [code], [times]
+            for g in np.flatnonzero(large).tolist():
+                a_ids, a_n = np.unique(self.a[a_first[g] : a_first[g] + p[g]], return_counts=True)
+                b_ids, b_n = np.unique(self.b[b_first[g] : b_first[g] + q[g]], return_counts=True)
+                codes.append((text[g] * each + a_ids.astype(np.int64)[:, None] * wide + b_ids).ravel())
+                counted.append((a_n[:, None] * b_n).ravel())
+            code, place = np.unique(np.concatenate(codes), return_inverse=True)
+            times = np.bincount(place, np.concatenate(counted), len(code)).astype(np.int64)
+        return code, times
 
 
 def align_texts(column: pa.Array, a: Tokens, b: Tokens) -> Alignment:
@@ -182,7 +190,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_tokens(byte_path), piece_tokens(piece_path)
         for batch in batches:
-            for piece in buffers.pieces(batch, target=BLOCK):
+            for piece in buffers.pieces(batch, target=PIECE):
                 found = align_texts(piece.column(1), a, b)
                 columns = [piece.column(0), lists(found.a, found.a_text), lists(found.b, found.b_text)]
                 for cut, text in ((found.a_cut, found.a_text), (found.b_cut, found.b_text)):
@@ -218,32 +226,31 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
         a, b = byte_tokens(byte_path), piece_tokens(piece_path)
         block, wide = TaskContext.get().partitionId() << 32, len(b.length)
+        each = len(a.length) * wide
         for batch in batches:
-            for piece in buffers.pieces(batch, target=BLOCK):
-                found = align_texts(piece.column(1), a, b)
-                text, a_ids, b_ids, times = found.links()
-                n_links = np.bincount(text, times, piece.num_rows).astype(np.int64)
-                each = len(a.length) * wide
-                code = text.astype(np.int64) * each + a_ids.astype(np.int64) * wide + b_ids
-                if (times == 1).all():
-                    code.sort()
-                    at = np.flatnonzero(np.diff(code, prepend=-1))
-                    times = np.diff(at, append=len(code))
-                else:
-                    order = np.argsort(code, kind="stable")
-                    code, times = code[order], times[order]
-                    at = np.flatnonzero(np.diff(code, prepend=-1))
-                    times = np.add.reduceat(times, at)
-                code = code[at]
-                pairs, place, count = np.unique(code % each, return_inverse=True, return_counts=True)
-                n_pairs = np.bincount(code // each, minlength=piece.num_rows)
-                documents = pa.StructArray.from_arrays(
-                    [piece.column(0), *(pa.array(x.astype(np.int64)) for x in (np.diff(found.a_text), np.diff(found.b_text), np.diff(found.groups), n_links)), pa.array(found.digests(a, b), pa.string()), pa.array(n_pairs.astype(np.int64))],
-                    ["doc_id", *(c.split(":")[0] for c in _DOCUMENT.split(", "))],
-                )
+            for whole in buffers.pieces(batch, target=BLOCK):
+                documents, codes, counted = [], [], []
+                for piece in buffers.pieces(whole, target=PIECE):
+                    found = align_texts(piece.column(1), a, b)
+                    code, times = found.pairs(each, wide)
+                    text = code // each
+                    n_links = np.bincount(text, times, piece.num_rows).astype(np.int64)
+                    numbers = (np.diff(found.a_text), np.diff(found.b_text), np.diff(found.groups), n_links)
+                    documents.append(
+                        pa.StructArray.from_arrays(
+                            [piece.column(0), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(found.digests(a, b), pa.string()), pa.array(np.bincount(text, minlength=piece.num_rows).astype(np.int64))],
+                            ["doc_id", *(c.split(":")[0] for c in _DOCUMENT.split(", "))],
+                        )
+                    )
+                    codes.append(code - text * each)
+                    counted.append(times.astype(np.int32))
+                pairs, place, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), one(documents), one(pa.array(pairs)), one(pa.array(count.astype(np.int32))), pa.array([_packed(place)]), pa.array([_packed(times)])],
+                    [
+                        pa.array([block]), one(pa.concat_arrays(documents)), one(pa.array(pairs)), one(pa.array(count.astype(np.int32))),
+                        pa.array([_packed(place)]), pa.array([_packed(np.concatenate(counted))]),
+                    ],
                     names=["block", "documents", "pairs", "counts", "places", "times"],
                 )
                 block += 1
