@@ -2,19 +2,21 @@
 
 A window without PARTITION BY, or one over a group that holds a large share of the
 rows, runs in one task. Here the rows are range-partitioned by the whole order, each
-slice numbers its own rows while it is being sorted, and only per-slice totals (at
-most one row per slice) are combined afterwards. A group is split by at most every
-slice boundary, so the carry rows are bounded by twice the number of slices and may
-be broadcast whatever the data size.
+slice numbers or sums its own rows as they come sorted, and only the edges of slices (at
+most two rows per slice) are combined afterwards, on the driver whatever the data size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparcel.session import stage
 
@@ -54,15 +56,83 @@ def global_position(df: DataFrame, order: Sequence[str], name: str = "pos", tota
     return numbered.drop(SLICE, SPOT)
 
 
-def _carry_of_slices(totals: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Sums over the earlier slices, from one total per slice."""
-    rows, so_far = [], [0] * len(names)
-    for r in sorted(totals.collect(), key=lambda r: r[SLICE]):
-        rows.append((r[SLICE], *so_far))
-        so_far = [a + (r[f"_sum_{n}"] or 0) for a, n in zip(so_far, names)]
-    kinds = dict(totals.dtypes)
-    schema = ", ".join(["_c_slice int", *[f"_carry_{n} {kinds[f'_sum_{n}']}" for n in names]])
-    return totals.sparkSession.createDataFrame(rows, schema)
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are alike, as are NaNs."""
+    before, after = column[:-1], column[1:]
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return np.array([x != y for x, y in zip(values, values[1:])], bool)
+    differ = pc.fill_null(pc.not_equal(before, after), False)
+    if pa.types.is_floating(column.type):
+        both = pc.and_(pc.fill_null(pc.is_nan(before), False), pc.fill_null(pc.is_nan(after), False))
+        differ = pc.and_(differ, pc.invert(both))
+    lost = pc.xor(before.is_null(), after.is_null())
+    return pc.or_(differ, lost).to_numpy(zero_copy_only=False)
+
+
+def _sums_within(values: np.ndarray, starts: np.ndarray, carried: float) -> np.ndarray:
+    """Running sums that begin anew at each start; the rows before the first start go on from ``carried``."""
+    if values.dtype.kind == "f":  # differences of long sums would lose digits
+        out = np.concatenate([np.cumsum(part) for part in np.split(values, starts)] or [values])
+    else:
+        out = np.cumsum(values)
+        base = np.zeros(len(values), values.dtype)
+        base[starts] = out[starts] - values[starts] - np.concatenate(([0], (out[starts] - values[starts])[:-1]))
+        out = out - np.cumsum(base)
+    out[: starts[0] if len(starts) else len(out)] += values.dtype.type(carried)
+    return out
+
+
+_HEAD, _EDGE, _KEY = "_head", "_edge", "_key"
+
+
+def _scanned(df: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows in slices of the whole order, with the running sums of ``_in_*`` inside each slice and group.
+
+    One exchange: each slice is sorted and then summed as a stream. ``_head`` marks the rows of a slice's first group, ``_edge`` its
+    first (1) and last (2) row, or its only one (3).
+    """
+    kinds = {n: "double" if isinstance(df.schema[f"_in_{n}"].dataType, (T.FloatType, T.DoubleType)) else "bigint" for n in names}
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    places = [df.columns.index(g) for g in group]
+    inputs = [(df.columns.index(f"_in_{n}"), np.float64 if kinds[n] == "double" else np.int64) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, last, carried, head, first = TaskContext.get().partitionId(), None, None, [0] * len(names), True, True
+
+        def edged(batch: pa.RecordBatch, end: bool) -> pa.RecordBatch:
+            edge = np.zeros(batch.num_rows, np.int8)
+            edge[0] += first
+            edge[-1] += 2 * end
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], names=[*batch.schema.names, _EDGE])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in places:
+                column = batch.column(k)
+                with_last = pa.concat_arrays([last.column(k), column]) if last is not None else column
+                new[len(new) - len(with_last) + 1 :] |= _changes(with_last)
+            starts = np.flatnonzero(new)
+            heads = np.zeros(batch.num_rows, bool)
+            heads[: starts[0] if len(starts) else len(heads)] = head
+            head = head and not len(starts)
+            sums = [_sums_within(batch.column(k).to_numpy(zero_copy_only=False).astype(kind), starts, c) for (k, kind), c in zip(inputs, carried)]
+            carried, last = [s[-1] for s in sums], batch.slice(batch.num_rows - 1)
+            columns = [*batch.columns, *map(pa.array, sums), pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(heads)]
+            if held is not None:
+                yield edged(held, False)
+                first = False
+            held = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names, SLICE, _HEAD])
+        if held is not None:
+            yield edged(held, True)
+
+    extra = [*[T.StructField(n, T.DoubleType() if kinds[n] == "double" else T.LongType()) for n in names]]
+    schema = T.StructType([*ranged.schema.fields, *extra, T.StructField(SLICE, T.IntegerType()), T.StructField(_HEAD, T.BooleanType()), T.StructField(_EDGE, T.ByteType())])
+    return stage(ranged.mapInArrow(run, schema), "scanned")
 
 
 def running(
@@ -72,44 +142,38 @@ def running(
     sums: Mapping[str, Column],
     exclusive: bool = False,
 ) -> DataFrame:
-    """Running sums of ``sums`` inside each group, in ``order``.
+    """Running sums of ``sums`` (whole numbers or doubles) inside each group, in ``order``.
 
-    Works for groups of any size: a group's rows may span slices, and each slice
-    receives the totals of the group's earlier slices as a carry.
+    Works for groups of any size: a group's rows may span slices. Only a slice's first group can have begun before it, so
+    two rows a slice, its first and its last, tell what every slice has to add.
     """
     names = list(sums)
     inputs = {f"_in_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}  # NULL adds nothing
-    parts = sliced(df.withColumns(inputs), [*group, *order])
-    here = [SLICE, *group]
-
-    totals = parts.groupBy(*here).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in names])
-    if group:
-        spans = Window.partitionBy(*group)
-        split = totals.withColumn("_slices", F.count(F.lit(1)).over(spans)).filter("_slices > 1")
-        earlier = spans.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carry = split.select(
-            F.col(SLICE).alias("_c_slice"),
-            *[F.col(g).alias(f"_c_{g}") for g in group],
-            *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in names],
-        )
-    else:
-        carry = _carry_of_slices(totals, names)
-
-    inside = Window.partitionBy(*here).orderBy(SPOT)
-    local = parts.withColumns(
-        {
-            n: F.sum(f"_in_{n}").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            for n in names
-        }
-    )
-    same = F.col(SLICE) == F.col("_c_slice")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    joined = local.join(F.broadcast(carry), same, "left")
-    for n in names:
-        value = F.col(n) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))
+    given = df.withColumns(inputs)
+    clash = {*names, SLICE, _HEAD, _EDGE} & set(df.columns)
+    given = given.drop(*clash) if clash else given
+    parts = _scanned(given, group, [*group, *order], names)
+    plain = [F.col(g) + 0.0 if isinstance(df.schema[g].dataType, (T.FloatType, T.DoubleType)) else F.col(g) for g in group]
+    key = F.to_json(F.struct(*[c.alias(g) for c, g in zip(plain, group)])) if group else F.lit("")
+    edges = parts.filter(f"{_EDGE} > 0").select(SLICE, _EDGE, _HEAD, key.alias(_KEY), *names).collect()
+    firsts = {r[SLICE]: r[_KEY] for r in edges if r[_EDGE] & 1}
+    lasts = {r[SLICE]: r for r in edges if r[_EDGE] & 2}
+    carries: list[list] = [[0] * (max(firsts, default=-1) + 1) for _ in names]
+    open_key, so_far = None, [0] * len(names)
+    for number in sorted(firsts):
+        so_far = so_far if firsts[number] == open_key else [0] * len(names)
+        for k in range(len(names)):
+            carries[k][number] = so_far[k]
+        last = lasts[number]
+        so_far = [last[n] + (c if last[_HEAD] else 0) for n, c in zip(names, so_far)]
+        open_key = last[_KEY]
+    joined = parts
+    for n, values in zip(names, carries):
+        kind = parts.schema[n].dataType.simpleString()
+        carry = F.get(F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>"), F.col(SLICE))
+        value = F.col(n) + F.when(F.col(_HEAD), carry).otherwise(F.lit(0))
         joined = joined.withColumn(n, value - F.col(f"_in_{n}") if exclusive else value)
-    return joined.select(*df.columns, *names)
+    return joined.select(*[c for c in df.columns if c not in names], *names)
 
 
 def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force on small random input, hot keys included."""
 
+import datetime
 import itertools
 import math
 import random
@@ -427,3 +428,38 @@ def test_samples_without_a_texel_stay(spark):
     points = points.select("*", F.lit("NEAREST").alias("filter"), F.lit("REPEAT").alias("wrap"), F.lit(2).alias("size"), F.lit(None).cast("double").alias("mip"))
     found = {r["id"]: r for r in texture.sample(points, texels, ["id"]).collect()}
     assert set(found) == {1, 2} and found[2][texture.CHANNELS[0]] is None and found[1][texture.CHANNELS[0]] == pytest.approx(0.2)
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "array<int>", "struct<a:int,b:string>", "timestamp", "boolean"])
+def test_running_over_groups_of_any_type(spark, kind):
+    rnd = random.Random(3)
+    values = {
+        "double": [float("nan"), 0.0, -0.0, 1.5, None], "string": ["a", "", None, "b\"c"], "array<int>": [[1], [1, 2], [], None], "struct<a:int,b:string>": [(1, None), (1, "x"), None],
+        "timestamp": [datetime.datetime(2020, 1, d) for d in (1, 2)] + [None], "boolean": [True, False, None],
+    }[kind]
+    data = [(rnd.choice(values), i, rnd.randrange(-5, 50), rnd.random()) for i in range(700)]
+    df = spark.createDataFrame(data, f"g {kind}, i int, v int, d double").repartition(4)
+    got = running(df, ["g"], ["i"], {"s": F.col("v"), "t": F.col("d")}).collect()
+    totals, expected = {}, {}
+    for g, i, v, d in data:
+        key = repr(None if g is None else "nan" if g != g else g + 0.0 if isinstance(g, float) else g)
+        a, b = totals.get(key, (0, 0.0))
+        totals[key] = expected[i] = (a + v, b + d)
+    assert len(got) == 700
+    for r in got:
+        assert r.s == expected[r.i][0] and abs(r.t - expected[r.i][1]) < 1e-9
+    assert running(df.limit(0), ["g"], ["i"], {"s": F.col("v")}).collect() == []
+
+
+def test_running_takes_one_exchange(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id AS i")
+    from sparcel.operators import ordered
+
+    made = []
+    keep = ordered.stage
+    ordered.stage = lambda d, label: made.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d, label)
+    try:
+        after = running(df, ["g"], ["i"], {"s": F.lit(1)})
+    finally:
+        ordered.stage = keep
+    assert made[0].count("Exchange") == 1 and "Exchange" not in after._jdf.queryExecution().executedPlan().toString()
