@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparcel.functions.quant import byte_diff
-from sparcel.operators.ordered import group_position
+from sparcel.operators.ordered import group_position, largest_group
 
 # fixed values: which existing neighbor serves as reference, later entries win
 REFERENCE_ORDER = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)]
@@ -35,10 +35,10 @@ def octree_nodes(leaves: DataFrame, depth: int, batch: str = "batch", code: str
     return placed.groupBy(batch, "level", "prefix").agg(F.bit_or(F.expr("shiftleft(1, child)")).alias("children"))
 
 
-def node_stream(nodes: DataFrame, depth: int, batch: str = "batch") -> DataFrame:
-    """Offset of every node in its batch's depth-first byte stream."""
+def node_stream(nodes: DataFrame, depth: int, batch: str = "batch", most: int | None = None) -> DataFrame:
+    """Offset of every node in its batch's depth-first byte stream; ``most`` is a bound on a batch's nodes, if one is known."""
     keyed = nodes.withColumn("_first", _padded("prefix", "level", depth))
-    return group_position(keyed, [batch], ["_first", "level"], "offset").drop("_first")
+    return group_position(keyed, [batch], ["_first", "level"], "offset", most=most).drop("_first")
 
 
 def node_leaves(nodes: DataFrame, depth: int, batch: str = "batch") -> DataFrame:
@@ -76,7 +76,8 @@ def parent_deltas(leaves: DataFrame, depth: int, value: str, batch: str = "batch
     keyed = stored.withColumn(
         "_parent", F.when(F.col("level") == 0, F.lit(-1)).otherwise(F.expr(f"shiftleft(shiftright(prefix, 3), 3 * ({depth} - level + 1))"))
     )
-    return group_position(keyed, [batch], ["_parent", "level", "prefix"], "slot").drop("_parent")
+    # one slot per leaf
+    return group_position(keyed, [batch], ["_parent", "level", "prefix"], "slot", most=largest_group(leaves, [batch])).drop("_parent")
 
 
 def from_parent_deltas(nodes: DataFrame, deltas: DataFrame, depth: int, batch: str = "batch") -> DataFrame:

@@ -83,6 +83,9 @@ def _sums_within(values: np.ndarray, starts: np.ndarray, carried: float) -> np.n
     return out
 
 
+#: Up to so many rows a group is summed by the task that its key goes to.
+WINDOW_ROWS = 1 << 20
+
 _HEAD, _EDGE, _KEY = "_head", "_edge", "_key"
 
 
@@ -135,21 +138,32 @@ def _scanned(df: DataFrame, group: Sequence[str], order: Sequence[str], names: S
     return stage(ranged.mapInArrow(run, schema), "scanned")
 
 
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group; rows are counted before they are shuffled."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column],
     exclusive: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """Running sums of ``sums`` (whole numbers or doubles) inside each group, in ``order``.
 
-    Works for groups of any size: a group's rows may span slices. Only a slice's first group can have begun before it, so
+    Works for groups of any size. While no group has more than ``WINDOW_ROWS`` rows, which one counting pass tells unless the caller
+    knows a bound (``most``), a plain window takes one exchange and no Python. Larger groups span slices of the whole order: only a slice's first group can have begun before it, so
     two rows a slice, its first and its last, tell what every slice has to add.
     """
     names = list(sums)
     inputs = {f"_in_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}  # NULL adds nothing
     given = df.withColumns(inputs)
+    if group and (largest_group(df, group) if most is None else most) <= WINDOW_ROWS:
+        so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        values = {n: F.sum(f"_in_{n}").over(so_far) - (F.col(f"_in_{n}") if exclusive else F.lit(0)) for n in names}
+        return given.select(*[c for c in df.columns if c not in names], *[c.alias(n) for n, c in values.items()])
     clash = {*names, SLICE, _HEAD, _EDGE} & set(df.columns)
     given = given.drop(*clash) if clash else given
     parts = _scanned(given, group, [*group, *order], names)
@@ -176,9 +190,9 @@ def running(
     return joined.select(*[c for c in df.columns if c not in names], *names)
 
 
-def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
-    """0-based position inside each group; a hot group is numbered by many tasks."""
-    return running(df, group, order, {name: F.lit(1).cast("bigint")}, exclusive=True)
+def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "pos", most: int | None = None) -> DataFrame:
+    """0-based position inside each group; a hot group is numbered by many tasks. ``most``: see ``running``."""
+    return running(df, group, order, {name: F.lit(1).cast("bigint")}, exclusive=True, most=most)
 
 
 _COMBINE = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparcel.functions import curves, quant
 from sparcel.operators import octree
-from sparcel.operators.ordered import global_position
+from sparcel.operators.ordered import global_position, largest_group
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import with_cells
 from sparcel.session import stage
@@ -135,7 +135,8 @@ NODES = """nodes AS (SELECT batch, CAST(l.i AS INTEGER) AS level, code >> CAST(3
     ),
 )
 def octree_stream(spark, d):
-    return octree.node_stream(octree.octree_nodes(coded_cells(spark, d), 6), 6)
+    leaves = coded_cells(spark, d)
+    return octree.node_stream(octree.octree_nodes(leaves, 6), 6, most=6 * largest_group(leaves, ["batch"]))
 
 
 @query("octree_leaves", "F5", with_cells(f", {CODED} SELECT batch, code FROM coded"))

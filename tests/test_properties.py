@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparcel.functions import curves
 from sparcel.operators import cells as C
 from sparcel.operators import mesh as M
-from sparcel.operators import octree, texture, voxelize
+from sparcel.operators import octree, ordered, texture, voxelize
 from sparcel.operators.ordered import global_position, group_position, running, trailing
 from sparcel.operators.sharding import balanced_epoch, balanced_groups, epoch_order
 from tests.conftest import rows
@@ -26,7 +26,8 @@ def hot(spark):
     return data, spark.createDataFrame(data, "g string, i int, v int").repartition(5)
 
 
-def test_running_sums_span_slices(hot):
+def test_running_sums_span_slices(hot, monkeypatch):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
     data, df = hot
     expected, totals = [], {}
     for g, i, v in sorted(data, key=lambda r: r[1]):
@@ -431,7 +432,9 @@ def test_samples_without_a_texel_stay(spark):
 
 
 @pytest.mark.parametrize("kind", ["double", "string", "array<int>", "struct<a:int,b:string>", "timestamp", "boolean"])
-def test_running_over_groups_of_any_type(spark, kind):
+@pytest.mark.parametrize("window_rows", [0, 1 << 20])
+def test_running_over_groups_of_any_type(spark, monkeypatch, kind, window_rows):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
     rnd = random.Random(3)
     values = {
         "double": [float("nan"), 0.0, -0.0, 1.5, None], "string": ["a", "", None, "b\"c"], "array<int>": [[1], [1, 2], [], None], "struct<a:int,b:string>": [(1, None), (1, "x"), None],
@@ -451,10 +454,10 @@ def test_running_over_groups_of_any_type(spark, kind):
     assert running(df.limit(0), ["g"], ["i"], {"s": F.col("v")}).collect() == []
 
 
-def test_running_takes_one_exchange(spark):
+def test_running_takes_one_exchange(spark, monkeypatch):
     df = spark.range(1000).selectExpr("id % 3 AS g", "id AS i")
-    from sparcel.operators import ordered
-
+    assert running(df, ["g"], ["i"], {"s": F.lit(1)})._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
     made = []
     keep = ordered.stage
     ordered.stage = lambda d, label: made.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d, label)
