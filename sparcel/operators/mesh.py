@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.operators.ordered import running
+from sparcel.operators.cells import edge_quads
+from sparcel.operators.ordered import group_position, running
+from sparcel.session import stage
 
 AXES = ("x", "y", "z")
 
@@ -65,7 +67,8 @@ def gather(faces: DataFrame, vertices: DataFrame, values: Sequence[str] = AXES,
     sent = faces.withColumn("_c", F.explode(corner)).select(*faces.columns, "_c.slot", F.col("_c.vid").alias("vid"))
     met = sent.join(vertices.select(mesh, "vid", *values), [mesh, "vid"])
     sides = [F.max(F.when(F.col("slot") == k, F.col(v))).alias(f"{name}{v}") for k, name in enumerate("abc") for v in values]
-    return met.groupBy(*faces.columns).agg(F.count_distinct("slot").alias("_n"), *sides).filter("_n = 3").drop("_n")
+    # a bitmap instead of a distinct count, which would shuffle once more
+    return met.groupBy(*faces.columns).agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("_n"), *sides).filter("_n = 7").drop("_n")
 
 
 def broken_faces(faces: DataFrame, vertices: DataFrame, mesh: str = "mesh") -> DataFrame:
@@ -141,3 +144,21 @@ def quad_midpoints(quads: DataFrame, keys: Sequence[str]) -> DataFrame:
         for a in AXES
     ]
     return quads.select(*keys, *mid)
+
+
+def training_mesh(cells: DataFrame, flags: Mapping[str, str], batch: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """Vertices (batch, id, x, y, z) and triangles (batch, v0, v1, v2) of a dual grid with four triangles around each quad's middle.
+
+    ``cells`` has the dual vertex vx, vy, vz and the split weight w. A batch's cells are numbered in the order of their coordinates, and
+    the middle vertices of its quads go on behind them in the order of the cell that owns the edge and of the axis.
+    """
+    numbered = stage(group_position(cells, [batch], list(AXES), "id"), "numbered")
+    rings = edge_quads(numbered, flags, ["id", "vx", "vy", "vz", "w"])
+    named = [F.struct(F.col(f"c{k}.id"), *[F.col(f"c{k}.v{a}").alias(a) for a in AXES], F.col(f"c{k}.w")).alias(f"c{k}") for k in range(4)]
+    rings = rings.select(batch, "axis", *[F.col(a).alias(f"_{a}") for a in AXES], *named)
+    sizes = numbered.groupBy(batch).agg(F.count(F.lit(1)).alias("_cells"))
+    placed = group_position(rings, [batch], [*[f"_{a}" for a in AXES], "axis"], "_k").join(sizes, batch).withColumn("id", F.col("_cells") + F.col("_k"))
+    middles = quad_midpoints(placed, [batch, "id"])
+    vertices = numbered.select(batch, "id", *[F.col(f"v{a}").alias(a) for a in AXES]).unionByName(middles)
+    fan = F.array(*[F.struct(F.col(f"c{k}.id").alias("v0"), F.col(f"c{(k + 1) % 4}.id").alias("v1"), F.col("id").alias("v2")) for k in range(4)])
+    return vertices, placed.select(batch, F.explode(fan).alias("t")).select(batch, "t.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.operators.ordered import group_position
+from sparcel.operators.mesh import AXES, cross, dot, minus
+from sparcel.operators.ordered import group_position, running
 
 
 def tile_overlaps(boxes: DataFrame, tile: int, width: int, height: int, view: str, item: str) -> DataFrame:
@@ -33,8 +34,9 @@ def tile_list(overlaps: DataFrame, view: str, item: str) -> DataFrame:
 
 
 def tile_ranges(tiles: DataFrame, view: str) -> DataFrame:
-    """How many items each tile holds and the nearest depth."""
-    return tiles.groupBy(view, "tile").agg(F.count(F.lit(1)).alias("len"), F.min("depth").alias("nearest"))
+    """Start and stop of each tile in its view's list (by tile, then depth), how many items it holds and the nearest depth."""
+    held = tiles.groupBy(view, "tile").agg(F.count(F.lit(1)).alias("len"), F.min("depth").alias("nearest"))
+    return running(held, [view], ["tile"], {"start": F.col("len")}, exclusive=True).withColumn("stop", F.col("start") + F.col("len"))
 
 
 def first_hits(cells: DataFrame, view: str, values: Sequence[str], n: int, width: int) -> DataFrame:
@@ -52,3 +54,65 @@ def first_hits(cells: DataFrame, view: str, values: Sequence[str], n: int, width
     pixels = cells.withColumn("py", covered("y")).withColumn("px", covered("x"))
     nearest = [F.min("z").alias("z"), *[F.min_by(v, "z").alias(v) for v in values]]
     return pixels.groupBy(view, "py", "px").agg(*nearest)
+
+
+#: Cells whose center is no further in front of the camera are not drawn (fixed value).
+NEAR = 0.2
+
+
+def _unit(v: Sequence[Column]) -> list[Column]:
+    length = F.sqrt(dot(v, v))
+    return [c / length for c in v]
+
+
+def look_at(cameras: DataFrame, target: Sequence[Column], up: Sequence[float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """Cameras at px, py, pz with the unit vectors r* (right), d* (down) and f* (forward) of a view towards ``target``."""
+    ahead = cameras.withColumns({f"f{a}": c for a, c in zip(AXES, _unit(minus(target, [F.col(f"p{a}") for a in AXES])))})
+    forward = [F.col(f"f{a}") for a in AXES]
+    sided = ahead.withColumns({f"r{a}": c for a, c in zip(AXES, _unit(cross(forward, [F.lit(u) for u in up])))})
+    return sided.withColumns({f"d{a}": c for a, c in zip(AXES, cross(forward, [F.col(f"r{a}") for a in AXES]))})
+
+
+def project_cells(cells: DataFrame, cameras: DataFrame, view: str, item: str, edge: float, width: int, height: int) -> DataFrame:
+    """Pixel ranges x0..x1, y0..y1 (ends exclusive) that may see each cell, and its depth, with all columns of cell and camera.
+
+    ``cells`` has the center x, y, z; ``cameras`` one row per view with position, axes (see ``look_at``) and ``focal`` in pixels. The eight corners
+    of a cell are projected; a cell that reaches behind the camera may be anywhere in the image. Cells nearer than ``NEAR`` and
+    those outside the image have no row.
+    """
+    seen = cells.join(cameras, view)
+    d = [F.col(a) - F.col(f"p{a}") for a in AXES]
+    seen = seen.withColumns({f"_{n}": dot(d, [F.col(f"{n}{a}") for a in AXES]) for n in "rdf"}).filter(F.col("_f") > NEAR)
+    half = edge / 2
+    behind = F.col("_f") - half * (F.abs("fx") + F.abs("fy") + F.abs("fz")) < 1e-6
+    signs = [(i, j, k) for i in (-half, half) for j in (-half, half) for k in (-half, half)]
+
+    def moved(n: str, s: Sequence[float]) -> Column:
+        return F.col(f"_{n}") + sum((F.col(f"{n}{a}") * o for a, o in zip(AXES, s)), F.lit(0.0))
+
+    bounds = {}
+    for n, axis, size in (("r", "x", width), ("d", "y", height)):
+        at = [F.col("focal") * moved(n, s) / F.greatest(moved("f", s), F.lit(1e-9)) + (size / 2 - 0.5) for s in signs]
+        low, high = F.greatest(F.floor(F.least(*at)), F.lit(0)), F.least(F.ceil(F.greatest(*at)) + 1, F.lit(size))
+        bounds[f"{axis}0"] = F.when(behind, 0).otherwise(low).cast("int")
+        bounds[f"{axis}1"] = F.when(behind, size).otherwise(high).cast("int")
+    return seen.withColumns(bounds).filter("x0 < x1 and y0 < y1").withColumn("depth", F.col("_f")).drop("_r", "_d", "_f")
+
+
+def camera_hits(projected: DataFrame, view: str, item: str, edge: float, width: int, height: int) -> DataFrame:
+    """(view, py, px, item, depth, distance): for every pixel the first cell by depth of its center that the ray through the pixel's middle meets.
+
+    ``projected`` comes from ``project_cells``; a ray is tested against the cells whose range holds its pixel. ``distance`` is where
+    the ray enters the cell, 0 from inside. Pixels without a hit have no row. Hits are combined before they are shuffled, so a view may hold any share
+    of the cells.
+    """
+    pixels = projected.withColumn("_v", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("_u", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    across, down = (F.col("_u") + (0.5 - width / 2)) / F.col("focal"), (F.col("_v") + (0.5 - height / 2)) / F.col("focal")
+    ray = _unit([F.col(f"f{a}") + across * F.col(f"r{a}") + down * F.col(f"d{a}") for a in AXES])
+    pixels = pixels.withColumns({f"_{a}": F.when(F.abs(c) < 1e-12, 1e-12).otherwise(c) for a, c in zip(AXES, ray)})
+    near, far = ([(F.col(a) + s * edge / 2 - F.col(f"p{a}")) / F.col(f"_{a}") for a in AXES] for s in (-1, 1))
+    enter = F.greatest(F.lit(0.0), *[F.least(a, b) for a, b in zip(near, far)])
+    leave = F.least(*[F.greatest(a, b) for a, b in zip(near, far)])
+    met = pixels.withColumns({"_in": enter, "_out": leave}).filter("_out > _in")
+    first = met.groupBy(view, F.col("_v").alias("py"), F.col("_u").alias("px")).agg(F.min(F.struct("depth", item, F.col("_in").alias("distance"))).alias("_h"))
+    return first.select(view, "py", "px", f"_h.{item}", "_h.depth", "_h.distance")

@@ -354,6 +354,34 @@ def quad_midpoints(spark, d):
     return mid.select("batch", "axis", *[F.col(f"k{a}").alias(a) for a in "xyz"], *[F.round(a, 6).alias(f"m{a}") for a in "xyz"])
 
 
+TRAINING_SQL = f"""n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY x, y, z) - 1 AS number FROM cells), {DUAL_SQL.replace(VERTEX, "number").replace("FROM cells)", "FROM n)")},
+  sizes AS (SELECT batch, count(*) AS n FROM cells GROUP BY batch),
+  k AS (SELECT q.*, s.n + row_number() OVER (PARTITION BY batch ORDER BY x, y, z, axis) - 1 AS mid FROM quads q JOIN sizes s USING (batch))"""
+
+
+@query(
+    "training_triangles",
+    "G5",
+    with_cells(f", {TRAINING_SQL} " + " UNION ALL ".join(f"SELECT batch, c{i}.id AS v0, c{(i + 1) % 4}.id AS v1, mid AS v2 FROM k" for i in range(4))),
+)
+def training_triangles(spark, d):
+    """Four triangles around each quad's middle vertex, whose numbers follow those of the cells."""
+    return M.training_mesh(dual_vertices(spark, d).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})[1]
+
+
+@query(
+    "training_vertices",
+    "G5",
+    with_cells(
+        f""", {TRAINING_SQL} SELECT batch, p.id AS id, {', '.join(f'round(p.{a}, 6) AS {a}' for a in 'xyz')} FROM c2
+        UNION ALL SELECT batch, mid, {', '.join(f'round((c0.w * c2.w * (c0.{a} + c2.{a}) / 2 + c1.w * c3.w * (c1.{a} + c3.{a}) / 2) / (c0.w * c2.w + c1.w * c3.w), 6)' for a in 'xyz')} FROM k"""
+    ),
+)
+def training_vertices(spark, d):
+    vertices, _ = M.training_mesh(dual_vertices(spark, d).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})
+    return vertices.select("batch", "id", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
 # textures: every vector is an 8 x 8 image of bytes
 TEXEL_SQL = """texel0 AS (SELECT vec_id AS tex, CAST((i - 1) % 8 AS INTEGER) AS tx, CAST((i - 1) // 8 AS INTEGER) AS ty,
   CAST(floor(greatest(least(CAST(embedding[i] AS DOUBLE) + 0.5, 1), 0) * 255) AS INTEGER) AS r FROM embeddings, range(1, 65) q(i))"""
@@ -561,7 +589,9 @@ def tile_overlaps(spark, d):
 @query(
     "tile_ranges",
     "W8",
-    f"""WITH {TILES_SQL} SELECT view_, CAST(tile AS INTEGER) AS tile, count(*) AS len, min(depth) AS nearest FROM t GROUP BY 1, 2""",
+    f"""WITH {TILES_SQL} SELECT *, start + len AS stop FROM (
+      SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY view_ ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (
+        SELECT view_, CAST(tile AS INTEGER) AS tile, count(*) AS len, min(depth) AS nearest FROM t GROUP BY 1, 2))""",
 )
 def tile_ranges(spark, d):
     return raster.tile_ranges(tile_overlaps(spark, d), "view_")
@@ -577,3 +607,82 @@ def tile_ranges(spark, d):
 )
 def first_hits(spark, d):
     return raster.first_hits(cells(spark, d), "batch", ["qty"], 64, 128)
+
+
+WIDE, HIGH, TILE = 40, 24, 8
+
+
+def _cameras(spark, d):
+    """A camera per batch, some of them among the cells."""
+    at = cells(spark, d).select("batch").distinct().select(
+        "batch", F.expr("-30D + 25 * (batch % 3)").alias("px"), F.expr("-20D + 7 * (batch % 5)").alias("py"), F.expr("2.5D + 9 * (batch % 2)").alias("pz"), F.lit(32.0).alias("focal"),
+    )
+    return raster.look_at(at, [F.lit(32.0), F.lit(30.5), F.lit(4.0)])
+
+
+def _projected(spark, d):
+    centers = cells(spark, d).select("batch", F.expr("x * 1000L + y * 10 + z").alias("item"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"])
+    return raster.project_cells(centers, _cameras(spark, d), "batch", "item", 1.0, WIDE, HIGH)
+
+
+def _dot(a: str, b: str, minus: str = "") -> str:
+    return " + ".join(f"({a}{c}{f' - {minus}{c}' if minus else ''}) * {b}{c}" for c in "xyz")
+
+
+CAMERA_SQL = f"""
+  c0 AS (SELECT DISTINCT batch, -30.0::DOUBLE + 25 * (batch % 3) AS px, -20.0::DOUBLE + 7 * (batch % 5) AS py, 2.5::DOUBLE + 9 * (batch % 2) AS pz FROM cells),
+  c1 AS (SELECT *, sqrt((32 - px) * (32 - px) + (30.5 - py) * (30.5 - py) + (4 - pz) * (4 - pz)) AS l FROM c0),
+  c2 AS (SELECT batch, px, py, pz, (32 - px) / l AS fx, (30.5 - py) / l AS fy, (4 - pz) / l AS fz FROM c1),
+  c3 AS (SELECT *, sqrt(fx * fx + fy * fy) AS m FROM c2),
+  c4 AS (SELECT *, fy / m AS rx, -fx / m AS ry, 0.0::DOUBLE AS rz FROM c3),
+  cameras AS (SELECT *, fy * rz - fz * ry AS dx, fz * rx - fx * rz AS dy, fx * ry - fy * rx AS dz FROM c4),
+  v AS (SELECT batch, CAST(x AS BIGINT) * 1000 + y * 10 + z AS item, x + 0.5::DOUBLE AS x, y + 0.5::DOUBLE AS y, z + 0.5::DOUBLE AS z FROM cells),
+  s AS (SELECT v.*, c.* EXCLUDE (batch), {_dot('v.', 'c.f', 'c.p')} AS depth FROM v JOIN cameras c USING (batch)),
+  s2 AS (SELECT * FROM s WHERE depth > 0.2)"""
+
+
+@query(
+    "camera_first_hits",
+    "G7 W8 F18",
+    with_cells(
+        f""", {CAMERA_SQL},
+  pix AS (SELECT batch, px, py, pz, u.i AS ix, w.i AS iy, {', '.join(f'f{a} + (u.i + 0.5 - {WIDE / 2}) / 32 * r{a} + (w.i + 0.5 - {HIGH / 2}) / 32 * d{a} AS g{a}' for a in 'xyz')} FROM cameras, range({WIDE}) u(i), range({HIGH}) w(i)),
+  unit AS (SELECT batch, ix, iy, {', '.join(f'CASE WHEN abs(g{a} / sqrt(gx * gx + gy * gy + gz * gz)) < 1e-12 THEN 1e-12 ELSE g{a} / sqrt(gx * gx + gy * gy + gz * gz) END AS q{a}' for a in 'xyz')} FROM pix),
+  t AS (SELECT s2.batch, iy, ix, item, depth, {', '.join(f'({a} - 0.5 - p{a}) / q{a} AS n{a}, ({a} + 0.5 - p{a}) / q{a} AS o{a}' for a in 'xyz')} FROM s2 JOIN unit USING (batch)),
+  h AS (SELECT batch, iy, ix, item, depth, greatest(0, {', '.join(f'least(n{a}, o{a})' for a in 'xyz')}) AS enter, least({', '.join(f'greatest(n{a}, o{a})' for a in 'xyz')}) AS leave FROM t)
+  SELECT batch, CAST(iy AS INTEGER) AS py, CAST(ix AS INTEGER) AS px, arg_min(item, (depth, item)) AS item, round(arg_min(enter, (depth, item)), 6) AS distance FROM h WHERE leave > enter GROUP BY 1, 2, 3"""
+    ),
+)
+def camera_first_hits(spark, d):
+    """First cell along the ray of every pixel of a perspective camera; the twin tests every cell against every pixel."""
+    hits = raster.camera_hits(_projected(spark, d), "batch", "item", 1.0, WIDE, HIGH)
+    return hits.select("batch", "py", "px", "item", F.round("distance", 6).alias("distance"))
+
+
+def _box_sql() -> str:
+    corners = [(i, j, k) for i in (-0.5, 0.5) for j in (-0.5, 0.5) for k in (-0.5, 0.5)]
+    values = ", ".join(f"({i}::DOUBLE, {j}::DOUBLE, {k}::DOUBLE)" for i, j, k in corners)
+    f = " + ".join(f"(s2.{a} + e.{a} - p{a}) * f{a}" for a in "xyz")
+    u, w = (f"32 * ({' + '.join(f'(s2.{a} + e.{a} - p{a}) * {n}{a}' for a in 'xyz')}) / greatest({f}, 1e-9) + {size / 2 - 0.5}" for n, size in (("r", WIDE), ("d", HIGH)))
+    return f"""
+  b AS (SELECT batch, item, depth, min({f}) < 1e-6 AS behind, min({u}) AS u0, max({u}) AS u1, min({w}) AS w0, max({w}) AS w1 FROM s2, (VALUES {values}) e(x, y, z) GROUP BY 1, 2, 3),
+  box AS (SELECT batch, item, depth, CASE WHEN behind THEN 0 ELSE greatest(floor(u0), 0) END AS x0, CASE WHEN behind THEN {WIDE} ELSE least(ceil(u1) + 1, {WIDE}) END AS x1,
+    CASE WHEN behind THEN 0 ELSE greatest(floor(w0), 0) END AS y0, CASE WHEN behind THEN {HIGH} ELSE least(ceil(w1) + 1, {HIGH}) END AS y1 FROM b),
+  t AS (SELECT batch, y.i * {WIDE // TILE} + x.i AS tile, depth FROM box, range({WIDE // TILE}) x(i), range({HIGH // TILE}) y(i)
+    WHERE x0 < x1 AND y0 < y1 AND x.i BETWEEN CAST(x0 AS BIGINT) // {TILE} AND CAST(x1 - 1 AS BIGINT) // {TILE} AND y.i BETWEEN CAST(y0 AS BIGINT) // {TILE} AND CAST(y1 - 1 AS BIGINT) // {TILE}),
+  g AS (SELECT batch, CAST(tile AS INTEGER) AS tile, count(*) AS len, min(depth) AS nearest FROM t GROUP BY 1, 2)"""
+
+
+@query(
+    "projected_tile_ranges",
+    "W8",
+    with_cells(
+        f""", {CAMERA_SQL}, {_box_sql()} SELECT batch, tile, len, round(nearest, 6) AS nearest, start, start + len AS stop FROM (
+        SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY batch ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g)"""
+    ),
+)
+def projected_tile_ranges(spark, d):
+    """Tiles of a perspective camera: where each one's items begin and end in the view's list."""
+    overlaps = raster.tile_overlaps(_projected(spark, d), TILE, WIDE, HIGH, "batch", "item")
+    ranges = raster.tile_ranges(overlaps, "batch")
+    return ranges.select("batch", "tile", "len", F.round("nearest", 6).alias("nearest"), "start", "stop")
