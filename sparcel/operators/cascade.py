@@ -25,7 +25,7 @@ def cascade_counts(df: DataFrame, steps: Sequence[Step], by: Sequence[str] = ())
 
 def cascade(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """The rows that pass every step."""
-    return df.filter(reduce(lambda a, b: a & b, [p for _, p in steps]))
+    return df.filter(reduce(lambda a, b: a & b, [p for _, p in steps], F.lit(True)))
 
 
 def pending(df: DataFrame, flags: Sequence[str]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparcel.operators.ordered import global_position
+from sparcel.operators.ordered import global_position, group_position
+from sparcel.sources.stages import Folder
 
 
 def contiguous_shards(df: DataFrame, order: Sequence[str], world: int) -> DataFrame:
@@ -20,6 +24,51 @@ def contiguous_shards(df: DataFrame, order: Sequence[str], world: int) -> DataFr
     return placed.withColumn("shard", shard).drop("_n")
 
 
+def micro_batches(df: DataFrame, batch: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """Cut every batch into ``parts`` contiguous micro-batches: part i holds positions [n*i div parts, n*(i+1) div parts).
+
+    A batch of fewer rows than parts leaves some parts without rows.
+    """
+    sizes = df.groupBy(*batch).agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({b: f"_b_{b}" for b in batch})
+    placed = group_position(df, batch, order, "pos")
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in batch])
+    part = F.expr(f"cast(((pos + 1) * {parts} - 1) div _n as int)").alias("part")
+    return placed.join(sizes, same).select(*placed.columns, part)
+
+
+@dataclass(frozen=True)
+class SamplerState:
+    """How far a sampler has come: steps of ``epoch`` that every rank has drawn."""
+
+    epoch: int = 0
+    step: int = 0
+
+
+def save_state(spark: SparkSession, folder: str, state: SamplerState) -> None:
+    """Append a state to the folder; a state that is there already is an error, so no step is counted twice."""
+    Folder(spark, folder).create(f"{state.epoch:012d}-{state.step:012d}.json", json.dumps(asdict(state)))
+
+
+def last_state(spark: SparkSession, folder: str) -> SamplerState:
+    """The newest whole state; the begin of epoch 0 where there is none. One that a crash cut short is passed over."""
+    held = Folder(spark, folder)
+    for name in reversed(held.names("")):
+        try:
+            return SamplerState(**json.loads(held.read(name)))
+        except (TypeError, ValueError):
+            continue
+    return SamplerState()
+
+
+def resumed_order(df: DataFrame, key: str, world: int, folder: str, seed: int = 0, drop_last: bool = False) -> DataFrame:
+    """What is left of the epoch that the stored state stands in; the next epoch if that one is through. Adds ``epoch``."""
+    state = last_state(df.sparkSession, folder)
+    rest = epoch_order(df, key, world, seed, state.epoch, drop_last).filter(F.col("step") >= state.step)
+    if state.step and rest.isEmpty():
+        state, rest = SamplerState(state.epoch + 1), epoch_order(df, key, world, seed, state.epoch + 1, drop_last)
+    return rest.withColumn("epoch", F.lit(state.epoch))
+
+
 def shuffle_key(key: str, seed: int, epoch: int) -> Column:
     """A reproducible pseudo-random sort key: the same in any engine with md5."""
     return F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(key).cast("string")))
@@ -111,8 +160,6 @@ def balanced_epoch(
 
 def ranked_choice(df: DataFrame, group: str, item: str, k: Column, seed: int = 0) -> DataFrame:
     """Choose ``k`` items per group without replacement, by seeded hash rank."""
-    from sparcel.operators.ordered import group_position
-
     keyed = df.withColumn(
         "_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(item).cast("string")))
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparcel.operators import cells as C
 from sparcel.operators.ordered import global_position
 from sparcel.plans.catalog import query
+from sparcel.session import staged_path
 from sparcel.tables import CELL_KEYS, CELLS_SQL, cells, load
 
 CHILD_SQL = "(x % 2 + 2 * (y % 2) + 4 * (z % 2))"
@@ -452,3 +456,32 @@ def batch_lengths(spark, d):
     """Lengths by batch, empty batches included."""
     orders = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return C.batch_lengths(orders, load(spark, d, "customer"), "c_custkey")
+
+
+@query(
+    "grid_geometry",
+    "F13 S26",
+    with_cells(
+        """, e AS (SELECT batch, max(x) AS hx, max(y) AS hy, max(z) AS hz FROM cells GROUP BY batch)
+        SELECT batch, CAST(ceil((hx + 1) / 2.5::DOUBLE) AS INTEGER) AS nx, CAST(ceil((hy + 1) / 2.5::DOUBLE) AS INTEGER) AS ny, CAST(ceil((hz + 1) / 2.5::DOUBLE) AS INTEGER) AS nz,
+          round(-(ceil((hx + 1) / 2.5::DOUBLE) * 2.5 - (hx + 1)) / 2, 9) AS x0 FROM e"""
+    ),
+)
+def grid_geometry(spark, d):
+    """Grid of whole voxels around each batch's box; the voxel size comes from a small file that all tasks share."""
+    from sparcel.functions.layout import grid_geometry as geometry
+    from sparcel.sources.files import broadcast_file
+
+    path = staged_path(spark, "side")
+    spark.range(1).select(F.lit('{"voxel_size": 2.5}').alias("value")).coalesce(1).write.text(path)
+    name = spark.read.text(path).select(F.col("_metadata.file_path")).first()[0]
+    side = broadcast_file(spark, name)
+    boxes = cells(spark, d).groupBy("batch").agg(*[F.max(a).alias(f"h{a}") for a in "xyz"])
+
+    def run(parts):
+        size = json.loads(side.value)["voxel_size"]
+        for pdf in parts:
+            found = [geometry([0.0] * 3, [r.hx + 1.0, r.hy + 1.0, r.hz + 1.0], voxel_size=size, fit=True) for r in pdf.itertuples()]
+            yield pd.DataFrame({"batch": pdf["batch"], **{f"n{a}": [g["grid_size"][i] for g in found] for i, a in enumerate("xyz")}, "x0": [round(g["lower"][0], 9) for g in found]})
+
+    return boxes.mapInPandas(run, "batch int, nx int, ny int, nz int, x0 double")

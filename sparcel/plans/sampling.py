@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from sparcel.operators.sharding import balanced_epoch, balanced_groups, epoch_order, ranked_choice
+from sparcel.operators import sharding
+from sparcel.operators.sharding import SamplerState, balanced_epoch, balanced_groups, epoch_order, ranked_choice, resumed_order, save_state
 from sparcel.plans.catalog import query
+from sparcel.session import stage, staged_path
 from sparcel.tables import load
 
 WORLD, BATCH = 4, 8
@@ -55,6 +59,38 @@ def lpt_sql(items: str, window: str, load_: str, item: str, groups: int, size: i
             FROM walk JOIN r ON r.w = walk.w AND r.k = walk.k + 1))"""
 
 
+@query(
+    "stored_sampler_state",
+    "T3 W10",
+    """WITH s AS (SELECT doc_id, e, row_number() OVER (PARTITION BY e ORDER BY md5((3 + e) || ':' || doc_id), doc_id) - 1 AS p, count(*) OVER (PARTITION BY e) AS n FROM documents, range(2) r(e)),
+    d AS (SELECT doc_id, e, p + n * k AS slot FROM s, range(7) r(k) WHERE p + n * k < (n + 6) // 7 * 7)
+    SELECT CAST(e AS INTEGER) AS epoch, CAST(slot // 7 AS BIGINT) AS step, CAST(slot % 7 AS INTEGER) AS rank, doc_id FROM d WHERE e = 0 OR slot // 7 < 3""",
+)
+def stored_sampler_state(spark, d):
+    """An epoch in runs that stop after steps 4 and 9, each resumed from the stored state, to its end and three steps of the next."""
+    docs, folder, runs = load(spark, d, "documents").select("doc_id"), staged_path(spark, "sampler"), []
+    last = None
+    for stop in (4, 9, None, 3):
+        order = resumed_order(docs, "doc_id", 7, folder, seed=3)
+        run = stage(order.filter(F.col("step") < stop) if stop else order, "run")
+        last = run.agg(F.max(F.struct("epoch", "step")).alias("at")).first().at
+        save_state(spark, folder, SamplerState(last.epoch, last.step + 1))
+        runs.append(run)
+    return reduce(lambda a, b: a.unionByName(b), runs).select("epoch", "step", "rank", "doc_id")
+
+
+@query(
+    "micro_batches",
+    "W12",
+    """WITH p AS (SELECT doc_id // 48 AS batch, doc_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY doc_id // 48) AS n FROM documents WINDOW w AS (PARTITION BY doc_id // 48 ORDER BY n_chars DESC, doc_id))
+    SELECT batch, doc_id, pos, CAST(i AS INTEGER) AS part FROM p, range(5) r(i) WHERE pos >= n * i // 5 AND pos < n * (i + 1) // 5""",
+)
+def micro_batches(spark, d):
+    """Batches of 48 documents cut into five contiguous micro-batches."""
+    docs = load(spark, d, "documents").select(F.expr("doc_id div 48").alias("batch"), "doc_id", (-F.col("n_chars")).alias("key"))
+    return sharding.micro_batches(docs, ["batch"], ["key", "doc_id"], 5).select("batch", "doc_id", "pos", "part")
+
+
 @query(
     "balanced_groups",
     "W9 W12",

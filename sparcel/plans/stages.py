@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparcel.functions.nulls import is_true, not_true
-from sparcel.operators.instances import map_instances, open_dataset, split_results, worklist
+from sparcel.operators.instances import map_instances, open_dataset, open_roots, split_results, worklist
 from sparcel.operators.mesh import flatten_objects
 from sparcel.plans.catalog import query
 from sparcel.session import staged_path
-from sparcel.sources import catalogue, dumps
+from sparcel.sources import catalogue, dumps, stages
 from sparcel.tables import load
 
 
@@ -97,12 +100,11 @@ DATASET_SQL = """t AS (SELECT 'documents' AS dataset, d.doc_id, d.n_chars, CAST(
   UNION ALL SELECT 'conversations', conv_id, CAST(sum(length(text)) AS BIGINT), NULL, NULL FROM conversations GROUP BY conv_id)"""
 
 
-@query(
-    "dataset_counts",
-    "S7 J2 U1 P9 A3 M4",
-    f"""WITH {DATASET_SQL} SELECT dataset, count(*) AS total, count(*) FILTER (WHERE n_chars <= 4000) AS sized,
-    count(*) FILTER (WHERE n_chars <= 4000 AND flagged IS DISTINCT FROM TRUE) AS clean, count(*) FILTER (WHERE n_chars <= 4000 AND flagged IS DISTINCT FROM TRUE AND score >= 1) AS scored FROM t GROUP BY dataset""",
-)
+COUNTS_SQL = f"""WITH {DATASET_SQL} SELECT dataset, count(*) AS total, count(*) FILTER (WHERE n_chars <= 4000) AS sized,
+    count(*) FILTER (WHERE n_chars <= 4000 AND flagged IS DISTINCT FROM TRUE) AS clean, count(*) FILTER (WHERE n_chars <= 4000 AND flagged IS DISTINCT FROM TRUE AND score >= 1) AS scored FROM t GROUP BY dataset"""
+
+
+@query("dataset_counts", "S7 J2 U1 P9 A3 M4", COUNTS_SQL)
 def dataset_counts(spark, d):
     return open_dataset(dataset_roots(spark, d), "doc_id", steps())[1]
 
@@ -116,16 +118,12 @@ def dataset_instances(spark, d):
     return open_dataset(dataset_roots(spark, d), "doc_id", steps()[:2])[0].select("dataset", "doc_id", "n_chars")
 
 
-def nested_dumps(spark, d):
-    """Mesh dumps of at most 64 objects each: a customer's orders within one range of order keys."""
+def dumped_objects(spark, d):
+    """A customer's orders as the objects of one asset."""
     points = "transform(if(o_orderkey % 11 > 0, sequence(1, o_orderkey % 11), array()), i -> named_struct('x', cast(i as double), 'y', 0D, 'z', 0D))"
     faces = "transform(if(o_orderkey % 5 > 0, sequence(1, o_orderkey % 5), array()), i -> named_struct('v0', 0, 'v1', 1, 'v2', cast(i as int)))"
-    asset = F.concat_ws("-", "o_custkey", F.expr("o_orderkey div 64")).alias("asset")
-    objects = load(spark, d, "orders").select(asset, F.expr(f"named_struct('id', o_orderkey, 'vertices', {points}, 'faces', {faces})").alias("o"))
-    dumped = objects.groupBy("asset").agg(F.sort_array(F.collect_list("o")).alias("o"))
-    return dumped.select(
-        "asset",
-        F.transform("o", lambda o: F.struct(o["vertices"].alias("vertices"), o["faces"].alias("faces"))).alias("objects"),
+    return load(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("asset"), F.col("o_orderkey").alias("obj"), F.expr(points).alias("vertices"), F.expr(faces).alias("faces"),
     )
 
 
@@ -133,28 +131,92 @@ def nested_dumps(spark, d):
     "dump_stats",
     "S18 M11 A4 P13",
     """
-    SELECT o_custkey || '-' || (o_orderkey // 64) AS asset, CAST(coalesce(sum(o_orderkey % 11) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_vertices,
+    SELECT CAST(o_custkey AS VARCHAR) AS asset, CAST(coalesce(sum(o_orderkey % 11) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_vertices,
            CAST(coalesce(sum(o_orderkey % 5) FILTER (WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0), 0) AS BIGINT) AS num_faces, CAST(NULL AS INTEGER) AS num_alpha_tex
     FROM orders GROUP BY 1
     """,
 )
 def dump_stats(spark, d):
+    """Whole assets, kept as a row per object."""
     path = staged_path(spark, "dumps")
-    nested_dumps(spark, d).write.parquet(path)
-    return dumps.dump_stats(dumps.read_dumps(spark, path)).select("asset", "num_vertices", "num_faces", "num_alpha_tex")
+    dumped_objects(spark, d).write.parquet(path)
+    objects = spark.read.schema(dumps.OBJECT_ROWS).parquet(path)
+    return dumps.object_stats(objects).select("asset", "num_vertices", "num_faces", "num_alpha_tex")
 
 
 @query(
     "dump_objects",
     "S18 M11 G3",
     """
-    WITH o AS (SELECT o_custkey || '-' || (o_orderkey // 64) AS asset, o_orderkey, CAST(o_orderkey % 11 AS BIGINT) AS nv, CAST(o_orderkey % 5 AS BIGINT) AS nf FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0),
+    WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS asset, o_orderkey, CAST(o_orderkey % 11 AS BIGINT) AS nv, CAST(o_orderkey % 5 AS BIGINT) AS nf FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 > 0),
     p AS (SELECT *, CAST(sum(nv) OVER w AS BIGINT) - nv AS voff, CAST(sum(nf) OVER w AS BIGINT) - nf AS foff FROM o WINDOW w AS (PARTITION BY asset ORDER BY o_orderkey))
     SELECT asset, CAST(foff + i AS BIGINT) AS fid, voff AS v0, voff + 1 AS v1, CAST(voff + i + 1 AS BIGINT) AS v2 FROM p, range(0, 5) r(i) WHERE i < nf
     """,
 )
 def dump_objects(spark, d):
     path = staged_path(spark, "dumps")
-    nested_dumps(spark, d).write.parquet(path)
-    _, faces = flatten_objects(dumps.object_rows(dumps.read_dumps(spark, path)), "asset", "obj")
+    dumped_objects(spark, d).write.parquet(path)
+    _, faces = flatten_objects(spark.read.schema(dumps.OBJECT_ROWS).parquet(path), "asset", "obj")
     return faces
+
+
+@query(
+    "pbr_dump_stats",
+    "S18 M11 A4",
+    """
+    SELECT CAST(l_orderkey AS VARCHAR) AS asset, CAST(sum(CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber + 2 ELSE 0 END) AS BIGINT) AS num_vertices, CAST(sum(CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber ELSE 0 END) AS BIGINT) AS num_faces,
+      CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS INTEGER) AS num_base_color_tex, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS INTEGER) AS num_metallic_tex, CAST(count(*) FILTER (WHERE l_discount > 0.05) AS INTEGER) AS num_roughness_tex,
+      0::INTEGER AS num_alpha_tex
+    FROM lineitem GROUP BY l_orderkey
+    """,
+)
+def pbr_dump_stats(spark, d):
+    """PBR dumps written with their materials, read with their schema, and counted by rows of objects and of materials."""
+    path = staged_path(spark, "pbr")
+    image = "named_struct('image', unhex('00'), 'interpolation', 'Linear', 'extension', 'REPEAT')"
+
+    def texture(name, condition):
+        return F.expr(f"if({condition}, {image}, null)").alias(f"{name}_texture")
+
+    factors = [F.array(*[F.lit(1.0)] * 3).alias("base_color_factor"), *[F.lit(0.5).alias(f"{n}_factor") for n in ("metallic", "roughness", "alpha")], F.lit("OPAQUE").alias("alpha_mode"), F.lit(0.5).alias("alpha_cutoff")]
+    material = F.struct(*factors, texture("base_color", "l_returnflag = 'R'"), texture("metallic", "l_linestatus = 'O'"), texture("roughness", "l_discount > 0.05"), texture("alpha", "false"))
+    points = "transform(sequence(1, l_linenumber + 2), i -> named_struct('x', cast(i as double), 'y', 0D, 'z', 0D))"
+    faces = "transform(if(l_linenumber % 3 > 0, sequence(1, l_linenumber), array()), i -> named_struct('v0', 0, 'v1', cast(i as int), 'v2', cast(i + 1 as int)))"
+    body = F.expr(f"named_struct('vertices', {points}, 'faces', {faces}, 'normals', array(), 'uvs', array(), 'mat_ids', array())")
+    items = load(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("asset"), material.alias("m"), body.alias("o"))
+    dumps.write_dumps(items.groupBy("asset").agg(F.collect_list("m").alias("materials"), F.collect_list("o").alias("objects")), path, materials=True)
+    read = dumps.read_dumps(spark, path, materials=True)
+    return dumps.object_stats(dumps.object_rows(read), dumps.material_rows(read))
+
+
+def _configured(spark, d):
+    """Folders of two datasets: a published stage table, its labels as CSV, and a CSV of its own columns."""
+    root = staged_path(spark, "roots")
+    for name, tables in dataset_roots(spark, d).items():
+        for role, table in zip(("base", "score", "flags"), tables):
+            if role == "base":
+                rows = table.select("doc_id", "n_chars", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flagged"), F.struct(F.lit(1).alias("at")).alias("_seq"))
+                stages.merge_records(rows, f"{root}/{name}/{role}", ["doc_id"], "_seq")
+            else:
+                table.write.option("header", True).csv(f"{root}/{name}/{role}/metadata.csv")
+    return root
+
+
+CONFIG = T.StructType().add("doc_id", "long").add("n_chars", "long").add("score", "double").add("flagged", "boolean")
+
+
+@query("configured_counts", "S7 J2 U1 P9 A3 M4", COUNTS_SQL)
+def configured_counts(spark, d):
+    """Datasets opened from a JSON configuration of folders."""
+    root = _configured(spark, d)
+    config = {"documents": {r: f"{root}/documents/{r}" for r in ("base", "score", "flags")}, "conversations": {"base": f"{root}/conversations/base"}}
+    return open_roots(spark, json.dumps(config), CONFIG, "doc_id", steps())[1]
+
+
+@query("listed_instances", "S7 U1 P9", "SELECT 'documents' AS dataset, doc_id, n_chars FROM documents WHERE n_chars <= 4000 UNION ALL SELECT 'conversations', conv_id, CAST(sum(length(text)) AS BIGINT) FROM conversations GROUP BY conv_id HAVING sum(length(text)) <= 4000")
+def listed_instances(spark, d):
+    """Datasets opened from a comma list of folders, named by their last part."""
+    root = staged_path(spark, "listed")
+    for name, tables in dataset_roots(spark, d).items():
+        tables[0].select("doc_id", "n_chars").write.option("header", True).csv(f"{root}/{name}/metadata.csv")
+    return open_roots(spark, f"{root}/documents, {root}/conversations/", CONFIG, "doc_id", steps()[:1])[0].select("dataset", "doc_id", "n_chars")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POINT = "array<struct<x:double,y:double,z:double>>"
 _FACE = "array<struct<v0:int,v1:int,v2:int>>"
 _TEXTURE = "struct<image:binary,interpolation:string,extension:string>"
 
+TEXTURES = ("base_color", "metallic", "roughness", "alpha")
+
 MESH_DUMP = f"asset string, objects array<struct<vertices:{_POINT},faces:{_FACE}>>"
 PBR_DUMP = (
     "asset string, "
@@ -28,11 +31,41 @@ def read_dumps(spark: SparkSession, path: str, materials: bool = False) -> DataF
     return spark.read.schema(PBR_DUMP if materials else MESH_DUMP).parquet(path)
 
 
+def write_dumps(dumps: DataFrame, path: str, materials: bool = False) -> None:
+    """Dumps as parquet, every column in the type that readers expect."""
+    schema = T.StructType.fromDDL(PBR_DUMP if materials else MESH_DUMP)
+    dumps.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+
+
 def object_rows(dumps: DataFrame) -> DataFrame:
     """One row per object of every dump, in its order."""
     return dumps.select("asset", F.posexplode("objects").alias("obj", "o")).select("asset", "obj", "o.*")
 
 
+#: Dumps by object: one row per object, however many an asset has.
+OBJECT_ROWS = f"asset string, obj bigint, vertices {_POINT}, faces {_FACE}"
+
+
+def object_stats(objects: DataFrame, materials: DataFrame | None = None) -> DataFrame:
+    """As ``dump_stats`` from object rows (asset, obj, vertices, faces) and material rows (asset, with the texture columns).
+
+    Counts are added up before they are shuffled, so an asset may have any number of objects.
+    """
+    filled = (F.size("vertices") > 0) & (F.size("faces") > 0)
+    sums = {n: F.coalesce(F.sum(F.when(filled, F.size(c).cast("bigint"))), F.lit(0)).alias(n) for n, c in (("num_vertices", "vertices"), ("num_faces", "faces"))}
+    stats = objects.groupBy("asset").agg(*sums.values())
+    names = [f"num_{t}_tex" for t in TEXTURES]
+    if materials is None:
+        return stats.select("*", *[F.lit(None).cast("int").alias(n) for n in names])
+    textures = materials.groupBy("asset").agg(*[F.count(f"{t}_texture").cast("int").alias(n) for t, n in zip(TEXTURES, names)])
+    return stats.join(textures, "asset", "left").fillna(0, subset=names)
+
+
+def material_rows(dumps: DataFrame) -> DataFrame:
+    """One row per material of every PBR dump, in its order."""
+    return dumps.select("asset", F.posexplode("materials").alias("mat", "m")).select("asset", "mat", "m.*")
+
+
 def dump_stats(dumps: DataFrame) -> DataFrame:
     """Vertex, face and texture counts per dump, objects without vertices or faces left out.
 
@@ -43,7 +76,7 @@ def dump_stats(dumps: DataFrame) -> DataFrame:
         "num_vertices": F.aggregate(filled, F.lit(0).cast("bigint"), lambda s, o: s + F.size(o["vertices"])),
         "num_faces": F.aggregate(filled, F.lit(0).cast("bigint"), lambda s, o: s + F.size(o["faces"])),
     }
-    for name in ("base_color", "metallic", "roughness", "alpha"):
+    for name in TEXTURES:
         column = f"num_{name}_tex"
         if "materials" in dumps.columns:
             out[column] = F.size(F.filter("materials", lambda m: m[f"{name}_texture"].isNotNull()))

@@ -466,3 +466,66 @@ def test_running_takes_one_exchange(spark, monkeypatch):
     finally:
         ordered.stage = keep
     assert made[0].count("Exchange") == 1 and "Exchange" not in after._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sampler_state_is_stored_once(spark, tmp_path):
+    from sparcel.operators.sharding import SamplerState, last_state, resumed_order, save_state
+    from sparcel.sources.stages import Folder
+
+    folder = str(tmp_path / "state")
+    docs = spark.range(20)
+    assert last_state(spark, folder) == SamplerState()
+    whole = {(r.step, r["rank"]): r.id for r in epoch_order(docs, "id", 3, 1, 0).collect()}
+    save_state(spark, folder, SamplerState(0, 5))
+    with pytest.raises(Exception, match="exists"):
+        save_state(spark, folder, SamplerState(0, 5))
+    rest = {(r.step, r["rank"]): r.id for r in resumed_order(docs, "id", 3, folder, seed=1).collect()}
+    assert rest == {k: v for k, v in whole.items() if k[0] >= 5} and len(rest) == 6
+    Folder(spark, folder).create(f"{0:012d}-{6:012d}.json", '{"epoch": 0,')  # cut short
+    assert last_state(spark, folder) == SamplerState(0, 5)
+    save_state(spark, folder, SamplerState(0, 7))
+    after = resumed_order(docs, "id", 3, folder, seed=1)
+    assert after.count() == 21 and {r.epoch for r in after.collect()} == {1}
+
+
+def test_micro_batches_of_few_rows(spark):
+    from sparcel.operators.sharding import micro_batches
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), *[("b", i) for i in range(7)]], "g string, i int")
+    found = {}
+    for r in micro_batches(df, ["g"], ["i"], 3).collect():
+        found.setdefault((r.g, r.part), []).append(r.i)
+    assert {k: sorted(v) for k, v in found.items()} == {(None, 1): [1], (None, 2): [2], ("a", 2): [3], ("b", 0): [0, 1], ("b", 1): [2, 3], ("b", 2): [4, 5, 6]}
+
+
+def test_open_roots_reads_what_is_there(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sparcel.operators.instances import open_roots
+
+    schema = T.StructType().add("k", "string").add("a", "double").add("b", "long")
+    for name, text in {"one": "k,a\nx,1\ny,\n", "two": "b,k,other\n5,x,q\nbad,y,q\n", "three": "a\n1\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.csv").write_text(text)
+    config = f'{{"both": {{"r": "{tmp_path}/one", "s": "{tmp_path}/two"}}}}'
+    kept, counts = open_roots(spark, config, schema, "k", [("has_b", F.col("b").isNotNull())])
+    assert [(r.dataset, r.k, r.a, r.b) for r in kept.collect()] == [("both", "x", 1.0, 5)]
+    assert [(r.total, r.has_b) for r in counts.collect()] == [(2, 1)]
+    kept, _ = open_roots(spark, f"{tmp_path}/one, {tmp_path}/two/", schema, "k", [])
+    assert sorted((r.dataset, r.k) for r in kept.collect()) == [("one", "x"), ("one", "y"), ("two", "x"), ("two", "y")]
+    with pytest.raises(ValueError, match="no column k"):
+        open_roots(spark, f"{tmp_path}/three", schema, "k", [])
+    with pytest.raises(ValueError, match="same name"):
+        open_roots(spark, f"{tmp_path}/one,{tmp_path}/one", schema, "k", [])
+
+
+def test_camera_inside_a_cell_and_behind(spark):
+    from sparcel.operators import raster
+
+    cells = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.4), (0, 2, 0.0, 0.0, 5.0), (0, 3, 0.0, 0.0, -5.0), (0, 4, 90.0, 0.0, 1.0)], "v int, item int, x double, y double, z double")
+    cameras = raster.look_at(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 8.0)], "v int, px double, py double, pz double, focal double"), [F.lit(0.0), F.lit(0.0), F.lit(9.0)], (0.0, 1.0, 0.0))
+    seen = raster.project_cells(cells, cameras, "v", "item", 1.0, 6, 4)
+    boxes = {r.item: (r.x0, r.x1, r.y0, r.y1) for r in seen.collect()}
+    assert boxes[1] == (0, 6, 0, 4) and set(boxes) == {1, 2}  # one reaches behind the camera; one is behind, one outside
+    hits = {(r.px, r.py): (r.item, r.distance) for r in raster.camera_hits(seen, "v", "item", 1.0, 6, 4).collect()}
+    assert len(hits) == 24 and set(hits.values()) == {(1, 0.0)}
