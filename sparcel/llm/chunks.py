@@ -1,7 +1,7 @@
 """Token ids of many texts at once: texts are cut where every tokenizer must cut, each distinct chunk is encoded once.
 
 A chunk begins at a space between a character that is no space and one that is no white space, or at the text's
-begin, where a space is put before the text. Byte-level and word tokenizers begin a new word there, and a
+begin, where a space may be put before the text. Byte-level and word tokenizers begin a new word there, and a
 vocabulary without a piece that holds a space behind another character can't merge across it, so the ids of a text
 are those of its chunks in order. Arrow finds the distinct chunks of a batch; a bounded cache keeps their ids.
 """
@@ -29,9 +29,11 @@ _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[*range(0x09, 0x0E), 0x20, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the texts, each but the empty ones with a space put before it."""
+def spaced(column: pa.Array, lead: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts, with ``lead`` each but the empty ones with a space put before it."""
     buf, bounds = text_bytes(column)
+    if not lead:
+        return buf, bounds
     size = np.diff(bounds)
     starts = np.concatenate(([0], np.cumsum(size + (size > 0))))
     out = np.empty(starts[-1], np.uint8)
@@ -98,9 +100,9 @@ class ChunkEncoder:
         return self.flat[ragged(self.first[slot], size)], size
 
 
-def chunked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
-    """(bytes with spaces put before, first byte of each text, first chunk of each text, chunks) of a string column."""
-    buf, starts = spaced(column)
+def chunked(column: pa.Array, lead: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(bytes, with ``lead`` with spaces put before, first byte of each text, first chunk of each text, chunks) of a string column."""
+    buf, starts = spaced(column, lead)
     at = cuts(buf, starts)
     bounds = np.append(at, len(buf)).astype(np.int32)
     chunks = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(buf)])
@@ -115,11 +117,12 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 #: Characters whose class, case and normal form are the same in every library: ASCII and the Latin letters up to U+017F.
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 _common = re.compile(f"[\\x00-\\x7f{_LATIN}]*").fullmatch
+#: The same behind one space and no more white space: such chunks may stand behind any other.
+_joinable = re.compile(f" [!-~{_LATIN}][\\x00-\\x7f{_LATIN}]*").fullmatch
 
 
-def _apart(chunks: list[str], common: Asked, other: Asked) -> tuple[np.ndarray, np.ndarray]:
-    """Common chunks by ``common``, the rest by ``other``."""
-    plain = [_common(c) is not None for c in chunks]
+def _apart(chunks: list[str], plain: list[bool], common: Asked, other: Asked) -> tuple[np.ndarray, np.ndarray]:
+    """Plain chunks by ``common``, the rest by ``other``."""
     ids, size = common([c for c, p in zip(chunks, plain) if p])
     if all(plain):
         return ids, size
@@ -156,8 +159,8 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 @functools.lru_cache(2)
-def byte_encoder(path: str) -> ChunkEncoder:
-    """Chunks by a byte-level tokenizer file whose ids follow the order of its merges; names of special tokens are plain text.
+def byte_encoder(path: str, plain: bool = True) -> ChunkEncoder:
+    """Chunks by a byte-level tokenizer file whose ids follow the order of its merges; with ``plain`` names of special tokens are plain text.
 
     Chunks of common characters are joined and encoded by tiktoken at once: a byte-level text gives back its bytes, so
     the tokens' lengths tell where chunks end. Others go through the tokenizers library.
@@ -166,8 +169,8 @@ def byte_encoder(path: str) -> ChunkEncoder:
     import tiktoken
 
     names = token_bytes(path)
-    _, other = _library(path, True)
-    special = {t["id"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+    library, other = _library(path, plain)
+    special = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
     ranks = {t: i for i, t in enumerate(names) if i not in special}
     engine = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     lengths = np.array([len(t) for t in names], np.int64)
@@ -178,7 +181,11 @@ def byte_encoder(path: str) -> ChunkEncoder:
         until = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
         return ids, np.diff(np.searchsorted(ends, until, "right"), prepend=0)
 
-    return ChunkEncoder(lambda chunks: _apart(chunks, common, other))
+    def ask(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joinable = [_joinable(c) is not None and (plain or not any(s in c for s in special.values())) for c in chunks]
+        return _apart(chunks, joinable, common, other)
+
+    return ChunkEncoder(ask)
 
 
 @functools.lru_cache(2)
@@ -204,7 +211,7 @@ def word_encoder(path: str) -> ChunkEncoder:
         return np.frombuffer(join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     assert all("<|" in t for t in special), "special tokens begin with <|"
-    return ChunkEncoder(lambda chunks: _apart(chunks, common, other))
+    return ChunkEncoder(lambda chunks: _apart(chunks, [_common(c) is not None for c in chunks], common, other))
 
 
 @functools.lru_cache(2)

@@ -13,24 +13,20 @@ finished task returned are listed, so a task that ran twice or was lost leaves n
 
 from __future__ import annotations
 
-import functools
 import io
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.llm import buffers
-from sparcel.llm.bpe import Cache, byte_characters
-from sparcel.llm.unicode import char_classes
+from sparcel.llm.chunks import byte_encoder, chunked
 from sparcel.session import stage, staged_path
+from sparcel.sources.files import filesystem, qualified
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1 << 16
@@ -174,64 +170,6 @@ def read_tokens(source) -> Iterator[tuple[int | None, list[np.ndarray]]]:
         yield doc_id, pieces
 
 
-class ByteEncoder:
-    """Ids of texts by the tokenizers library, whose model sees each distinct word once while it is remembered.
-
-    A space before something that is no white space always begins a new word that no merge crosses, so a
-    text is the sequence of the stretches between such spaces. Texts with the name of a special token, and
-    stretches with letters beyond Latin, go through the whole library; longer runs of white space are split by
-    the pattern alone.
-    """
-
-    def __init__(self, path: str, cached: int = 800_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        c = char_classes()
-        # the vocabulary's pre-tokenizer (fixed values), the commonest form first
-        self.words = re.compile(f" ?[{c['L']}]+| ?[{c['N']}]+|'(?:[stmd]|re|ve|ll)| ?[^{c['S']}{c['L']}{c['N']}]+|[{c['S']}]+(?![^{c['S']}])|[{c['S']}]+").findall
-        self.odd = re.compile(r" (?=\s)").search
-        self.model = self.library.model
-        self.shown = dict(enumerate(byte_characters()))
-        self.pieces = Cache(self._piece, cached)
-        self.firsts, self.chunks = Cache(self._chunk, cached // 8), Cache(lambda rest: self._chunk(" " + rest), cached)
-
-    def _ask(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        # letters beyond Latin are left to the library's own tables
-        if not chunk.isascii() and max(chunk) >= "ɐ":
-            return self._ask(chunk)
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            return self.pieces[chunk]
-        return b"".join(map(self.pieces.__getitem__, self.words(chunk)))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if any(t in text for t in self.special):
-            return np.frombuffer(self._ask(text), "<u4")
-        if self.odd(text) or text[-1] == " ":
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.words(text))) if text.isascii() or max(text) < "ɐ" else self._ask(text), "<u4")
-        first, _, rest = text.partition(" ")
-        ids = self.firsts[first] if first else b""
-        return np.frombuffer(ids + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest else ids, "<u4")
-
-
-@functools.lru_cache(2)
-def encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
-
-
-def _open(path: str):
-    return pa.fs.FileSystem.from_uri(path)
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, files: int | None = None) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in ascending order of doc_id; one row per file: path, part, first_id, n_ids, n_docs.
 
@@ -241,25 +179,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     """
     spark = docs.sparkSession
     buffers.bounded_batches(spark)
-    folder = folder or staged_path(spark, "tokens")
+    folder = qualified(spark, folder or staged_path(spark, "tokens"))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         writer = sink = None
-        encode = encoder(tokenizer).encode
-        end = np.array([end_id], np.uint64)
+        encoder = byte_encoder(tokenizer, plain=False)
         for batch in batches:
             for piece in buffers.pieces(batch):
                 if writer is None:
                     part, name = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.s8b"
-                    system, inner = _open(name)
+                    system, inner = filesystem(name)
                     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                     sink = system.open_output_stream(inner)
                     writer = TokenWriter(sink)
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    writer.add(doc_id, np.concatenate((encode(text), end)))
+                _, _, first_chunk, chunks = chunked(piece.column(1), lead=False)
+                ids, size = encoder.encode(chunks)
+                bounds = np.concatenate(([0], np.cumsum(size)))[first_chunk]
+                ids = np.insert(ids, bounds[1:], end_id).astype(np.uint64)
+                bounds = (bounds + np.arange(len(bounds))).tolist()
+                for doc_id, a, b in zip(piece.column(0).to_pylist(), bounds, bounds[1:]):
+                    writer.add(doc_id, ids[a:b])
         if writer is not None:
             writer.close()
             sink.close()
@@ -281,7 +223,7 @@ def token_documents(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, inner = _open(path)
+                system, inner = filesystem(path)
                 rows: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
                 with system.open_input_file(inner) as source:
                     for doc_id, pieces in read_tokens(source):

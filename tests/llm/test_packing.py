@@ -17,11 +17,11 @@ WORDS, BYTES, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json",
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n a\n", "a b  c", "　x 　 y", "don't  it's 'll", "x <|endoftext|>y <|startoftext|> z",
     "É é É ́x", "ſtra İ ß ﬁ", "日本 語 テスト", "\U0001f600 a", "a\x01 b \x00 c", "\x1c a \x85 b", "▁x ▁ y", "ᾳ ǅ Σας ΣΑΣ", "1 23 4a5", "a" * 3000, "é ñ " * 900,
-    "Ɤ \U000105c1 x", "a\tb \t c",
+    "Ɤ \U000105c1 x", "a\tb \t c", "foo\n", "  a", "foo ", " \n b", "<|endoftext|> x", "x<|endoftext|>",
 ]
 
 
-@pytest.mark.parametrize("kind", ["word", "byte", "piece"])
+@pytest.mark.parametrize("kind", ["word", "byte", "bare", "piece"])
 def test_chunks_give_the_ids_of_whole_texts(kind):
     rnd = random.Random(5)
     alphabet = ["a", "B", "é", "Ñ", " ", "  ", "\n", "1", ".", "'s", "'", "-", "́", "日", "<|", "ſ", " ", "_"]
@@ -35,9 +35,9 @@ def test_chunks_give_the_ids_of_whole_texts(kind):
         library = Tokenizer.from_file(WORDS if kind == "word" else BYTES)
         library.encode_special_tokens = kind == "byte"
         want = [e.ids for e in library.encode_batch([" " + t if kind == "byte" and t else t for t in texts], add_special_tokens=False)]
-        encoder, skip = (chunks.word_encoder(WORDS) if kind == "word" else chunks.byte_encoder(BYTES)), set()
+        encoder, skip = (chunks.word_encoder(WORDS) if kind == "word" else chunks.byte_encoder(BYTES, plain=kind == "byte")), set()
     for _ in range(2):  # learnt, then remembered
-        _, _, first, found = chunks.chunked(pa.array(texts))
+        _, _, first, found = chunks.chunked(pa.array(texts), lead=kind != "bare")
         ids, size = encoder.encode(found)
         bounds = np.concatenate(([0], np.cumsum(size)))[first]
         for i, text in enumerate(texts):
