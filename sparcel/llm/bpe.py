@@ -37,6 +37,11 @@ def words_pattern() -> re.Pattern[str]:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{c['L']}]+|[{c['N']}]|[^{c['S']}{c['L']}{c['N']}]+")
 
 
+def _young(text: str) -> bool:
+    """Whether a text has characters without a class in Python's tables, which newer tables may know."""
+    return any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -103,7 +108,10 @@ class WordBpe:
         self._fits: dict[int, bool] = {}
         self._findall = words_pattern().findall
         self._words = Cache(lambda word: np.array(self.encode_word(word), "<i4").tobytes(), cached)
-        self._chunks = Cache(lambda chunk: b"".join(map(self._words.__getitem__, self._findall(chunk))), cached)
+        self._chunks = Cache(self._chunk, cached)
+        from tokenizers import Tokenizer
+
+        self._library = Tokenizer.from_file(path)
         self._split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def _edge(self, token: int, side: int, until: int) -> Iterator[tuple[int, int]]:
@@ -149,9 +157,19 @@ class WordBpe:
             n -= length[last[n]]
         return ids[::-1]
 
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and _young(chunk):
+            return np.array(self._library.encode(chunk, add_special_tokens=False).ids, "<i4").tobytes()
+        return b"".join(map(self._words.__getitem__, self._findall(chunk)))
+
     def _chunks_of(self, text: str) -> list[str]:
-        """Pieces between spaces, normalised; white space never lies inside a token."""
+        """Pieces between spaces, normalised; white space never lies inside a token.
+
+        A text with characters that Python's tables don't know yet is left as it is: the library normalises its pieces.
+        """
         if not text.isascii():
+            if _young(text):
+                return text.replace("\n", " ").split(" ")
             # the sigma at a word's end is lowered as any other
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.replace("\n", " ").lower().split(" ")

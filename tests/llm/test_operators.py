@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparcel.llm import bpe, buffers, chat, components, decontaminate, exact_dedup, near_dedup, ppm, quality, repeats, token_files, toxicity
+from sparcel.llm import bpe, buffers, chat, chunks, components, decontaminate, exact_dedup, near_dedup, ppm, quality, repeats, token_files, toxicity
 from sparcel.llm.samples import remainder
 
 SF = "/root/testdata/sf0.001"
@@ -204,12 +204,16 @@ def test_simple8b_words_by_hand():
 
 
 def test_encoder_is_the_library():
-    encoder = token_files.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), chunks.byte_encoder(path, plain=False)
     rnd = random.Random(2)
     alphabet = "abcdefghijklmnop ABC éüñ0123.,!?'’\n\t  <|> aaathe 日本²½\x1c"
-    for _ in range(3000):
-        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) + ("<|endoftext|> x" if rnd.random() < 0.05 else "")
-        assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) + ("<|endoftext|> x" if rnd.random() < 0.05 else "") for _ in range(3000)]
+    _, _, first, found = chunks.chunked(pa.array(texts), lead=False)
+    ids, size = encoder.encode(found)
+    bounds = np.concatenate(([0], np.cumsum(size)))[first]
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark, monkeypatch):
@@ -244,6 +248,15 @@ def test_bpe_is_the_library():
         assert own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_characters_younger_than_the_tables_of_python():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    young = [c for c in map(chr, [*range(0x1C80, 0x1C90), *range(0xA7C0, 0xA7E0), *range(0x105C0, 0x10600), *range(0x10D40, 0x10D90), *range(0x1CC00, 0x1CD00), *range(0x1E5D0, 0x1E600)])]
+    for c in young:
+        text = f"a{c}b {c} É{c}1{c}"
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_bpe_tables(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
