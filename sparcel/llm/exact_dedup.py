@@ -104,6 +104,7 @@ def drop_copies(docs: DataFrame, block: int = 4096, slices: int = 4096) -> DataF
 
     All columns stay as they are, whatever their names.
     """
-    keyed = _keyed(docs, *[F.col(f"`{c}`") for c in docs.columns])
-    gone = _groups(_members(keyed, block, slices)).filter("__row <> __keep_row").select("__row")
-    return keyed.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))  # one column: no name of a field clashes
+    texts = keyed.select("__row", "__n", "__h", F.col("__doc.doc_id").alias("doc_id"), F.col("__doc.text").alias("text"))
+    gone = _groups(_members(texts, block, slices)).filter("__row <> __keep_row").select("__row")
+    return keyed.join(gone, "__row", "left_anti").select("__doc.*")

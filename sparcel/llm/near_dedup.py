@@ -288,8 +288,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class; all columns stay as they are, whatever their names."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = stage(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "near-documents")
-    rows = kept.select(F.col("__row").alias("row"), "doc_id", "text")
-    gone = _groups(rows).filter("not kept").select(F.col("row").alias("__row"))
-    return kept.join(gone, "__row", "left_anti").select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # one column: no name of a field clashes
+    kept = stage(docs.select(whole, F.monotonically_increasing_id().alias("row")), "near-documents")
+    gone = _groups(kept.select("row", "doc.doc_id", "doc.text")).filter("not kept").select("row")
+    return kept.join(gone, "row", "left_anti").select("doc.*")

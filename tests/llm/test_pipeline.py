@@ -105,3 +105,38 @@ def test_registered():
     names = set(e.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert {"op1_winnowing_decontamination", "op7_typed_parts_chat", "op10_block_naming_dedup"} <= set(e.oracle_sql())
+
+
+CLASH = ["row", "__row", "__n", "__h", "__doc", "doc", "__score", "score", "n", "key", "class", "keys"]
+
+
+def test_odd_documents_pass_the_stages_that_filter(spark):
+    """Nulls, empty and repeated texts and ids, and columns with the names used inside: rows come out as they went in."""
+    poor = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").select("text").limit(3).toPandas().text.tolist()
+    rows = [(1, None), (2, ""), (2, ""), (None, poor[0]), (5, poor[0]), (6, poor[1]), (6, poor[1]), (7, poor[2] + " " + "tail word " * 3), (8, "word " * 30_000), (9, None)]
+    docs = spark.createDataFrame([(i, t, f"{k}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, tag string")
+    docs = docs.selectExpr("*", *[f"concat('{c}', tag) AS `{c}`" for c in CLASH]).repartition(3)
+    given = {r.tag: tuple(r) for r in docs.collect()}
+    left = {}
+    for name, function in cp.STAGES[:4]:
+        out = stage(function(spark, docs, SF), "odd")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(given[r.tag] == tuple(r) for r in got) and len({r.tag for r in got}) == len(got)
+        left[name] = sorted(r.tag for r in got)
+    texts = {tag: (r[0], r[1] or "") for tag, r in given.items()}
+    last = {}
+    for tag, (i, t) in sorted(texts.items()):
+        last.setdefault(t, []).append((i if i is not None else -1, tag))
+    exact = left["exact dedup"]
+    assert len(exact) == len(last) and all(texts[tag][0] == (m if (m := max(i for i, _ in last[texts[tag][1]])) >= 0 else None) for tag in exact)
+    assert {"0", "1", "2", "9"} <= set(left["near dedup"]) and len(left["near dedup"]) == 8  # rows without words are no copies of each other
+    assert left["decontamination"] == sorted(given)
+    tokens = cp.STAGES[4][1](spark, docs, SF)
+    assert tokens.count() == len(rows) and tokens.filter("doc_id = 1").first().ids == []
+
+
+def test_empty_documents_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, function in cp.STAGES:
+        assert function(spark, docs, SF).count() == 0
