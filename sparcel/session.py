@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,12 +69,25 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release_staged(spark: SparkSession) -> None:
-    """Delete the tables this session staged, once no DataFrame reads them any more."""
+def release_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the tables this session staged (or only ``paths`` of them), once no DataFrame reads them any more."""
     conf = spark._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    paths = _STAGED if paths is None else paths
+    while paths:
+        name = paths.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _STAGED:
+            _STAGED.remove(name)
+
+
+@contextlib.contextmanager
+def staged_since() -> Iterator[list[str]]:
+    """Collects the paths that are staged inside the ``with`` block."""
+    made: list[str] = []
+    before = set(_STAGED)
+    yield made
+    made.extend(p for p in _STAGED if p not in before)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
