@@ -59,7 +59,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query("op3_previous_factor_dedup")
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM s JOIN f USING (w) WHERE first < doc_id),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY 1, 2),
+parts AS (
+  SELECT doc_id, a, substr(h, 2 * before + 1, 2 * (a - before)) AS part FROM (SELECT r.*, d.h, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM runs r JOIN d ON r.doc_id = d.doc_id)
+  UNION ALL SELECT d.doc_id, n, substr(h, 2 * coalesce(b, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM runs GROUP BY doc_id) t ON d.doc_id = t.doc_id),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY a, length(part) DESC) AS k FROM parts GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op3_previous_factor_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that no earlier document has in a string of 50."""
     cut = remove_repeats(load(spark, sf_dir, "documents"))
