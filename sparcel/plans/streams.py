@@ -54,7 +54,8 @@ def streamed_overlay(spark, d):
 @query(
     "streamed_windows",
     "T6",
-    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(CASE WHEN event_type <> 'error' THEN value END), 4) AS total FROM events GROUP BY 1, 2""",
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(CASE WHEN event_type <> 'error' THEN value END), 4) AS total
+    FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) GROUP BY 1, 2""",
 )
 def streamed_windows(spark, d):
     folder, schema, undated = dated_parts(spark, d, 30)
