@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
@@ -677,16 +677,18 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, mesh: str = "me
 
     ``faces`` has fid and an int array ``corners``; ``channels`` maps byte channel names of
     the vertices (colors, surface attributes) to their column names. The counts of the
-    header are aggregated first, so the writing task streams a file batch by batch and
-    never holds a mesh.
+    header are a window over the file, so the writing task streams a file batch by batch and
+    never holds a mesh. The window also keeps a file's rows in one task: a join with the counts that turns into a broadcast
+    at run time would not, and two tasks would write the same file.
     """
     path = qualified(vertices.sparkSession, path)
     extra = [c for cols in (channels or {}).values() for c in cols]
     v = vertices.select(F.col(mesh).cast("string").alias("file"), F.lit(0).alias("kind"), F.col("vid").alias("id"), "x", "y", "z", *extra)
     f = faces.select(F.col(mesh).cast("string").alias("file"), F.lit(1).alias("kind"), F.col("fid").alias("id"), "corners")
     rows = v.unionByName(f, allowMissingColumns=True)
-    counts = rows.groupBy("file").agg(F.count_if(F.col("kind") == 0).alias("nv"), F.count_if(F.col("kind") == 1).alias("nf"))
-    rows = rows.join(counts, "file").repartition("file").sortWithinPartitions("file", "kind", "id")
+    whole = Window.partitionBy("file").orderBy("kind", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"nv": F.count_if(F.col("kind") == 0).over(whole), "nf": F.count_if(F.col("kind") == 1).over(whole)})
+    rows = rows.sortWithinPartitions("file", "kind", "id")
     layout = "ascii 1.0" if text else "binary_little_endian 1.0"
 
     def header(vertex_count: int, face_count: int) -> bytes:

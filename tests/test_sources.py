@@ -343,3 +343,23 @@ def test_box_scan_reads_only_what_it_needs(spark, tmp_path, monkeypatch):
                     assert (named[n][order[0]] == attrs[order[1]][:, columns]).all()
                 else:
                     assert n not in named
+
+
+def test_mesh_files_stay_whole_when_counts_are_small(spark, tmp_path):
+    """Many meshes over many partitions: a file's vertices and faces are written by one task."""
+    v = spark.range(0, 12800, 1, 8).selectExpr("id div 64 as mesh", "id % 64 as vid", "id * 0.5D as x", "0D as y", "1D as z")
+    f = v.filter("vid < 62").repartition(8).selectExpr("mesh", "vid as fid", "array(cast(vid as int), cast(vid + 1 as int), cast(vid + 2 as int)) as corners")
+    path = str(tmp_path / "meshes")
+    # as for large tables: a join is planned by sorting and turned into a broadcast once the sizes are known
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, value in conf.items():
+        spark.conf.set(k, value)
+    try:
+        files.write_mesh(v, f, path)
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    files.register(spark)
+    found = {r[0]: r["count"] for r in spark.read.format("meshply").load(path).groupBy("element").count().collect()}
+    assert found == {"vertex": 12800, "tri": 200 * 62}
