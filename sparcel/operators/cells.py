@@ -236,8 +236,11 @@ def grid(spark, lower: Sequence[int], upper: Sequence[int], batches: DataFrame)
 
 
 def densify(cells: DataFrame, box: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Sparse to dense: every cell of the box, 0 where nothing is stored."""
-    filled = box.join(cells.select(*KEYS, *values), list(KEYS), "left")
+    """Sparse to dense: every cell of the box, 0 where nothing is stored.
+
+    Both sides are sorted: the box is estimated by the batch ids that it grows from, and would be broadcast whole.
+    """
+    filled = box.hint("merge").join(cells.select(*KEYS, *values), list(KEYS), "left")
     return filled.fillna(0, subset=list(values))
 
 
