@@ -77,7 +77,8 @@ def streamed_windows(spark, d):
 def streamed_trailing_means(spark, d):
     folder, schema = event_parts(spark, d)
     target = staged_path(spark, "trailing")
-    stream = S.file_stream(spark, folder, schema).filter("value is not null")
-    S.run_once(S.trailing_rings(stream, "user_id", "ts", "event_id", "value", 20), target, f"{target}-checkpoint", mode="update")
-    means = S.trailing_means(S.latest(spark, target, ["key", "salt"]), 20)
-    return means.select(F.col("key").alias("user_id"), "n", F.round("mean", 6).alias("mean"))
+    stream = S.file_stream(spark, folder, schema).filter("value is not null").select("user_id", "ts", "event_id", "value")
+    S.run_once(stream, target, f"{target}-checkpoint", prepare=lambda batch: S.newest_rows(batch, "user_id", ["ts", "event_id"], 20))
+    newest = S.newest_rows(spark.read.schema(stream.schema).parquet(target), "user_id", ["ts", "event_id"], 20)
+    means = newest.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return means.select("user_id", "n", F.round("mean", 6).alias("mean"))

@@ -72,6 +72,16 @@ def windowed_counts(events: DataFrame, time: str, width: str, lateness: str, key
     )
 
 
+def newest_rows(rows: DataFrame, key: str, order: Sequence[str], size: int) -> DataFrame:
+    """The newest ``size`` rows of every key, in the order of ``order``.
+
+    The newest rows of a whole are among the newest of its parts. So a stream may keep those of each micro-batch, whose tasks cut them
+    before anything is shuffled, hot keys included, and the kept rows are cut once more; no key's state is carried from batch to batch.
+    """
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= size).drop("_r")
+
+
 def trailing_rings(events: DataFrame, key: str, time: str, id_: str, value: str, size: int, salts: int = 16) -> DataFrame:
     """The newest ``size`` values of every (key, salt), whatever order they arrive in.
 
