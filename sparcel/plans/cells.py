@@ -32,7 +32,7 @@ def with_cells(body: str) -> str:
 )
 def cell_pooling(spark, d):
     return C.pool(
-        cells(spark, d), 2, {"mean_qty": F.round(F.avg("qty"), 6), "max_price": F.max("price")}, occupancy=True
+        cells(spark, d, ["batch"]), 2, {"mean_qty": F.round(F.avg("qty"), 6), "max_price": F.max("price")}, occupancy=True
     )
 
 
@@ -58,7 +58,7 @@ def vector_pooling(spark, d):
 )
 def cell_expansion(spark, d):
     """Pool, then expand by the occupancy bitmap: exactly the original cells come back."""
-    pooled = C.pool(cells(spark, d), 2, {"n": F.sum("n")}, occupancy=True)
+    pooled = C.pool(cells(spark, d, ["batch"]), 2, {"n": F.sum("n")}, occupancy=True)
     return C.expand(pooled, 2).select(*CELL_KEYS, "child")
 
 
@@ -72,13 +72,13 @@ def cell_expansion(spark, d):
     ),
 )
 def space_to_channel(spark, d):
-    wide = C.space_to_channel(cells(spark, d), 2, ["qty"])
+    wide = C.space_to_channel(cells(spark, d, ["batch"]), 2, ["qty"])
     return wide.select(*CELL_KEYS, *[F.get("channels", F.lit(k)).alias(f"q{k}") for k in range(8)])
 
 
 @query("channel_to_space", "G2 A7", with_cells("SELECT batch, x, y, z, qty, price FROM cells"))
 def channel_to_space(spark, d):
-    wide = C.space_to_channel(cells(spark, d), 2, ["qty", "price"])
+    wide = C.space_to_channel(cells(spark, d, ["batch"]), 2, ["qty", "price"])
     back = C.channel_to_space(wide, 2, 2)
     return back.select(*CELL_KEYS, F.get("values", F.lit(0)).alias("qty"), F.get("values", F.lit(1)).alias("price"))
 
@@ -285,7 +285,7 @@ def padded_turns(spark, d):
     ),
 )
 def dense_grid(spark, d):
-    table = cells(spark, d)
+    table = cells(spark, d, ["batch"])
     rough = table.groupBy(
         "batch", C.floor_div(F.col("x"), 2).alias("x"), C.floor_div(F.col("y"), 4).alias("y"), "z"
     ).agg(F.sum("qty").alias("qty"))

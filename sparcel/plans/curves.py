@@ -118,7 +118,7 @@ def curve_order_zip(spark, d):
 
 def coded_cells(spark, d):
     code = curves.z_order(F.col("x"), F.col("y"), F.col("z")).alias("code")
-    return cells(spark, d).select("batch", code, F.expr("cast(qty * 7 as bigint) % 256").cast("int").alias("value"))
+    return cells(spark, d, ["batch"]).select("batch", code, F.expr("cast(qty * 7 as bigint) % 256").cast("int").alias("value"))
 
 
 CODED = f"coded AS (SELECT batch, {interleave_sql('x', 'y', 'z', 6)} AS code, CAST(CAST(qty * 7 AS BIGINT) % 256 AS INTEGER) AS value FROM cells)"
@@ -172,7 +172,7 @@ BYTES = "bytes AS (SELECT batch, x, y, z, CAST(CAST(qty * 7 AS BIGINT) % 256 AS
 
 
 def byte_cells(spark, d):
-    return cells(spark, d).select(
+    return cells(spark, d, ["batch"]).select(
         *CELL_KEYS,
         F.expr("cast(cast(qty * 7 as bigint) % 256 as int)").alias("v0"),
         F.expr("cast(cast(floor(price) as bigint) % 256 as int)").alias("v1"),

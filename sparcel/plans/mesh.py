@@ -606,7 +606,7 @@ def tile_ranges(spark, d):
     ),
 )
 def first_hits(spark, d):
-    return raster.first_hits(cells(spark, d), "batch", ["qty"], 64, 128)
+    return raster.first_hits(cells(spark, d, ["batch"]), "batch", ["qty"], 64, 128)
 
 
 WIDE, HIGH, TILE = 40, 24, 8
@@ -614,14 +614,15 @@ WIDE, HIGH, TILE = 40, 24, 8
 
 def _cameras(spark, d):
     """A camera per batch, some of them among the cells."""
-    at = cells(spark, d).select("batch").distinct().select(
+    batches = load(spark, d, "lineitem").select(F.expr("cast(l_orderkey div 2000 as int)").alias("batch")).distinct()
+    at = batches.select(
         "batch", F.expr("-30D + 25 * (batch % 3)").alias("px"), F.expr("-20D + 7 * (batch % 5)").alias("py"), F.expr("2.5D + 9 * (batch % 2)").alias("pz"), F.lit(32.0).alias("focal"),
     )
     return raster.look_at(at, [F.lit(32.0), F.lit(30.5), F.lit(4.0)])
 
 
 def _projected(spark, d):
-    centers = cells(spark, d).select("batch", F.expr("x * 1000L + y * 10 + z").alias("item"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"])
+    centers = cells(spark, d, ["batch"]).select("batch", F.expr("x * 1000L + y * 10 + z").alias("item"), *[(F.col(a) + 0.5).alias(a) for a in "xyz"])
     return raster.project_cells(centers, _cameras(spark, d), "batch", "item", 1.0, WIDE, HIGH)
 
 

@@ -60,6 +60,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows that a task should hold at most of a table that is grouped or sorted whole (fixed value), and at least.
+MOST_ROWS, LEAST_ROWS = 250_000, 20_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal ``rows`` rows by key over partitions whose number follows the rows, so that no task's memory grows with the table.
+
+    The number of shuffle partitions alone is fixed: above it, every task would get a larger share.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(min(usual, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS), 1), *keys)
+
+
 _STAGED: list[str] = []
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparcel.session import dealt
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,19 +17,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CELL_KEYS = ["batch", "x", "y", "z"]
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, together: Sequence[str] = CELL_KEYS) -> DataFrame:
     """Sparse cells from line items: unique (batch, x, y, z) with summed, maximal and packed features.
 
-    A batch spans 2,000 orders, so batches grow with the data and their density stays put.
+    A batch spans 2,000 orders, so batches grow with the data and their density stays put. Cells that agree in ``together`` are in one
+    partition, and partitions grow in number and not in size. By all keys suits lookups of cells; by ``batch`` whatever is grouped
+    by batch and more stays where it is, and a batch is bounded by its positions.
     """
-    items = load(spark, sf_dir, "lineitem").select(
+    table = load(spark, sf_dir, "lineitem")
+    items = table.select(
         F.expr("cast(l_orderkey div 2000 as int)").alias("batch"),
         F.expr("cast(l_partkey % 64 as int)").alias("x"),
         F.expr("cast(l_suppkey % 64 as int)").alias("y"),
         F.col("l_linenumber").alias("z"),
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
     )
-    return items.groupBy(*CELL_KEYS).agg(
+    return dealt(items, table.count(), *together).groupBy(*CELL_KEYS).agg(
         F.sum("l_quantity").alias("qty"),
         F.max("l_extendedprice").alias("price"),
         F.max("l_discount").alias("disc"),

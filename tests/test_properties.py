@@ -529,3 +529,52 @@ def test_camera_inside_a_cell_and_behind(spark):
     assert boxes[1] == (0, 6, 0, 4) and set(boxes) == {1, 2}  # one reaches behind the camera; one is behind, one outside
     hits = {(r.px, r.py): (r.item, r.distance) for r in raster.camera_hits(seen, "v", "item", 1.0, 6, 4).collect()}
     assert len(hits) == 24 and set(hits.values()) == {(1, 0.0)}
+
+
+def test_dense_box_is_not_broadcast(spark):
+    """The box is many times its batch ids; it must not be sent whole to the driver."""
+    batches = spark.range(40).selectExpr("cast(id as int) as batch").distinct()
+    df = batches.selectExpr("batch", "1 as x", "2 as y", "3 as z", "1.5D as v")
+    dense = C.sparsify(C.densify(df, C.grid(spark, (0, 0, 0), (9, 9, 9), batches), ["v"]), F.col("v") > 0.5)
+    assert dense.count() == 40
+    dense.collect()
+    assert "BroadcastHashJoin" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_grow_in_partitions(spark, tmp_path, monkeypatch):
+    """A task's share of the cells does not grow with the table, and nothing is shuffled again to group by batch and more."""
+    from sparcel import session
+    from sparcel.plans import load_all
+
+    monkeypatch.setattr(session, "MOST_ROWS", 500)
+    made = "id as l_orderkey, id * 7 % 20000 as l_partkey, id * 13 % 1000 as l_suppkey, cast(1 + id % 7 as int) as l_linenumber, cast(id % 50 as double) as l_quantity"
+    items = spark.range(60000).selectExpr(*made.split(", "), "1D as l_extendedprice", "0.1D as l_discount", "'R' as l_returnflag", "'O' as l_linestatus")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("neighbor_deltas", "first_hits", "space_to_channel", "channel_to_space", "parent_deltas", "octree_stream"):
+        df = load_all()[name].build(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == 120, name
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange hashpartitioning") == 1, name
+
+
+def test_tight_pixels_lose_no_hit(spark):
+    """The rays of a camera against all cells by brute force."""
+    from sparcel.operators import raster
+
+    rng = random.Random(3)
+    spots = rng.sample(list(itertools.product(range(12), repeat=3)), 300)
+    cells = spark.createDataFrame([(1, i, x + 0.5, y + 0.5, z + 0.5) for i, (x, y, z) in enumerate(spots)], "v int, item long, x double, y double, z double")
+    at = spark.createDataFrame([(1, -9.0, 2.0, 3.0, 20.0)], "v int, px double, py double, pz double, focal double")
+    cameras = raster.look_at(at, [F.lit(6.0)] * 3)
+    cam = cameras.first()
+    got = {(r.py, r.px): r.item for r in raster.camera_hits(raster.project_cells(cells, cameras, "v", "item", 1.0, 30, 20), "v", "item", 1.0, 30, 20).collect()}
+    p, (r, d, f) = np.array([cam.px, cam.py, cam.pz]), [np.array([cam[f"{n}{a}"] for a in "xyz"]) for n in "rdf"]
+    mid = np.array(spots) + 0.5
+    want = {}
+    for v, u in itertools.product(range(20), range(30)):
+        ray = f + (u + 0.5 - 15) / 20 * r + (v + 0.5 - 10) / 20 * d
+        near, far = (mid - 0.5 - p) / ray, (mid + 0.5 - p) / ray
+        enter, leave = np.maximum(np.minimum(near, far).max(1), 0), np.maximum(near, far).min(1)
+        met = [(float((mid[i] - p) @ f), i) for i in np.flatnonzero(leave > enter)]
+        if met:
+            want[v, u] = min(met)[1]
+    assert got == want
