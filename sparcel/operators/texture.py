@@ -207,7 +207,7 @@ def surface_points(triangles: DataFrame, keys: Sequence[str], n: int) -> DataFra
     framed = stage(framed.withColumns({c: F.col(c[1:]) for c in given if c not in framed.columns}), "triangles")
     # distinct (triangle, cell) pairs first, on narrow rows; the corners are joined to them afterwards
     touched = hit_cells(scan_hits(framed, list(keys), n), list(keys)).select(*keys, *AXES).distinct()
-    touched = touched.join(framed, list(keys))
+    touched = touched.join(framed.hint("merge"), list(keys))  # a table of all triangles is not sent to the driver
     placed = with_barycentric(touched, [(F.col(ax) + 0.5) / n for ax in AXES])
     mixed = {"u": "u", "v": "v", "inx": "nx", "iny": "ny", "inz": "nz"}
     values = {
@@ -228,15 +228,20 @@ def cell_attributes(
     ``looks`` is the long material table (material, attr, tex, size, filter, wrap,
     fr, fg, fb, mode, cutoff). An attribute without texture is its factor; masked
     alpha is cut per sample; a normal texture is turned into the surface frame.
+
+    A point reads each texture once, however many of its attributes use it, and on narrow rows: what it reads comes back to
+    the point as a list with one entry a texture, and the attributes multiply the rows only after the last join.
     """
-    id_ = [*keys, *AXES, "attr", "mode"]
-    carry = ["weight", "cutoff", *[f"f{c}" for c in CHANNELS], *[f"{k}{ax}" for k in ("tan", "bit", "in") for ax in AXES]]
-    asked = points.join(looks, "material").withColumn("mip", mip_level(F.col("mip_length"), F.col("size"), mip_offset))
-    plain = F.col("tex").isNull() | ((F.col("attr") == "alpha") & (F.col("mode") == "OPAQUE"))
-    spot = ["tex", "u", "v", "filter", "wrap", "size", "mip"]
-    sampled = sample(asked.filter(~plain).select(*id_, *spot, *carry), texels, id_, carry).withColumn("textured", F.lit(True))
-    flat = asked.filter(plain).select(*id_, *carry, *[F.lit(1.0).alias(c) for c in CHANNELS], F.lit(False).alias("textured"))
-    read = sampled.unionByName(flat)
+    at, spot = [*keys, *AXES], F.struct("tex", "filter", "wrap", "size")
+    textured = F.coalesce(F.col("tex").isNotNull() & ~((F.col("attr") == "alpha") & (F.col("mode") == "OPAQUE")), F.lit(True))
+    spots = looks.filter(textured).select("material", "tex", "filter", "wrap", "size").distinct()
+    placed = points.select(*at, "material", "u", "v", "mip_length").join(spots, "material")
+    placed = placed.withColumns({"mip": mip_level(F.col("mip_length"), F.col("size"), mip_offset), "_spot": spot}).drop("material", "mip_length")
+    seen = sample(placed, texels, [*at, "_spot"]).groupBy(*at).agg(F.collect_list(F.struct("_spot", *CHANNELS)).alias("_seen"))
+    asked = points.drop("u", "v", "mip_length").join(seen, at, "left").join(looks, "material").withColumns({"textured": textured, "_spot": spot})
+    own = F.get(F.filter("_seen", lambda s: s["_spot"].eqNullSafe(F.col("_spot"))), F.lit(0))
+    read = asked.withColumn("_own", F.when(F.col("textured"), own))
+    read = read.withColumns({c: F.when(F.col("textured"), F.col(f"_own.{c}")).otherwise(F.lit(1.0)) for c in CHANNELS})
     raw = {c: F.col(c) * F.col(f"f{c}") for c in CHANNELS}
     alpha = effective_alpha(F.col("mode"), raw["r"], F.col("cutoff"))
     m = [F.col(c) * 2 - 1 for c in CHANNELS]
