@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.operators.cells import edge_quads
-from sparcel.operators.ordered import group_position, running
+from sparcel.operators.ordered import group_position, largest_group, running
 from sparcel.session import stage
 
 AXES = ("x", "y", "z")
@@ -153,11 +153,12 @@ def training_mesh(cells: DataFrame, flags: Mapping[str, str], batch: str = "batc
     the middle vertices of its quads go on behind them in the order of the cell that owns the edge and of the axis.
     """
     numbered = stage(group_position(cells, [batch], list(AXES), "id"), "numbered")
+    most = len(flags) * largest_group(numbered, [batch])  # a cell owns an edge an axis; counting the rings would make them twice
     rings = edge_quads(numbered, flags, ["id", "vx", "vy", "vz", "w"])
     named = [F.struct(F.col(f"c{k}.id"), *[F.col(f"c{k}.v{a}").alias(a) for a in AXES], F.col(f"c{k}.w")).alias(f"c{k}") for k in range(4)]
     rings = rings.select(batch, "axis", *[F.col(a).alias(f"_{a}") for a in AXES], *named)
     sizes = numbered.groupBy(batch).agg(F.count(F.lit(1)).alias("_cells"))
-    placed = group_position(rings, [batch], [*[f"_{a}" for a in AXES], "axis"], "_k").join(sizes, batch).withColumn("id", F.col("_cells") + F.col("_k"))
+    placed = group_position(rings, [batch], [*[f"_{a}" for a in AXES], "axis"], "_k", most=most).join(sizes, batch).withColumn("id", F.col("_cells") + F.col("_k"))
     middles = quad_midpoints(placed, [batch, "id"])
     vertices = numbered.select(batch, "id", *[F.col(f"v{a}").alias(a) for a in AXES]).unionByName(middles)
     fan = F.array(*[F.struct(F.col(f"c{k}.id").alias("v0"), F.col(f"c{(k + 1) % 4}.id").alias("v1"), F.col("id").alias("v2")) for k in range(4)])

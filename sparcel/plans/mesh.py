@@ -10,7 +10,7 @@ from sparcel.operators import raster, texture, voxelize
 from sparcel.plans.catalog import query
 from sparcel.plans.cells import _ring_sql, with_cells
 from sparcel.session import stage
-from sparcel.tables import cells, load
+from sparcel.tables import CELL_KEYS, cells, load
 
 GRID = 16
 
@@ -290,9 +290,9 @@ def dual_grid_quadrics(spark, d):
 VERTEX = "((CAST(batch AS BIGINT) * 64 + x) * 512 + y * 8 + z)"
 
 
-def dual_vertices(spark, d):
+def dual_vertices(spark, d, together=CELL_KEYS):
     """Cells with a dual vertex in each, spread by quantity, and a split weight."""
-    return cells(spark, d).select(
+    return cells(spark, d, together).select(
         "batch", "x", "y", "z", F.expr(VERTEX).alias("id"),
         *[(F.col(f) == 1).alias(f) for f in ("fa", "fb", "fc")],
         F.expr("x + pmod(qty * 0.37D, 1D)").alias("vx"),
@@ -366,7 +366,7 @@ TRAINING_SQL = f"""n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER B
 )
 def training_triangles(spark, d):
     """Four triangles around each quad's middle vertex, whose numbers follow those of the cells."""
-    return M.training_mesh(dual_vertices(spark, d).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})[1]
+    return M.training_mesh(dual_vertices(spark, d, ["batch"]).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})[1]
 
 
 @query(
@@ -378,7 +378,7 @@ def training_triangles(spark, d):
     ),
 )
 def training_vertices(spark, d):
-    vertices, _ = M.training_mesh(dual_vertices(spark, d).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})
+    vertices, _ = M.training_mesh(dual_vertices(spark, d, ["batch"]).drop("id"), {"x": "fa", "y": "fb", "z": "fc"})
     return vertices.select("batch", "id", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
