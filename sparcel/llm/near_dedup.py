@@ -17,8 +17,10 @@ lost. What a member has and all leaders lack is its rest. Two members c and d wh
 no more than the smaller of what each shares with the leaders, which rules most such pairs out; those it
 can't are verified at once. All others have a shingle of their rests in
 common and meet in a bucket of the next round, for which the smallest shingles of a rest are enough (a
-prefix: of at least t common ones, one is among all but the last t - 1). Rounds go on while large buckets hold several
-components, so no link between components is missed, whatever the size of a bucket.
+prefix: of at least t common ones, one is among all but the last t - 1). A member hands its rest on once for each
+set of leaders, in however many buckets it met them. Rounds go on while large buckets hold several
+components, so no link between components is missed, whatever the size of a bucket. Once all large buckets together have
+few pairs, as measured by the members of the first round, these are listed as well, which ends the rounds.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sparcel.llm import buffers
 from sparcel.llm.components import components
-from sparcel.session import stage
+from sparcel.session import spread, stage
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 16, 3
 
@@ -43,6 +45,12 @@ SMALL = 16
 #: Leaders of a larger bucket.
 LEADERS = 3
 
+#: Pairs for each member of the first round up to which all large buckets are listed at once.
+LISTED = 2
+
+#: Members and pairs up to which their ids are broadcast to the texts, which then need not be shuffled.
+SENT_MEMBERS, SENT_PAIRS = 1_000_000, 100_000
+
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,13 +100,13 @@ def sketches(values: np.ndarray, bounds: np.ndarray, count: int = SKETCHES, take
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """(row, text) -> row, h1, h2 (of the word sequence), n (shingles), keys, shingles; without words n is 0."""
+    """(row, doc_id, text) -> row, doc_id, h1, h2 (of the word sequence), n (shingles), keys, shingles; without words n is 0."""
     buffers.bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in buffers.pieces(batch):
-                buf, bounds = buffers.text_bytes(piece.column(1))
+                buf, bounds = buffers.text_bytes(piece.column(2))
                 lower, starts, ends, first = buffers.words(buf, bounds)
                 hashes = buffers.span_hash(buffers.byte_sums(lower), starts, ends)
                 whole = [buffers.span_hash(buffers.code_sums(h), first[:-1], first[1:]).view(np.int64) for h in (hashes, buffers.mix(hashes))]
@@ -110,14 +118,15 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 stored = values.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), pa.array(whole[0]), pa.array(whole[1]), pa.array(np.diff(at).astype(np.int32)),
+                        piece.column(0), piece.column(1), pa.array(whole[0]), pa.array(whole[1]), pa.array(np.diff(at).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SKETCHES, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
                         pa.array([stored[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
                     ],
-                    names=["row", "h1", "h2", "n", "keys", "shingles"],
+                    names=["row", "doc_id", "h1", "h2", "n", "keys", "shingles"],
                 )
 
-    return rows.select("row", "text").mapInArrow(run, "row bigint, h1 bigint, h2 bigint, n int, keys array<bigint>, shingles binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, h1 bigint, h2 bigint, n int, keys array<bigint>, shingles binary")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
@@ -157,24 +166,34 @@ def meet(leaders: list[np.ndarray], member: np.ndarray, threshold: float = SIMIL
     return linked, common, rest[: max(len(rest) - least + 1, 0)]
 
 
-def _met(pairs: DataFrame, bodies: DataFrame, leaders: int = 1) -> DataFrame:
-    """(leaders, row) -> leaders (so many at most), row, linked (ids of leaders), common, rest, as a written table."""
+def _met(pairs: DataFrame, bodies: DataFrame, several: bool = False) -> DataFrame:
+    """(leaders, row) -> leaders (one unless ``several``), row, linked (ids of leaders), common, rest, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"leaders": [], "row": [], "linked": [], "common": [], "rest": []}
-            for ids, row, body, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                linked, common, rest = meet([np.frombuffer(t, "<u4") for t in texts if t is not None], np.frombuffer(body, "<u4"))
+            for ids, row, body, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                linked, common, rest = meet([np.frombuffer(t, "<u4") for t in texts], np.frombuffer(body, "<u4"))
                 for column, value in zip(out.values(), (ids, row, [i for i, yes in zip(ids, linked) if yes], common, rest.view(np.int32))):
                     column.append(value)
             kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
 
-    both = pairs.select("leaders", "row").join(bodies.select("row", F.col("shingles").alias("body")), "row")
-    for k in range(leaders):
-        both = both.withColumn(f"l{k}", F.get("leaders", F.lit(k))).join(bodies.select(F.col("row").alias(f"l{k}"), F.col("shingles").alias(f"s{k}")), f"l{k}", "left")
-    columns = ["leaders", "row", "body", *[f"s{k}" for k in range(leaders)]]
-    return stage(both.select(*columns).mapInArrow(run, "leaders array<bigint>, row bigint, linked array<bigint>, common int, rest array<int>"), "met-pairs")
+    asked = stage(pairs.select("leaders", "row"), "asked-pairs")
+    first = asked
+    if asked.count() <= SENT_PAIRS:
+        # only the texts that are asked for are shuffled, and those of members not at all
+        first = F.broadcast(asked)
+        bodies = bodies.join(F.broadcast(asked.select(F.explode(F.array_append("leaders", F.col("row"))).alias("row"))), "row", "left_semi")
+    both = bodies.select("row", F.col("shingles").alias("body")).join(first, "row")
+    if several:  # the texts of each set of leaders are brought together once
+        leader = asked.select("leaders").distinct().select("leaders", F.explode("leaders").alias("row")).join(bodies, "row")
+        sets = leader.groupBy("leaders").agg(F.sort_array(F.collect_list(F.struct("row", "shingles")))["shingles"].alias("texts"))
+        both = both.join(sets, "leaders")
+    else:
+        both = both.withColumn("l", F.get("leaders", F.lit(0))).join(bodies.select(F.col("row").alias("l"), F.array("shingles").alias("texts")), "l")
+    met = both.select("leaders", "row", "body", "texts").mapInArrow(run, "leaders array<bigint>, row bigint, linked array<bigint>, common int, rest array<int>")
+    return stage(met, "met-pairs")
 
 
 def _links(met: DataFrame) -> DataFrame:
@@ -204,20 +223,28 @@ def _could_link(a: str, b: str) -> Column:
     return F.least(f"{a}.common", f"{b}.common") * F.lit(1 + SIMILARITY) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(SIMILARITY) - 1e-6
 
 
-def _linked_texts(texts: DataFrame) -> DataFrame:
-    """(row, n, keys, shingles) of different texts -> (node, component) of those that have a near-duplicate."""
+def _linked_texts(texts: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(row, n, keys) of different texts and (row, shingles) of these at least -> (node, component) of those that have a near-duplicate."""
     members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
     found = seen = bodies = tried = pending = None
     while True:
         # most buckets have one member: they go before anything is joined to them
-        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("bucket")
-        members = _with_component(members.join(shared, "bucket"), found)
-        members = stage(members.join(_mixed(members), "bucket"), "bucket-members")
-        if members.isEmpty():
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        if found is None:  # all members are components of their own
+            members = members.join(shared, "bucket").withColumn("component", F.col("row"))
+        else:
+            members = _with_component(members.join(shared.select("bucket"), "bucket"), found)
+            members = members.join(_mixed(members), "bucket")
+        members = stage(members.select("bucket", "row", "n", "component", "size"), "bucket-members")
+        held, ahead = members.agg(F.count(F.lit(1)), F.sum(F.when(F.col("size") > SMALL, (F.col("size") - 1) / 2))).first()
+        if not held:
             break
         if bodies is None:
-            bodies = stage(texts.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"), "bucket-texts")
-        few = members.filter(F.col("size") <= SMALL)
+            wanted, started = members.select("row").distinct(), held
+            wanted = F.broadcast(wanted) if held <= SENT_MEMBERS else wanted
+            bodies = stage(shingles.join(wanted, "row", "left_semi"), "bucket-texts")
+        last = (ahead or 0) <= LISTED * started
+        few = members if last else members.filter(F.col("size") <= SMALL)
         one, other = few.alias("c"), few.alias("d")
         alike = (F.col("c.component") != F.col("d.component")) & (F.least("c.n", "d.n") >= F.greatest("c.n", "d.n") * F.lit(SIMILARITY) - 1e-6)
         listed = one.join(other, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.row") < F.col("d.row")) & alike)
@@ -225,6 +252,8 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         checked = _met(listed if tried is None else listed.join(tried, ["leaders", "row"], "left_anti"), bodies)
         tried = checked.select("leaders", "row") if tried is None else tried.union(checked.select("leaders", "row"))
         pending = _links(checked) if pending is None else pending.union(_links(checked))
+        if last:
+            break
         members = members.filter(F.col("size") > SMALL)
         if seen is not None:
             fresh = members.select("bucket", "row").join(seen, ["bucket", "row"], "left_anti").select("bucket").distinct()
@@ -237,15 +266,15 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         best = members.select("bucket", "row").join(weight, "row").groupBy("bucket", F.pmod("row", F.lit(LEADERS)).alias("class")).agg(F.max(F.struct("weight", "row")).alias("best"))
         lead = best.groupBy("bucket").agg(F.sort_array(F.collect_list("best.row")).alias("leaders"))
         led = members.join(lead, "bucket").select("bucket", "row", "n", "leaders")
-        met = _met(led.select("leaders", "row").distinct(), bodies, LEADERS)
+        met = _met(led.select("leaders", "row").distinct(), bodies, several=True)
         # components once a round: what is linked after this shows in the next
         found, pending = _joined(found, pending.union(_links(met).filter("a <> b"))), None
         left = _with_component(led.filter(~F.array_contains("leaders", F.col("row"))), found)
-        left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met, ["leaders", "row"])
-        left = stage(left.select("bucket", "leaders", "row", "n", "component", "common", "rest"), "left-members")
+        left = left.join(_mixed(left).select("bucket"), "bucket", "left_semi").join(met.select("leaders", "row", "common"), ["leaders", "row"])
+        left = stage(left.select("bucket", "leaders", "row", "n", "component", "common"), "left-members")
         # pairs without a common shingle in their rests that may still be alike
         reach = F.floor(F.col("common") * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6)
-        near = left.drop("rest").join(left.groupBy("bucket").agg(F.min("n").alias("low")), "bucket").filter(reach >= F.col("low"))
+        near = left.join(left.groupBy("bucket").agg(F.min("n").alias("low")), "bucket").filter(reach >= F.col("low"))
         near = stage(near.join(_mixed(near).select("bucket"), "bucket", "left_semi"), "near-members")
         c, d = near.alias("c"), near.alias("d")
         odd = c.join(d, (F.col("c.bucket") == F.col("d.bucket")) & (F.col("c.row") < F.col("d.row")) & (F.col("c.component") != F.col("d.component")) & _could_link("c", "d"))
@@ -253,19 +282,22 @@ def _linked_texts(texts: DataFrame) -> DataFrame:
         checked = _met(odd.join(tried, ["leaders", "row"], "left_anti"), bodies)
         tried = tried.union(checked.select("leaders", "row"))
         pending = _links(checked)
-        members = left.select(F.explode("rest").alias("shingle"), "leaders", "row", "n").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n").distinct()
+        # a rest counts once for its leaders, and is dealt out evenly before its shingles are rows
+        rests = spread(left.select("leaders", "row", "n").distinct().join(met.select("leaders", "row", "rest"), ["leaders", "row"]), "leaders", "row")
+        members = rests.select(F.explode("rest").alias("shingle"), "leaders", "row", "n").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n").distinct()
     found = found if pending is None else _joined(found, pending)
     return texts.sparkSession.createDataFrame([], "node bigint, component bigint") if found is None else found
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(row, text) -> (row, class): rows without a partner have their own row as class."""
+    """(row, doc_id, text) -> (row, doc_id, class): rows without a partner have their own row as class."""
     sketched = stage(_sketched(rows), "sketches")
     same = stage(sketched.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("first")), "equal-texts")
-    texts = sketched.select("row", "n", "keys", "shingles").join(same.select(F.col("first").alias("row")), "row", "left_semi")
-    found = _linked_texts(texts)
-    owner = sketched.select("row", "h1", "h2", "n").join(same, ["h1", "h2"], "left").select("row", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("row")).alias("first"))
-    return owner.join(found.withColumnRenamed("node", "first"), "first", "left").select("row", F.coalesce("component", "first").alias("class"))
+    # by a join on narrow rows, the shingles of a text do not move
+    firsts = sketched.select("row", "n", "keys").join(same.select(F.col("first").alias("row")), "row", "left_semi")
+    found = _linked_texts(firsts, sketched.select("row", "shingles"))
+    owner = sketched.select("row", "doc_id", "h1", "h2", "n").join(same, ["h1", "h2"], "left").select("row", "doc_id", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("row")).alias("first"))
+    return owner.join(found.withColumnRenamed("node", "first"), "first", "left").select("row", "doc_id", F.coalesce("component", "first").alias("class"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -275,12 +307,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Rows without words (null or empty texts) are each a class of their own, as are texts without a
     near-duplicate. A null doc_id is larger than any other. No rows in, no rows out. Further columns are not looked at.
     """
-    rows = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())  # frozen where the sketches are written
     return _groups(rows).select("doc_id", "class_id", "class_size", "kept")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    member = stage(_classes(rows).join(rows.select("row", "doc_id"), "row"), "near-members")
+    member = stage(_classes(rows), "near-members")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     classes = member.groupBy("class").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
     return member.join(classes, "class").select("row", "doc_id", F.col("best.id").alias("class_id"), "class_size", (F.col("best.row") == F.col("row")).alias("kept"))

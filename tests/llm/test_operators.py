@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from sparcel.llm import bpe, buffers, chat, chunks, components, decontaminate, exact_dedup, near_dedup, ppm, quality, repeats, token_files, toxicity
 from sparcel.llm.samples import remainder
+from sparcel.session import stage
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -423,6 +424,19 @@ def test_chain_of_near_copies(spark):
     assert {got[i] for i in range(12)} == {0} and all(got[100 + i] == 100 + i for i in range(8))
 
 
+def test_near_copies_move_little(spark, monkeypatch):
+    """Texts are not written again, and what members have beyond leaders not once for each bucket; few pairs end the rounds."""
+    made = []
+    monkeypatch.setattr(near_dedup, "stage", lambda df, label="stage": made.append((label, df.columns)) or stage(df, label))
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join([*passage, *(f"x{i % 50}y{k}" for k in range(60 - i // 50))])) for i in range(100)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(table(spark, docs)).collect()}
+    assert got == {i: i % 50 for i in range(100)}
+    assert not any({"text", "doc"} & set(c) for _, c in made)
+    assert [c for label, c in made if label == "left-members"] and not any("rest" in c for label, c in made if label == "left-members")
+    assert sum(label == "bucket-members" for label, _ in made) == 2
+
+
 def test_near_copies_repeated_ids(spark):
     docs = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words here"), (None, "a b c d e f g"), (None, None), (None, None)]
     got = near_dedup.near_groups(table(spark, docs)).collect()
