@@ -225,16 +225,11 @@ def _could_link(a: str, b: str) -> Column:
 
 def _linked_texts(texts: DataFrame, shingles: DataFrame) -> DataFrame:
     """(row, n, keys) of different texts and (row, shingles) of these at least -> (node, component) of those that have a near-duplicate."""
-    members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n")
+    members = texts.select(F.explode(F.array_distinct("keys")).alias("bucket"), "row", "n", F.col("row").alias("component"))
     found = seen = bodies = tried = pending = None
     while True:
-        # most buckets have one member: they go before anything is joined to them
-        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        if found is None:  # all members are components of their own
-            members = members.join(shared, "bucket").withColumn("component", F.col("row"))
-        else:
-            members = _with_component(members.join(shared.select("bucket"), "bucket"), found)
-            members = members.join(_mixed(members), "bucket")
+        # most buckets have one member or one component: they go before anything else is joined to them
+        members = members.join(_mixed(members), "bucket")
         members = stage(members.select("bucket", "row", "n", "component", "size"), "bucket-members")
         held, ahead = members.agg(F.count(F.lit(1)), F.sum(F.when(F.col("size") > SMALL, (F.col("size") - 1) / 2))).first()
         if not held:
@@ -265,7 +260,7 @@ def _linked_texts(texts: DataFrame, shingles: DataFrame) -> DataFrame:
         weight = members.groupBy("row").agg(F.sum("size").alias("weight"))
         best = members.select("bucket", "row").join(weight, "row").groupBy("bucket", F.pmod("row", F.lit(LEADERS)).alias("class")).agg(F.max(F.struct("weight", "row")).alias("best"))
         lead = best.groupBy("bucket").agg(F.sort_array(F.collect_list("best.row")).alias("leaders"))
-        led = members.join(lead, "bucket").select("bucket", "row", "n", "leaders")
+        led = stage(members.join(lead, "bucket").select("bucket", "row", "n", "leaders"), "led-members")
         met = _met(led.select("leaders", "row").distinct(), bodies, several=True)
         # components once a round: what is linked after this shows in the next
         found, pending = _joined(found, pending.union(_links(met).filter("a <> b"))), None
@@ -282,9 +277,9 @@ def _linked_texts(texts: DataFrame, shingles: DataFrame) -> DataFrame:
         checked = _met(odd.join(tried, ["leaders", "row"], "left_anti"), bodies)
         tried = tried.union(checked.select("leaders", "row"))
         pending = _links(checked)
-        # a rest counts once for its leaders, and is dealt out evenly before its shingles are rows
-        rests = spread(left.select("leaders", "row", "n").distinct().join(met.select("leaders", "row", "rest"), ["leaders", "row"]), "leaders", "row")
-        members = rests.select(F.explode("rest").alias("shingle"), "leaders", "row", "n").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n").distinct()
+        # a rest counts once for its leaders, and is dealt out evenly before its shingles are rows; no component changes before the next round
+        rests = spread(left.select("leaders", "row", "n", "component").distinct().join(met.select("leaders", "row", "rest"), ["leaders", "row"]), "leaders", "row")
+        members = rests.select(F.explode("rest").alias("shingle"), "leaders", "row", "n", "component").select(F.xxhash64("leaders", "shingle").alias("bucket"), "row", "n", "component").distinct()
     found = found if pending is None else _joined(found, pending)
     return texts.sparkSession.createDataFrame([], "node bigint, component bigint") if found is None else found
 

@@ -437,6 +437,18 @@ def test_near_copies_move_little(spark, monkeypatch):
     assert sum(label == "bucket-members" for label, _ in made) == 2
 
 
+def test_near_copies_join_buckets_once(spark, monkeypatch):
+    """The members of a round meet one row of their bucket, once; their components are carried along."""
+    plans = []
+    monkeypatch.setattr(near_dedup, "stage", lambda df, label="stage": plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or stage(df, label))
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join([*passage, *(f"x{i % 50}y{k}" for k in range(60 - i // 50))])) for i in range(100)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(table(spark, docs)).collect()}
+    assert got == {i: i % 50 for i in range(100)}
+    rounds = [plan for label, plan in plans if label == "bucket-members"]
+    assert len(rounds) == 2 and all(len(re.findall(r"Join Inner, .*bucket", plan)) == 1 and "LeftOuter" not in plan for plan in rounds)
+
+
 def test_near_copies_repeated_ids(spark):
     docs = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words here"), (None, "a b c d e f g"), (None, None), (None, None)]
     got = near_dedup.near_groups(table(spark, docs)).collect()
