@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force, with nulls, ties, repeats, empty tables and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from sparcel.llm import bpe, buffers, chat, chunks, components, decontaminate, exact_dedup, near_dedup, ppm, quality, repeats, token_files, toxicity
 from sparcel.llm.samples import remainder
-from sparcel.session import stage
+from sparcel.session import stage, staged_since
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -182,6 +183,62 @@ def test_repeats(spark, monkeypatch, piece, block):
         assert r.n_bytes - sum(s.end - s.start for s in r.spans) == len(r.kept)
 
 
+def test_repeats_disk(spark):
+    """Short strings that most documents share, with other text around them, put no more on disk than the text's own anchors do."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 8))) for _ in range(30)]
+    docs = [(i, " ".join(rnd.choice(vocabulary) for _ in range(200))) for i in range(600)]
+    docs.append((600, docs[0][1][100:400] + "." + docs[1][1]))
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files(tops):
+        return {f: os.path.getsize(f) for top in tops for d, _, names in os.walk(top) for f in (os.path.join(d, x) for x in names)}
+
+    before = files(folders)
+    with staged_since() as staged:
+        got = repeats.remove_repeats(table(spark, docs)).collect()
+    written = sum(n for f, n in files([*folders, *staged]).items() if f not in before and f.endswith((".data", ".parquet")))
+    assert sorted(((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in got), key=repr) == brute_repeats(docs)
+    assert written < 2.2 * sum(len(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 1000])
+def test_repeats_by_hand(crowd, monkeypatch):
+    """Pieces, anchors and suffix order called one after the other: every threshold of a crowd gives the same, and answers belong to the entries sent."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    docs = [(i, t or "") for i, t in documents(9)]
+    docs += [(-(1 << 63) + 5, docs[2][1]), (300, "x" * 18 + docs[4][1]), (400, "short")]
+    pieces = [repeats.Piece({"doc_ids": pa.scalar([i for i, _ in part], pa.list_(pa.int64())), "texts": pa.scalar([t for _, t in part], pa.list_(pa.string()))}) for part in (docs[:20], docs[20:21], docs[21:-1], docs[-1:])]
+
+    def matched(function, sent):
+        rows = [(b, k, x) for k, packed in enumerate(sent) for b, x in packed]
+        for bucket in sorted({b for b, _, _ in rows}):
+            mine = [r for r in rows if r[0] == bucket]
+            yield from function(pa.table({"bucket": pa.array([bucket] * len(mine), pa.int32()), "piece": pa.array([k for _, k, _ in mine], pa.int64()), "packed": pa.array([x for _, _, x in mine], pa.binary())})).to_pylist()
+
+    answers = [*matched(repeats.match_anchors, [repeats._anchor_rows(p, 5) for p in pieces])]
+    told = [p.told([a for a in answers if a["piece"] == k], 5) for k, p in enumerate(pieces)]
+    masks = [*matched(repeats.match_suffixes, [repeats._suffix_rows(p, t, 5) for p, t in zip(pieces, told)])]
+    got = []
+    for k, (p, t) in enumerate(zip(pieces, told)):
+        pairs = np.frombuffer(b"".join(m["masks"] for m in masks if m["piece"] == k), "<u8").reshape(-1, 2)
+        keys, which = np.unique(pairs[:, 0], return_inverse=True)
+        bits = np.zeros(len(keys), np.uint64)
+        np.bitwise_or.at(bits, which, pairs[:, 1])
+        gone = repeats.repeated_bytes(p, t, keys, bits)
+        for i, a, b in zip(p.doc_ids.to_pylist(), p.bounds, p.bounds[1:]):
+            got.append((i, int(b - a), len(buffers.runs(gone[a:b])[0]), p.buf[a:b][~gone[a:b]].tobytes()))
+    assert sorted(got, key=repr) == brute_repeats(docs)
+
+
+@pytest.mark.parametrize("docs", [[5], [1, 2, 2, 130], [7, -7, 200], [1, 1 << 40, 3], [-(1 << 63), (1 << 63) - 1, 0, -(1 << 63)]])
+def test_repeats_packed(docs):
+    n = len(docs)
+    key, string, doc = np.arange(n, dtype=np.uint64) << np.uint64(60), np.arange(n, dtype=np.uint64) + np.uint64(9), np.array(docs)
+    for got, put in zip(repeats._unpack_anchors(repeats._pack_anchors(key, string, doc)), (key, string, doc)):
+        assert got.tolist() == put.tolist()
+
+
 def test_repeats_empty(spark):
     assert repeats.remove_repeats(table(spark, [])).count() == 0
 
